@@ -1,0 +1,81 @@
+"""Length-ordered batches under a memory model."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.constants import BUFFER_SCALE, MAX_BATCH_SIZE, MEMORY_MODEL
+from ..session import shuffle_width
+
+
+def length_order(df: DataFrame, n_ranges: int | None = None) -> DataFrame:
+    """Longest first: range-partitioned by length, sorted inside each range."""
+    n = n_ranges or shuffle_width(df.sparkSession)
+    order = [F.length("sequence").desc(), F.col("seq_id").asc()]
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
+def batch_cost(
+    length: Column, n: Column | int, model: str, buffer: float = BUFFER_SCALE
+) -> Column:
+    """Bytes to embed ``n`` sequences padded to ``length``."""
+    a, b, c = MEMORY_MODEL[model]
+    size = F.lit(float(n)) if isinstance(n, int) else n.cast("double")
+    x = length.cast("double")
+    per_sequence = F.lit(a) * x * x * size + F.lit(b) * x * size + F.lit(c) * size
+    return per_sequence * F.lit(buffer)
+
+
+def batch_cost_table(df: DataFrame, n: int = 1, buffer: float = BUFFER_SCALE) -> DataFrame:
+    """Cost of every sequence under every known model, from one compiled projection."""
+    costs = F.array(
+        *[
+            F.struct(F.lit(m).alias("model"), batch_cost(F.length("sequence"), n, m, buffer).alias("cost"))
+            for m in MEMORY_MODEL
+        ]
+    )
+    return df.select("seq_id", F.inline(costs))
+
+
+def assign_batches(
+    df: DataFrame,
+    model: str,
+    budget: float,
+    max_batch_size: int = MAX_BATCH_SIZE,
+    buffer: float = BUFFER_SCALE,
+    strict: bool = True,
+    n_ranges: int | None = None,
+) -> DataFrame:
+    """Greedy packing in length order -> (seq_id, len, batch_part, batch_no).
+
+    Each length range packs on its own with constant state, so batches never
+    cross a range. Longest first, the first member sets the padded length.
+    """
+    a, b, c = MEMORY_MODEL[model]
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch, size, longest = 0, 0, 0.0
+        for frame in frames:
+            numbers = []
+            for length in frame["len"].to_numpy(dtype=float):
+                alone = (a * length * length + b * length + c) * buffer
+                if strict and alone > budget:
+                    raise ValueError(f"a sequence of length {int(length)} exceeds the budget")
+                top = max(longest, length)
+                cost = (a * top * top + b * top + c) * (size + 1) * buffer
+                if size and (size >= max_batch_size or cost > budget):
+                    batch, size, longest = batch + 1, 0, 0.0
+                size, longest = size + 1, max(longest, length)
+                numbers.append(batch)
+            yield frame.assign(batch_no=numbers)
+
+    ordered = length_order(df.select("seq_id", "sequence"), n_ranges).select(
+        "seq_id", F.length("sequence").alias("len"), F.spark_partition_id().alias("batch_part")
+    )
+    schema = T.StructType(ordered.schema.fields + [T.StructField("batch_no", T.LongType())])
+    return ordered.mapInPandas(pack, schema)
