@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ALPHABET, ZSCALE
 from ..operators.attention import FoldModel
+from ..sources.readers import spread_rows
 
 # Stored cutoffs of the five folds.
 CUTOFFS = {"fold1": 0.42, "fold2": 0.34, "fold3": 0.34, "fold4": 0.35, "fold5": 0.42}
@@ -35,7 +36,7 @@ def sequence_of(text: Column) -> Column:
 
 
 def sequences(spark: SparkSession, sf_dir: str, labels: bool = False) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread_rows(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("seq_id"),
         F.concat(F.lit("doc_"), F.col("doc_id")).alias("name"),
         F.col("lang").alias("group"),

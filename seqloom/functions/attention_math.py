@@ -8,38 +8,40 @@ from .constants import MIN_TEMPERATURE
 from .ragged import segment_reduce, segment_softmax, sigmoid, spread
 
 
-def neighbour_index(lengths: np.ndarray, taps: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Padded layout: place of each position, border rows between sequences, size."""
+def neighbour_index(lengths: np.ndarray, taps: int) -> tuple[np.ndarray, int]:
+    """Layout with border rows between sequences: place of each position, and size."""
     half = taps // 2
     total = int(lengths.sum())
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(total) + half * (owner + 1)
-    return place, owner, total + half * (len(lengths) + 1)
+    place = np.arange(total) + half * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+    return place, total + half * (len(lengths) + 1)
 
 
 def convolve(x: np.ndarray, lengths: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Same-length 1-D convolution; ``weight`` is (taps, in, out). Borders count as zero."""
     taps = weight.shape[0]
-    place, _, size = neighbour_index(lengths, taps)
+    place, size = neighbour_index(lengths, taps)
     padded = np.zeros((size, x.shape[1]))
     padded[place] = x
-    out = np.broadcast_to(bias, (len(x), len(bias))).copy()
-    for t in range(taps):
-        out += padded[place + t - taps // 2] @ weight[t]
+    out = np.take(padded, place - taps // 2, axis=0) @ weight[0]
+    for t in range(1, taps):
+        out += np.take(padded, place + t - taps // 2, axis=0) @ weight[t]
+    out += bias
     return out
 
 
-def convolve_codes(
-    codes: np.ndarray, lengths: np.ndarray, tables: np.ndarray, bias: np.ndarray
-) -> np.ndarray:
-    """The same for letters: ``tables`` (taps, letters + 1, out) ends in a zero row."""
-    taps = tables.shape[0]
-    place, _, size = neighbour_index(lengths, taps)
-    padded = np.full(size, tables.shape[1] - 1, dtype=np.intp)
+def neighbour_codes(codes: np.ndarray, lengths: np.ndarray, taps: int, border: int) -> list[np.ndarray]:
+    """Letter code at each tap of every position; every fold reads the same ones."""
+    place, size = neighbour_index(lengths, taps)
+    padded = np.full(size, border, dtype=np.intp)
     padded[place] = codes
-    out = np.broadcast_to(bias, (len(codes), len(bias))).copy()
-    for t in range(taps):
-        out += tables[t][padded[place + t - taps // 2]]
+    return [np.take(padded, place + t - taps // 2) for t in range(taps)]
+
+
+def convolve_codes(at_taps: list[np.ndarray], tables: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The same for letters: ``tables`` (taps, letters + 1, out) ends in a zero row."""
+    out = np.take(tables[0] + bias, at_taps[0], axis=0)
+    for table, codes in zip(tables[1:], at_taps[1:]):
+        out += np.take(table, codes, axis=0)
     return out
 
 
@@ -63,12 +65,14 @@ def run_head(x: np.ndarray, layers: list[dict]) -> np.ndarray:
     Several outputs are averaged to one logit.
     """
     for i, layer in enumerate(layers):
-        x = x @ layer["weight"] + layer["bias"]
+        x = x @ layer["weight"]
+        x += layer["bias"]
         if i < len(layers) - 1:
-            x = np.maximum(x, 0.0)
+            np.maximum(x, 0.0, out=x)
             if layer.get("gain") is not None:
-                x = x * layer["gain"] + layer["offset"]
-    return x.mean(axis=1)
+                x *= layer["gain"]
+                x += layer["offset"]
+    return x[:, 0] if x.shape[1] == 1 else x.mean(axis=1)
 
 
 def pool(

@@ -56,8 +56,10 @@ def spread(per_segment: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def segment_softmax(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     top = segment_reduce(np.maximum, values, lengths)
-    weights = np.exp(values - spread(top, lengths))
-    return weights / spread(segment_reduce(np.add, weights, lengths), lengths)
+    weights = values - spread(top, lengths)
+    np.exp(weights, out=weights)
+    weights /= spread(segment_reduce(np.add, weights, lengths), lengths)
+    return weights
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -19,12 +19,12 @@ from pyspark.sql import types as T
 
 from ..functions import attention_math as am
 from ..functions import ragged
-from ..functions.arrays import array_mean, check_mode, elementwise_mean, weighted_residues
+from ..functions.arrays import array_mean, check_mode, weighted_residues
 from ..functions.constants import ALPHABET, HIGH_RISK_THRESHOLD
 from ..session import ship_package
 from .residues import codebook
 
-RESIDUES_PER_STEP = 1 << 17  # positions held as dense matrices at a time
+VALUES_PER_STEP = 1 << 20  # size of the dense matrices held at a time
 MAX_WEIGHT_ROWS = 50_000_000
 
 _VECTOR = T.ArrayType(T.DoubleType())
@@ -130,11 +130,11 @@ def models_to_table(spark: SparkSession, models: list[FoldModel], model: str) ->
     return spark.createDataFrame(models_to_rows(models, model), WEIGHTS_SCHEMA)
 
 
-def _steps(lengths: np.ndarray) -> Iterator[slice]:
-    """Runs of whole sequences with a bounded number of positions."""
-    start, filled = 0, 0
+def _steps(lengths: np.ndarray, width: int) -> Iterator[slice]:
+    """Runs of whole sequences with a bounded number of matrix values."""
+    start, filled, limit = 0, 0, VALUES_PER_STEP // max(1, width)
     for i, n in enumerate(lengths):
-        if i > start and filled + n > RESIDUES_PER_STEP:
+        if i > start and filled + n > limit:
             yield slice(start, i)
             start, filled = i, 0
         filled += n
@@ -143,7 +143,10 @@ def _steps(lengths: np.ndarray) -> Iterator[slice]:
 
 
 def _per_batch(
-    df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]]
+    df: DataFrame,
+    fields: list[T.StructField],
+    compute: Callable[[pa.RecordBatch], list[pa.Array]],
+    width: int,
 ) -> DataFrame:
     ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + fields)
@@ -154,7 +157,7 @@ def _per_batch(
             if not batch.num_rows:
                 continue
             # Slices keep the output list offsets and the dense matrices small.
-            for piece in _slices(batch):
+            for piece in row_steps(batch, width):
                 arrays = compute(piece)
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns, *arrays], [*piece.schema.names, *names]
@@ -163,13 +166,14 @@ def _per_batch(
     return df.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def row_steps(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch small enough for dense matrices ``width`` values wide."""
     if "sequence" in batch.schema.names:
         lengths = np.asarray(pc.utf8_length(batch.column("sequence")).fill_null(0))
     else:
         lists = next(c for c in batch.columns if pa.types.is_list(c.type))
         lengths = np.asarray(lists.value_lengths().fill_null(0))
-    for step in _steps(lengths):
+    for step in _steps(lengths, width):
         yield batch.slice(step.start, step.stop - step.start)
 
 
@@ -182,13 +186,14 @@ def residue_conv1d(df: DataFrame, model: FoldModel, encoding: str = "zscale") ->
     shared = df.sparkSession.sparkContext.broadcast(_prepare([model], encoding)[0])
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        fold = shared.value
-        source, lengths = _read_input(batch, encoding)
-        return [ragged.list_array(_conv(fold, part, source, lengths), lengths)
-                for part in ("feature", "attention")]
+        convolve, lengths = _read_input(batch, encoding, shared.value)
+        return [
+            ragged.list_array(convolve(shared.value, part), lengths)
+            for part in ("feature", "attention")
+        ]
 
     fields = [T.StructField("features", _MATRIX), T.StructField("attention", _MATRIX)]
-    return _per_batch(df, fields, compute)
+    return _per_batch(df, fields, compute, max(model.feature_weight.shape[1:]))
 
 
 def attention_apply(df: DataFrame, mode: str = "weighted_mean_three") -> DataFrame:
@@ -201,7 +206,7 @@ def attention_apply(df: DataFrame, mode: str = "weighted_mean_three") -> DataFra
         filled = lengths[lengths > 0]
         return [ragged.list_array(am.apply_attention(features, attention, filled, mode), lengths)]
 
-    return _per_batch(df, [T.StructField("applied", _MATRIX)], compute)
+    return _per_batch(df, [T.StructField("applied", _MATRIX)], compute, 64)
 
 
 def mlp_head(df: DataFrame, layers: list[dict], column: str = "applied") -> DataFrame:
@@ -212,7 +217,8 @@ def mlp_head(df: DataFrame, layers: list[dict], column: str = "applied") -> Data
         x, lengths = ragged.matrix_rows(batch.column(column))
         return [ragged.list_array(am.run_head(x, shared.value), lengths)]
 
-    return _per_batch(df, [T.StructField("logits", _VECTOR)], compute)
+    width = max(layer["weight"].shape[1] for layer in layers)
+    return _per_batch(df, [T.StructField("logits", _VECTOR)], compute, width)
 
 
 def score_penalty(logits: Column, mode: str, weight: float, temperature: float = 1.0) -> Column:
@@ -237,47 +243,54 @@ def _prepare(models: list[FoldModel], encoding: str) -> list[dict]:
     return prepared
 
 
-def _read_input(batch: pa.RecordBatch, encoding: str) -> tuple[np.ndarray, np.ndarray]:
+def _read_input(
+    batch: pa.RecordBatch, encoding: str, fold: dict
+) -> tuple[Callable[[dict, str], np.ndarray], np.ndarray]:
+    """(convolution of a fold's part over this batch, length of each sequence)."""
     if encoding == "embedding":
-        return ragged.matrix_rows(batch.column("embedding"))
-    return ragged.letter_codes(batch.column("sequence"))
-
-
-def _conv(fold: dict, part: str, source: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    kernel = am.convolve_codes if source.ndim == 1 else am.convolve
-    return kernel(source, lengths, fold[part], fold[f"{part}_bias"])
+        x, lengths = ragged.matrix_rows(batch.column("embedding"))
+        filled = lengths[lengths > 0]
+        return lambda f, part: am.convolve(x, filled, f[part], f[f"{part}_bias"]), lengths
+    codes, lengths = ragged.letter_codes(batch.column("sequence"))
+    taps = am.neighbour_codes(codes, lengths[lengths > 0], len(fold["feature"]), ragged.PAD)
+    return lambda f, part: am.convolve_codes(taps, f[part], f[f"{part}_bias"]), lengths
 
 
 def score_folds(
     df: DataFrame, models: list[FoldModel], mode: str, encoding: str = "zscale"
 ) -> DataFrame:
-    """Add ``fold_residues`` (fold -> scores), ``fold_scores`` and ``fold_penalties``.
+    """Add fold maps ``fold_residues``, ``fold_scores``, ``fold_penalties`` and the
+    means over folds ``ensemble_residues`` and ``ensemble_score``.
 
     One pass over the sequences scores every fold. Empty sequences get nulls.
     """
     check_mode(mode)
+    if len({m.feature_weight.shape[0] for m in models}) != 1:
+        raise ValueError("the folds of a model share one kernel size")
     shared = df.sparkSession.sparkContext.broadcast(_prepare(models, encoding))
     names = [m.fold for m in models]
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        source, lengths = _read_input(batch, encoding)
+        convolve, lengths = _read_input(batch, encoding, shared.value[0])
         filled = lengths[lengths > 0]
         empty = lengths == 0
-        out = []
+        out, residue_sum, score_sum = [], 0.0, 0.0
         for fold in shared.value:
-            features = _conv(fold, "feature", source, filled)
-            attention = (
-                features if mode.endswith("single_conv") else _conv(fold, "attention", source, filled)
-            )
+            features = convolve(fold, "feature")
+            attention = features if mode.endswith("single_conv") else convolve(fold, "attention")
             applied = am.apply_attention(features, attention, filled, mode)
             logits = am.run_head(applied, fold["head"])
             residues, scores, weighted = am.pool(mode, logits, filled, fold["temperature"])
+            residue_sum, score_sum = residue_sum + residues, score_sum + scores
             out.append(ragged.list_array(residues, lengths))
             out.append(_with_nulls(scores, empty))
             spent = 0.0 * scores if weighted is None else (
                 ragged.segment_reduce(np.add, weighted, filled) / filled
             )
             out.append(_with_nulls(spent, empty))
+        n = len(shared.value)
+        out.append(ragged.list_array(residue_sum / n, lengths))
+        out.append(_with_nulls(score_sum / n, empty))
         return out
 
     fields = []
@@ -287,7 +300,14 @@ def score_folds(
             T.StructField(f"_s{i}", T.DoubleType()),
             T.StructField(f"_p{i}", T.DoubleType()),
         ]
-    scored = _per_batch(df, fields, compute)
+    fields += [
+        T.StructField("ensemble_residues", _VECTOR),
+        T.StructField("ensemble_score", T.DoubleType()),
+    ]
+    width = max(
+        max(m.feature_weight.shape[1:] + tuple(l["weight"].shape[1] for l in m.head)) for m in models
+    )
+    scored = _per_batch(df, fields, compute, width)
 
     def as_map(prefix: str) -> Column:
         entries = [x for i, f in enumerate(names) for x in (F.lit(f), F.col(f"{prefix}{i}"))]
@@ -298,6 +318,8 @@ def score_folds(
         as_map("_r").alias("fold_residues"),
         as_map("_s").alias("fold_scores"),
         as_map("_p").alias("fold_penalties"),
+        "ensemble_residues",
+        "ensemble_score",
     )
 
 
@@ -307,20 +329,6 @@ def _with_nulls(values: np.ndarray, empty: np.ndarray) -> pa.Array:
     return pa.array(full, type=pa.float64(), mask=empty)
 
 
-def ensemble_columns(scored: DataFrame, folds: list[str]) -> DataFrame:
-    """Add ``ensemble_score`` and ``ensemble_residues``: means over the folds."""
-    scores = [F.col("fold_scores")[f] for f in folds]
-    total = scores[0]
-    for s in scores[1:]:
-        total = total + s
-    return scored.withColumns(
-        {
-            "ensemble_score": total / F.lit(float(len(folds))),
-            "ensemble_residues": elementwise_mean([F.col("fold_residues")[f] for f in folds]),
-        }
-    )
-
-
 def summary_column(residues: Column, threshold: float = HIGH_RISK_THRESHOLD, base: int = 0) -> Column:
     """Mean, max, min and high-risk positions (0-based unless ``base`` says otherwise)."""
     risky = F.filter(

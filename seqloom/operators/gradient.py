@@ -23,7 +23,7 @@ from ..functions import attention_math as am
 from ..functions import ragged
 from ..functions.constants import ALPHABET
 from ..session import cut_lineage, ship_package
-from .attention import FoldModel, _slices, score_folds
+from .attention import FoldModel, row_steps, score_folds
 from .metrics import optimal_cutoff
 from .residues import codebook
 
@@ -76,6 +76,7 @@ def summed_gradient(
     table: DataFrame, params: list[np.ndarray], partial: Partial
 ) -> tuple[np.ndarray, np.ndarray]:
     """Sum of per-batch gradients and loss statistics over the whole table."""
+    width = max(p.shape[-1] for p in params)
     ship_package(table.sparkSession)
     shared = table.sparkSession.sparkContext.broadcast(params)
 
@@ -83,7 +84,7 @@ def summed_gradient(
         weights = shared.value
         total = None
         for batch in batches:
-            for piece in _slices(batch) if batch.num_rows else ():
+            for piece in row_steps(batch, width) if batch.num_rows else ():
                 grads, stats = partial(weights, piece)
                 part = np.concatenate([pack(grads), stats])
                 total = part if total is None else total + part
@@ -225,7 +226,7 @@ def attention_gradient(
 def _conv_gradient(
     x: np.ndarray, lengths: np.ndarray, d: np.ndarray, taps: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    place, _, size = am.neighbour_index(lengths, taps)
+    place, size = am.neighbour_index(lengths, taps)
     padded = np.zeros((size, x.shape[1]))
     padded[place] = x
     d_weight = np.stack([padded[place + t - taps // 2].T @ d for t in range(taps)])

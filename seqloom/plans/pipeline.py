@@ -255,7 +255,9 @@ def _apply_attention_stage(df: DataFrame, model: FoldModel, options: dict) -> Da
             "y_pred": (prob >= F.lit(model.cutoff)).cast("int"),
             "residue_scores": F.col("fold_residues")[model.fold],
         }
-    ).drop("fold_scores", "fold_residues", "fold_penalties")
+    ).drop(
+        "fold_scores", "fold_residues", "fold_penalties", "ensemble_residues", "ensemble_score"
+    )
 
 
 def _fit_mlp(df: DataFrame, options: dict) -> tuple[MlpModel, list[dict]]:

@@ -12,6 +12,16 @@ from pyspark.sql import types as T
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly when there are fewer input files than cores.
+
+    A lone Parquet row group is one task, however many cores wait. A table of
+    many files is left as it is, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_sequences_csv(
     spark: SparkSession,
     path: str | list[str],
