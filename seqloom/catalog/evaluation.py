@@ -194,14 +194,15 @@ _BENCH = f"""bench AS (
 def _lcs_sql(select: str) -> str:
     """All pairs of the passages with their LCS: one recursive step per letter of the first."""
     return f"""WITH RECURSIVE {_BENCH}, pairs AS (
-      SELECT row_number() OVER () AS id, a.side AS side_a, b.side AS side_b, a.s AS a, b.s AS b FROM bench a, bench b
+      SELECT row_number() OVER () AS id, a.side AS side_a, b.side AS side_b, a.s AS a, b.s AS b,
+        string_split(a.s, '') AS la, string_split(b.s, '') AS lb FROM bench a, bench b
       WHERE (a.side = b.side AND a.s <= b.s) OR (a.side = 'train' AND b.side = 'test')),
     steps AS (
       SELECT id, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0::BIGINT) AS r FROM pairs
       UNION ALL
       SELECT s.id, s.i + 1, list_reduce(
           range(1, length(p.b) + 1),
-          lambda acc, j: list_append(acc, CASE WHEN p.b[j] = p.a[s.i + 1] THEN s.r[j] + 1
+          lambda acc, j: list_append(acc, CASE WHEN p.lb[j] = p.la[s.i + 1] THEN s.r[j] + 1
             ELSE greatest(acc[j], s.r[j + 1]) END),
           [0::BIGINT])
       FROM steps s JOIN pairs p USING (id) WHERE s.i < length(p.a)),

@@ -18,18 +18,42 @@ from . import scoring_sql as s
 from . import views as v
 from .registry import query
 
+
+
+def _located(rows):
+    """Each residue column's mean and position-weighted mean per sequence."""
+    names = [c for c in rows.columns if c not in ("seq_id", "pos")]
+    place = (F.col("pos") + 1) / F.lit(1000.0)
+    return rows.groupBy("seq_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[v.r6(F.avg(c)).alias(c) for c in names],
+        *[v.r6(F.avg(F.col(c) * place)).alias(f"{c}_placed") for c in names],
+    )
+
+
+def _located_sql(table: str, names: list[str]) -> str:
+    columns = [f"{v.sql_r6(f'avg({c})')} AS {c}" for c in names]
+    columns += [f"{v.sql_r6(f'avg({c} * ((pos + 1) / 1000.0::DOUBLE))')} AS {c}_placed" for c in names]
+    return f"SELECT seq_id, count(*) AS n, {', '.join(columns)} FROM {table} GROUP BY seq_id"
+
+
 # -- residues and encoders -----------------------------------------------------
 
 
 @query(
     "residue_explode",
-    f"""WITH {v.RESIDUES} SELECT seq_id, pos, aa, (aa IN ('V','I','L','F','Y','W','M'))::INT AS res_value_bool
-    FROM residues""",
+    f"""WITH {v.RESIDUES} SELECT seq_id, aa, count(*) AS n, sum(pos)::BIGINT AS pos_sum,
+      sum((aa IN ('V','I','L','F','Y','W','M'))::INT)::BIGINT AS n_positive FROM residues GROUP BY seq_id, aa""",
 )
 def residue_explode(spark, sf_dir):
     df = v.sequences(spark, sf_dir).select("seq_id", "sequence")
     labeled = df.withColumn("labels", v.residue_labels(F.col("sequence")))
-    return residues.residue_explode(labeled, "labels").select("seq_id", "pos", "aa", "res_value_bool")
+    rows = residues.residue_explode(labeled, "labels").select("seq_id", "pos", "aa", "res_value_bool")
+    return rows.groupBy("seq_id", "aa").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("pos").alias("pos_sum"),
+        F.sum("res_value_bool").alias("n_positive"),
+    )
 
 
 @query(
@@ -49,12 +73,13 @@ def encode_onehot(spark, sf_dir):
 
 @query(
     "encode_zscale",
-    f"WITH {v.RESIDUES}, {v.ZBOOK} SELECT seq_id, pos, aa, d0, d1, d2, d3, d4 FROM residues JOIN zbook USING (aa)",
+    f"WITH {v.RESIDUES}, {v.ZBOOK}, encoded AS (SELECT * FROM residues JOIN zbook USING (aa)) "
+    + _located_sql("encoded", ["d0", "d1", "d2", "d3", "d4"]),
 )
 def encode_zscale(spark, sf_dir):
     rows = residues.residue_explode(v.sequences(spark, sf_dir).select("seq_id", "sequence"))
     encoded = residues.encode_zscale(rows.select("seq_id", "pos", "aa"))
-    return encoded.select("seq_id", "pos", "aa", *[F.col("vec")[i].alias(f"d{i}") for i in range(5)])
+    return _located(encoded.select("seq_id", "pos", *[F.col("vec")[i].alias(f"d{i}") for i in range(5)]))
 
 
 @query(
@@ -292,22 +317,18 @@ def _convolved(spark, sf_dir):
     "WITH "
     + s.CONTEXT
     + s.convolved(_ONE)
-    + " SELECT seq_id, pos, "
-    + ", ".join(f"{v.sql_r6(c)} AS {c}" for c in ("f1_0", "f1_1", "a1_0", "a1_1"))
-    + " FROM conv",
+    + " "
+    + _located_sql("conv", ["f1_0", "f1_1", "a1_0", "a1_1"]),
 )
 def residue_conv1d(spark, sf_dir):
     both = F.arrays_zip("features", "attention")
     rows = _convolved(spark, sf_dir).select("seq_id", F.posexplode(both).alias("pos", "z"))
-    return rows.select(
-        "seq_id",
-        "pos",
-        *[
-            v.r6(F.col(f"z.{part}")[k]).alias(f"{part[0]}1_{k}")
-            for part in ("features", "attention")
-            for k in range(2)
-        ],
-    )
+    channels = [
+        F.col(f"z.{part}")[k].alias(f"{part[0]}1_{k}")
+        for part in ("features", "attention")
+        for k in range(2)
+    ]
+    return _located(rows.select("seq_id", "pos", *channels))
 
 
 @query(
@@ -316,12 +337,14 @@ def residue_conv1d(spark, sf_dir):
     + s.CONTEXT
     + s.convolved(_ONE)
     + s.applied(_ONE)
-    + f" SELECT seq_id, pos, {v.sql_r6('x1_0')} AS x0, {v.sql_r6('x1_1')} AS x1 FROM applied",
+    + ", scaled AS (SELECT seq_id, pos, x1_0 * 1000 AS x0, x1_1 * 1000 AS x1 FROM applied) "
+    + _located_sql("scaled", ["x0", "x1"]),
 )
 def attention_apply(spark, sf_dir):
     applied = attention.attention_apply(_convolved(spark, sf_dir))
-    return applied.select("seq_id", F.posexplode("applied").alias("pos", "x")).select(
-        "seq_id", "pos", v.r6(F.col("x")[0]).alias("x0"), v.r6(F.col("x")[1]).alias("x1")
+    rows = applied.select("seq_id", F.posexplode("applied").alias("pos", "x"))
+    return _located(
+        rows.select("seq_id", "pos", *[(F.col("x")[k] * 1000).alias(f"x{k}") for k in range(2)])
     )
 
 
@@ -332,14 +355,13 @@ def attention_apply(spark, sf_dir):
     + s.convolved(_ONE)
     + s.applied(_ONE)
     + s.heads(_ONE)
-    + f" SELECT seq_id, pos, {v.sql_r6('o1')} AS logit FROM heads",
+    + " "
+    + _located_sql("heads", ["o1"]),
 )
 def mlp_head(spark, sf_dir):
     applied = attention.attention_apply(_convolved(spark, sf_dir))
     logits = attention.mlp_head(applied.drop("features", "attention"), _first_fold().head)
-    return logits.select("seq_id", F.posexplode("logits").alias("pos", "o")).select(
-        "seq_id", "pos", v.r6(F.col("o")).alias("logit")
-    )
+    return _located(logits.select("seq_id", F.posexplode("logits").alias("pos", "o1")))
 
 
 _LETTER_LOGITS = (
@@ -446,11 +468,12 @@ def _fold_residues(spark, sf_dir):
 
 @query(
     "ensemble_residue",
-    s.FOLD_SCORES + f"SELECT seq_id, pos, {v.sql_r6(s.ENSEMBLE_RESIDUE)} AS score FROM probs",
+    s.FOLD_SCORES
+    + f", means AS (SELECT seq_id, pos, {s.ENSEMBLE_RESIDUE} AS score FROM probs) "
+    + _located_sql("means", ["score"]),
 )
 def ensemble_residue(spark, sf_dir):
-    means = ensemble.ensemble_residue(_fold_residues(spark, sf_dir))
-    return means.select("seq_id", "pos", v.r6(F.col("score")).alias("score"))
+    return _located(ensemble.ensemble_residue(_fold_residues(spark, sf_dir)))
 
 
 _RISK = "p > 0.55::DOUBLE"
@@ -522,12 +545,22 @@ def prediction_report(spark, sf_dir):
         [f"SELECT seq_id, 'fold{f}' AS series, pos, p{f} AS score FROM probs" for f in range(1, 6)]
         + [f"SELECT seq_id, 'ensemble', pos, {s.ENSEMBLE_RESIDUE} FROM probs"]
     )
-    + f""") SELECT seq_id, series, pos + 1 AS position, aa, {v.sql_r6('score')} AS score
-    FROM long JOIN residues USING (seq_id, pos)""",
+    + f""") SELECT seq_id, series, count(*) AS n, max(pos) + 1 AS last_position,
+      count(*) FILTER (aa = 'L') AS n_leucine, {v.sql_r6('avg(score)')} AS score,
+      {v.sql_r6("avg(CASE WHEN aa = 'L' THEN score * ((pos + 1) / 1000.0::DOUBLE) ELSE 0 END)")} AS leucine_placed
+    FROM long JOIN residues USING (seq_id, pos) GROUP BY seq_id, series""",
 )
 def residue_profile_long(spark, sf_dir):
     profile = ensemble.residue_profile_long(_scored(spark, sf_dir), v.FOLDS)
-    return profile.select("seq_id", "series", "position", "aa", v.r6(F.col("score")).alias("score"))
+    leucine = F.col("aa") == "L"
+    placed = F.when(leucine, F.col("score") * (F.col("position") / F.lit(1000.0))).otherwise(0.0)
+    return profile.groupBy("seq_id", "series").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("position").alias("last_position"),
+        F.count_if(leucine).alias("n_leucine"),
+        v.r6(F.avg("score")).alias("score"),
+        v.r6(F.avg(placed)).alias("leucine_placed"),
+    )
 
 
 @query(

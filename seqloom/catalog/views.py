@@ -156,8 +156,12 @@ def letter_logit_values(f: int = 1) -> dict[str, float]:
 
 
 def r6(x: Column) -> Column:
-    """Six decimals by one formula that is the same arithmetic in every engine."""
-    return F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    """Six decimals by one formula that is the same arithmetic in every engine.
+
+    The offset a little over one half settles exact halves, which sums in
+    another order would reach from either side.
+    """
+    return F.floor(x * F.lit(1e6) + F.lit(0.5001)) / F.lit(1e6)
 
 
 # -- the same tables in SQL ----------------------------------------------------
@@ -171,7 +175,7 @@ def sql_split(key: str) -> str:
 
 
 def sql_r6(x: str) -> str:
-    return f"(floor(({x}) * 1e6 + 0.5) / 1e6)"
+    return f"(floor(({x}) * 1e6 + 0.5001::DOUBLE) / 1e6)"
 
 
 SEQS = f"""seqs AS (
