@@ -17,10 +17,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
 from ..functions.constants import HISTOGRAM_BINS
-from ..functions.lcs import indel_ratio, lcs_length, letter_masks
-from ..session import ship_package
+from ..functions.kmers import kmer_tokens
+from ..functions.lcs import (
+    indel_ratio,
+    lcs_at_least,
+    lcs_length,
+    letter_masks,
+    letters_in_common,
+)
+from ..session import ship_package, shuffle_width
 
 SIDES = ("train", "test")
 SETS = ("train_train", "test_test", "train_test")
@@ -157,106 +163,147 @@ def kmers_lost_per_letter(threshold: float, k: int) -> float:
     return max(k * gap / (2 - threshold), (k - 1) * gap / threshold)
 
 
-def _shortest_with_partner(threshold: float) -> int:
-    """Shortest sequence that can have a distinct partner at the threshold."""
-    n = 1
-    while 2.0 * n / (2 * n + 1) < threshold - 1e-12:
-        n += 1
-    return n
+def kmer_bands(threshold: float, shared: int) -> list[tuple[int, int]]:
+    """(k, shortest length) of each length band, shortest band first.
+
+    Long k-mers are rarer but promise shared ones to long sequences only.
+    """
+    shortest = 1  # the shortest sequence that can have a distinct partner
+    while 2.0 * shortest / (2 * shortest + 1) < threshold - 1e-12:
+        shortest += 1
+
+    def holds(k: int) -> bool:
+        share = kmers_lost_per_letter(threshold, k)
+        # Beyond ``far`` the linear bound alone promises a shared k-mer.
+        far = ceil((k + 1) / (1 - share)) if share < 1 else None
+        return far is not None and all(
+            shared_kmers_needed(n, threshold, k) >= 1 for n in range(shortest, far + 1)
+        )
+
+    small = max((k for k in range(1, 9) if holds(k)), default=0)
+    if not small:
+        raise ValueError(f"no k-mer length can promise a match at {threshold}")
+    large = floor(0.8 / (2 * (1 - threshold) / (2 - threshold)))
+    bands = [(small, shortest)]
+    if large > small:
+        share = kmers_lost_per_letter(threshold, large)
+        bands.append((large, ceil((shared + large) / (1 - share))))
+    return bands
 
 
 def near_identical_join(
-    df: DataFrame, threshold: float = 0.95, k: int = 5, key: str = "seq_id"
+    df: DataFrame, threshold: float = 0.95, key: str = "seq_id", shared: int = 16
 ) -> DataFrame:
     """(id_a, id_b, ratio) of distinct sequences at least ``threshold`` alike.
 
     Exact: two such sequences must share a counted number of k-mers, so they
-    share one among the rarest k-mers of each (prefix filter). Rare k-mers keep
-    the candidate groups small; candidates within the length band are verified
-    by the exact ratio. Copies are folded first, each distinct sequence is
-    represented by its smallest id. A k too large for the threshold is refused.
+    share ``shared`` of them (fewer for short ones) among the rarest of each
+    (prefix filter). Rare k-mers keep the candidate groups small; candidates
+    within the length band are verified by the exact ratio. Copies are folded
+    first, each distinct sequence is represented by its smallest id.
     """
     if not 0.5 < threshold < 1.0:
         raise ValueError("threshold must be in (0.5, 1); copies are found by a plain distinct")
     ship_package(df.sparkSession)
-    shortest = _shortest_with_partner(threshold)
-    for n in range(shortest, shortest + 50 * k):
-        if shared_kmers_needed(n, threshold, k) < 1:
-            raise ValueError(f"k={k} cannot guarantee a shared k-mer at {threshold}; use a smaller k")
-    if kmers_lost_per_letter(threshold, k) >= 0.9:
-        raise ValueError(f"k={k} is too large for threshold {threshold}")
-
+    bands = kmer_bands(threshold, shared)
+    kind = df.schema[key].dataType.simpleString()
     distinct = df.groupBy("sequence").agg(F.min(key).alias("id"))
-    # Bound on the prefix, linear in length: never shorter than the exact one.
-    length = F.length("sequence")
-    lost = F.floor(length * F.lit(kmers_lost_per_letter(threshold, k)) + 1e-6).cast("int")
-    prefix = F.least(length - k + 1, lost + 1)
-    eligible = distinct.where(length >= max(shortest, k)).select(
-        "id", "sequence", length.alias("len"), prefix.alias("prefix")
+    prefixes = _rare_prefixes(distinct, threshold, bands, shared, kind)
+    other = prefixes.select(
+        F.col("id").alias("id_b"),
+        F.col("len").alias("len_b"),
+        F.col("need").alias("need_b"),
+        "band",
+        "token",
     )
-
-    starts = F.sequence(F.lit(1), F.col("len") - k + 1)
-    # Slices of the letter array: a substring scans from the start of the text.
-    kmers = eligible.select(
-        "id",
-        "len",
-        "prefix",
-        F.explode(
-            let(
-                F.split("sequence", ""),
-                lambda letters: F.transform(
-                    starts, lambda i: F.xxhash64(F.slice(letters, i, F.lit(k)))
-                ),
-            )
-        ).alias("kmer"),
-    )
-    # The n-th copy of a k-mer inside a sequence is a token of its own.
-    counted = kmers.groupBy("id", "len", "prefix", "kmer").agg(F.count(F.lit(1)).alias("copies"))
-    tokens = counted.select(
-        "id",
-        "len",
-        "prefix",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.col("copies").cast("int")), lambda c: F.xxhash64("kmer", c))
-        ).alias("token"),
-    )
-    frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rarest_first = Window.partitionBy("id").orderBy("df", "token")
-    prefixes = (
-        tokens.join(frequency.where(F.col("df") > 1), "token", "left")
-        .withColumn("rank", F.row_number().over(rarest_first))
-        # A token only one sequence has fills the prefix but matches nothing.
-        .where((F.col("rank") <= F.col("prefix")) & F.col("df").isNotNull())
-        .select("id", "len", "token")
-    )
-    other = prefixes.select(F.col("id").alias("id_b"), F.col("len").alias("len_b"), "token")
     lo, hi = F.least("len", "len_b"), F.greatest("len", "len_b")
     candidates = (
-        prefixes.join(other, "token")
+        prefixes.join(other, ["band", "token"])
         .where((F.col("id") < F.col("id_b")) & (2.0 * lo >= F.lit(threshold - 1e-12) * (lo + hi)))
-        .select(F.col("id").alias("id_a"), "id_b")
+        .groupBy(F.col("id").alias("id_a"), "id_b", "band")
+        .agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("need", "need_b")).alias("need"))
+        .where(F.col("hits") >= F.col("need"))
+        .select("id_a", "id_b")
         .distinct()
     )
+    # Verifying costs far more than its bytes suggest, so its width is fixed
+    # instead of being merged down by size.
+    width = shuffle_width(df.sparkSession)
     texts = distinct.select("id", "sequence")
-    sided = candidates.join(
-        texts.select(F.col("id").alias("id_a"), F.col("sequence").alias("a")), "id_a"
-    ).join(texts.select(F.col("id").alias("id_b"), F.col("sequence").alias("b")), "id_b")
+    sided = (
+        candidates.join(texts.select(F.col("id").alias("id_a"), F.col("sequence").alias("a")), "id_a")
+        .repartition(width, "id_b")
+        .join(texts.select(F.col("id").alias("id_b"), F.col("sequence").alias("b")), "id_b")
+    )
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ratios = [
-                indel_ratio(lcs_length(letter_masks(a), len(a), b), len(a), len(b))
-                for a, b in zip(frame["a"], frame["b"])
-            ]
-            out = frame[["id_a", "id_b"]].assign(ratio=ratios)
-            yield out[out["ratio"] >= threshold]
+            kept = []
+            for id_a, id_b, a, b in zip(frame["id_a"], frame["id_b"], frame["a"], frame["b"]):
+                total = len(a) + len(b)
+                need = ceil(threshold * total / 2 - 1e-9)
+                if letters_in_common(a, b) < need:
+                    continue
+                lcs = lcs_at_least(letter_masks(a), len(a), b, need)
+                if lcs >= need:
+                    kept.append((id_a, id_b, indel_ratio(lcs, len(a), len(b))))
+            yield pd.DataFrame(kept, columns=["id_a", "id_b", "ratio"])
 
-    kind = df.schema[key].dataType.simpleString()
     return sided.select("id_a", "id_b", "a", "b").mapInPandas(
         verify, f"id_a {kind}, id_b {kind}, ratio double"
     )
 
 
+def _rare_prefixes(
+    distinct: DataFrame, threshold: float, bands: list[tuple[int, int]], shared: int, kind: str
+) -> DataFrame:
+    """(id, band, len, need, token): the rarest k-mer tokens, enough to meet any partner.
+
+    With at least ``o`` common tokens of ``n``, the first n - o + m tokens in any
+    common order hold at least m of them; ``need`` is that m. A band reaches as
+    far as the longest partner of its sequences, so every pair has a band in common.
+    """
+    reach = (2 - threshold) / threshold
+    limits = [
+        (k, start, bands[i + 1][1] * reach if i + 1 < len(bands) else np.inf)
+        for i, (k, start) in enumerate(bands)
+    ]
+
+    def tokenize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.assign(len=frame["sequence"].str.len())
+            for band, (k, start, end) in enumerate(limits):
+                part = frame[(frame["len"] >= max(start, k)) & (frame["len"] <= end)]
+                n = part["len"] - k + 1
+                lost = np.floor(part["len"] * kmers_lost_per_letter(threshold, k) + 1e-6).astype(int)
+                need = (n - lost).clip(1, shared)
+                yield pd.DataFrame(
+                    {
+                        "id": part["id"],
+                        "band": band,
+                        "len": part["len"],
+                        "need": need,
+                        "prefix": np.minimum(n, lost + need),
+                        "tokens": [kmer_tokens(s, k) for s in part["sequence"]],
+                    }
+                )
+
+    tokens = distinct.mapInPandas(
+        tokenize, f"id {kind}, band int, len int, need int, prefix int, tokens array<long>"
+    ).select("id", "band", "len", "need", "prefix", F.explode("tokens").alias("token"))
+    frequency = (
+        tokens.groupBy("band", "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    )
+    rarest_first = Window.partitionBy("id", "band").orderBy("df", "token")
+    return (
+        tokens.join(frequency, ["band", "token"], "left")
+        .withColumn("rank", F.row_number().over(rarest_first))
+        # A token only one sequence has sorts first, fills the prefix and matches nothing.
+        .where((F.col("rank") <= F.col("prefix")) & F.col("df").isNotNull())
+        .select("id", "band", "len", "need", "token")
+    )
+
+
 # -- cosine similarity ---------------------------------------------------------
 
 
