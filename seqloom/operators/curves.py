@@ -46,18 +46,19 @@ def pr_points(df: DataFrame, keys: list[str], y: str = "y", prob: str = "y_pred_
     """(keys, threshold, precision, recall), closed by (1, 0) without a threshold."""
     counts = score_counts(df, keys, y, prob)
     ranked = running_sums(counts, keys, "score", ["pos", "neg"], descending=True)
-    points = ranked.select(
-        *keys,
+    seen = F.col("cum_pos") + F.col("cum_neg")
+    recall = F.try_divide(F.col("cum_pos").cast("double"), F.col("total_pos"))
+    point = F.struct(
         F.col("score").alias("threshold"),
-        (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-        F.coalesce(
-            F.try_divide(F.col("cum_pos").cast("double"), F.col("total_pos")), F.lit(1.0)
-        ).alias("recall"),
+        (F.col("cum_pos") / seen).alias("precision"),
+        F.coalesce(recall, F.lit(1.0)).alias("recall"),
     )
-    ends = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys,
+    end = F.struct(
         F.lit(None).cast("double").alias("threshold"),
         F.lit(1.0).alias("precision"),
         F.lit(0.0).alias("recall"),
     )
-    return points.unionByName(ends)
+    # The last point of a curve brings the closing one with it.
+    last = seen == F.col("total_pos") + F.col("total_neg")
+    points = F.when(last, F.array(point, end)).otherwise(F.array(point))
+    return ranked.select(*keys, F.inline(points))

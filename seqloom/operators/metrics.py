@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import CUTOFF_STEPS
+from ..session import cut_lineage
 from .ordered import running_sums
 
 OVERALL = ""  # group name of the rows over all groups
@@ -181,7 +182,7 @@ def spearman(df: DataFrame, keys: list[str], y: str = "y", y_pred: str = "y_pred
     Equal (y, y_pred) pairs are counted before the rank joins; a hot value is
     one row on the rank side and is split by the skew-join rule on the other.
     """
-    pairs = (
+    pairs = cut_lineage(
         df.where(F.col(y).isNotNull() & F.col(y_pred).isNotNull())
         .groupBy(*keys, F.col(y).cast("double").alias("y"), F.col(y_pred).cast("double").alias("p"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -245,18 +246,28 @@ def metrics_by_split_group(
     keys = [group, split]
     if task == "regression":
         return regression_metrics(with_overall(df, group), keys, y, y_pred)
-    per_group = confusion_counts(df, keys, y, y_pred) if group in df.columns else confusion_counts(
-        df.withColumn(group, F.lit(OVERALL)), keys, y, y_pred
+    # The source, which may be a whole scoring run, is read once: every metric
+    # follows from the rows per (group, split, prediction, score).
+    own_keys = [split, *([group] if group in df.columns else [])]
+    predicted = _checked(F.col(y_pred).cast("double"), y_pred)
+    counted = cut_lineage(
+        score_counts(df.withColumn("_pred", predicted), [*own_keys, "_pred"], y, prob)
     )
-    tables = with_overall(per_group, group) if group in df.columns else per_group
-    names = ("tp", "fp", "tn", "fn", "tp+tn", "total")
-    confusion = tables.groupBy(*keys).agg(*[F.sum(f"`{c}`").alias(c) for c in names])
-
-    scores = score_counts(df, [split, *([group] if group in df.columns else [])], y, prob)
-    scores = (
-        with_overall(scores, group)
-        .groupBy(*keys, "score")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    tables = with_overall(counted, group)
+    cell = lambda p, n: F.sum(F.when(F.col("_pred") == p, F.col(n)).otherwise(F.lit(0)))
+    confusion = (
+        tables.groupBy(*keys)
+        .agg(
+            cell(1, "pos").alias("tp"),
+            cell(1, "neg").alias("fp"),
+            cell(0, "neg").alias("tn"),
+            cell(0, "pos").alias("fn"),
+            F.sum(F.col("pos") + F.col("neg")).alias("total"),
+        )
+        .withColumn("tp+tn", F.col("tp") + F.col("tn"))
+    )
+    scores = tables.groupBy(*keys, "score").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
     return (
         classification_metrics(confusion)
