@@ -29,6 +29,16 @@ def convolve(x: np.ndarray, lengths: np.ndarray, weight: np.ndarray, bias: np.nd
     return out
 
 
+def tap_columns(x: np.ndarray, lengths: np.ndarray, taps: int) -> np.ndarray:
+    """(positions, taps * width): what each position's convolution reads."""
+    place, size = neighbour_index(lengths, taps)
+    padded = np.zeros((size, x.shape[1]))
+    padded[place] = x
+    return np.concatenate(
+        [np.take(padded, place + t - taps // 2, axis=0) for t in range(taps)], axis=1
+    )
+
+
 def neighbour_codes(codes: np.ndarray, lengths: np.ndarray, taps: int, border: int) -> list[np.ndarray]:
     """Letter code at each tap of every position; every fold reads the same ones."""
     place, size = neighbour_index(lengths, taps)

@@ -25,7 +25,7 @@ from ..session import ship_package
 from .residues import codebook
 
 VALUES_PER_STEP = 1 << 20  # size of the dense matrices held at a time
-MAX_WEIGHT_ROWS = 50_000_000
+MAX_WEIGHT_ROWS = 20_000_000
 
 _VECTOR = T.ArrayType(T.DoubleType())
 _MATRIX = T.ArrayType(_VECTOR)

@@ -31,32 +31,41 @@ def with_inference_defaults(
     return df.withColumns(missing) if missing else df
 
 
-def first_bad_letter(sequence: Column, alphabet: str = ALPHABET) -> Column:
-    """First letter outside the alphabet, null when there is none."""
-    return F.nullif(F.regexp_extract(sequence, f"([^{alphabet}])", 1), F.lit(""))
+def foreign_letters(sequence: Column, alphabet: str = ALPHABET) -> Column:
+    """The letters outside the alphabet, in order; empty when there are none."""
+    return F.translate(sequence, alphabet, "")
 
 
 def validate_alphabet(
     df: DataFrame, mode: str = "quarantine", alphabet: str = ALPHABET
 ) -> tuple[DataFrame, DataFrame] | DataFrame:
     """``quarantine`` -> (clean, rejected); ``fail`` -> rows that raise when read."""
-    bad = first_bad_letter(F.col("sequence"), alphabet)
+    foreign = foreign_letters(F.col("sequence"), alphabet)
     if mode == "fail":
         message = F.concat(
-            F.lit("sequence "), F.col("seq_id").cast("string"), F.lit(" contains "), bad
+            F.lit("sequence "),
+            F.col("seq_id").cast("string"),
+            F.lit(" contains "),
+            F.substring(foreign, 1, 1),
         )
-        checked = F.when(bad.isNotNull(), F.raise_error(message).cast("string"))
+        checked = F.when(foreign != "", F.raise_error(message).cast("string"))
         return df.withColumn("sequence", checked.otherwise(F.col("sequence")))
     if mode != "quarantine":
         raise ValueError("mode is 'quarantine' or 'fail'")
-    rejected = df.withColumns(
-        {
-            "bad_letter": bad,
-            "bad_letter_pos": F.instr(F.col("sequence"), bad) - 1,
-            "n_bad": F.length(F.regexp_replace("sequence", f"[{alphabet}]", "")),
-        }
-    ).where(F.col("bad_letter").isNotNull())
-    return df.where(bad.isNull()), rejected
+    letter = F.substring("_foreign", 1, 1)
+    rejected = (
+        df.withColumn("_foreign", foreign)
+        .where(F.col("_foreign") != "")
+        .withColumns(
+            {
+                "bad_letter": letter,
+                "bad_letter_pos": F.instr(F.col("sequence"), letter) - 1,
+                "n_bad": F.length("_foreign"),
+            }
+        )
+        .drop("_foreign")
+    )
+    return df.where(foreign == ""), rejected
 
 
 def mask_placeholder(sequence: Column, placeholder: str = MASK_PLACEHOLDER) -> Column:

@@ -76,7 +76,7 @@ def summed_gradient(
     table: DataFrame, params: list[np.ndarray], partial: Partial
 ) -> tuple[np.ndarray, np.ndarray]:
     """Sum of per-batch gradients and loss statistics over the whole table."""
-    width = max(p.shape[-1] for p in params)
+    width = max(p[..., 0].size for p in params)  # the widest input of any layer
     ship_package(table.sparkSession)
     shared = table.sparkSession.sparkContext.broadcast(params)
 
@@ -182,11 +182,15 @@ def attention_gradient(
     temperature = float(params[-1][0])
     single = mode.endswith("single_conv")
 
-    features = am.convolve(x, lengths, wf, bf)
+    columns = am.tap_columns(x, lengths, wf.shape[0])
+    features = columns @ wf.reshape(columns.shape[1], -1)
+    features += bf
     if single:
         weights = np.ones_like(features)
     else:
-        weights = ragged.segment_softmax(am.convolve(x, lengths, wa, ba), lengths)
+        attention = columns @ wa.reshape(columns.shape[1], -1)
+        attention += ba
+        weights = ragged.segment_softmax(attention, lengths)
     activations = [features * weights]
     for i in range(0, len(dense), 2):
         z = activations[-1] @ dense[i] + dense[i + 1]
@@ -212,27 +216,17 @@ def attention_gradient(
         if i:
             d = d * (a > 0)
     d_features = d * weights
-    grads = list(_conv_gradient(x, lengths, d_features, wf.shape[0]))
+    grads = [(columns.T @ d_features).reshape(wf.shape), d_features.sum(axis=0)]
     if single:
         grads += [np.zeros_like(wa), np.zeros_like(ba)]
     else:
         d_weights = d * features
         inner = ragged.segment_reduce(np.add, weights * d_weights, lengths)
         d_attention = weights * (d_weights - ragged.spread(inner, lengths))
-        grads += _conv_gradient(x, lengths, d_attention, wa.shape[0])
+        grads += [(columns.T @ d_attention).reshape(wa.shape), d_attention.sum(axis=0)]
     return [*grads, *d_dense, np.array([d_temp])], loss, scores
 
 
-def _conv_gradient(
-    x: np.ndarray, lengths: np.ndarray, d: np.ndarray, taps: int
-) -> tuple[np.ndarray, np.ndarray]:
-    place, size = am.neighbour_index(lengths, taps)
-    padded = np.zeros((size, x.shape[1]))
-    padded[place] = x
-    d_weight = np.stack([padded[place + t - taps // 2].T @ d for t in range(taps)])
-    return d_weight, d.sum(axis=0)
-
-
 def fit_attention(
     df: DataFrame,
     fold: str = "fold1",
@@ -280,15 +274,15 @@ def fit_attention(
             x, lengths = ragged.matrix_rows(batch.column("embedding"))
         else:
             codes, lengths = ragged.letter_codes(batch.column("sequence"))
-            x = book[codes]
+            x = np.take(book, codes, axis=0)
         y = np.asarray(batch.column("y"))
         held = np.asarray(batch.column("held"))
         stats, grads = np.zeros(STATS), [np.zeros_like(p) for p in params]
         for part, at in ((~held, 0), (held, 2)):
             if not part.any():
                 continue
-            inside = np.repeat(part, lengths)
-            g, loss, _ = attention_gradient(params, x[inside], lengths[part], y[part], mode, penalty)
+            rows = x if part.all() else x[np.repeat(part, lengths)]
+            g, loss, _ = attention_gradient(params, rows, lengths[part], y[part], mode, penalty)
             stats[at : at + 2] = loss.sum(), part.sum()
             if at == 0:
                 grads = g
