@@ -24,12 +24,15 @@ def letter_codes(sequences: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes, lengths
 
 
-def matrix_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``list<list<float>>`` -> (all vectors stacked, vectors per row)."""
+def matrix_rows(column: pa.Array, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``list<list<float>>`` -> (all vectors stacked, vectors per row).
+
+    ``width`` shapes the result when there is no vector to tell.
+    """
     lengths = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
     vectors = column.flatten()
     flat = np.asarray(vectors.flatten(), dtype=np.float64)
-    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0), lengths
+    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, width), lengths
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:

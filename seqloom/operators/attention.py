@@ -214,7 +214,7 @@ def mlp_head(df: DataFrame, layers: list[dict], column: str = "applied") -> Data
     shared = df.sparkSession.sparkContext.broadcast(layers)
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        x, lengths = ragged.matrix_rows(batch.column(column))
+        x, lengths = ragged.matrix_rows(batch.column(column), layers[0]["weight"].shape[0])
         return [ragged.list_array(am.run_head(x, shared.value), lengths)]
 
     width = max(layer["weight"].shape[1] for layer in layers)
@@ -248,7 +248,7 @@ def _read_input(
 ) -> tuple[Callable[[dict, str], np.ndarray], np.ndarray]:
     """(convolution of a fold's part over this batch, length of each sequence)."""
     if encoding == "embedding":
-        x, lengths = ragged.matrix_rows(batch.column("embedding"))
+        x, lengths = ragged.matrix_rows(batch.column("embedding"), fold["feature"].shape[1])
         filled = lengths[lengths > 0]
         return lambda f, part: am.convolve(x, filled, f[part], f[f"{part}_bias"]), lengths
     codes, lengths = ragged.letter_codes(batch.column("sequence"))
