@@ -103,6 +103,16 @@ def summed_gradient(
     return flat[:-STATS], flat[-STATS:]
 
 
+def training_table(table: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Write the training rows once, one even partition per core.
+
+    Every task of an epoch returns a parameter-sized sum, so more partitions than
+    cores only cost; a join's output may also have been merged into fewer.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return cut_lineage(table.repartition(cores, key))
+
+
 def descend(
     table: DataFrame,
     params: list[np.ndarray],
@@ -117,7 +127,7 @@ def descend(
 
     ``n_batches`` > 1 takes several steps per epoch on hash-chosen parts.
     """
-    fixed = cut_lineage(table).persist(StorageLevel.MEMORY_AND_DISK)
+    fixed = table.persist(StorageLevel.MEMORY_AND_DISK)
     flat = pack(params).astype(float)
     best, best_loss, best_epoch, history = flat, np.inf, -1, []
     for epoch in range(epochs):
@@ -262,8 +272,13 @@ def fit_attention(
     source = "embedding" if encoding == "embedding" else "sequence"
     usable = df.where(F.col(label).isNotNull() & F.col(split).isin("train", "val"))
     filled = F.size(source) > 0 if encoding == "embedding" else F.length(source) > 0
-    table = usable.where(filled).select(
-        "seq_id", source, F.col(label).cast("double").alias("y"), (F.col(split) == "val").alias("held")
+    table = training_table(
+        usable.where(filled).select(
+            "seq_id",
+            source,
+            F.col(label).cast("double").alias("y"),
+            (F.col(split) == "val").alias("held"),
+        )
     )
     counts = table.agg(F.count_if("held").alias("val"), F.count_if(~F.col("held")).alias("train")).first()
     if not counts["train"] or not counts["val"]:
@@ -356,11 +371,13 @@ def fit_mlp_regression(
     key: str = "seq_id",
 ) -> tuple[MlpModel, Fit]:
     """Absolute-error regression with Adam and early stopping."""
-    table = df.where(F.col(label).isNotNull() & F.col(split).isin("train", "val")).select(
-        F.col(key).alias("seq_id"),
-        F.col(features).cast("array<double>").alias("x"),
-        F.col(label).cast("double").alias("y"),
-        (F.col(split) == "val").alias("held"),
+    table = training_table(
+        df.where(F.col(label).isNotNull() & F.col(split).isin("train", "val")).select(
+            F.col(key).alias("seq_id"),
+            F.col(features).cast("array<double>").alias("x"),
+            F.col(label).cast("double").alias("y"),
+            (F.col(split) == "val").alias("held"),
+        )
     )
     first = table.first()
     if first is None:

@@ -207,7 +207,10 @@ def near_identical_join(
     ship_package(df.sparkSession)
     bands = kmer_bands(threshold, shared)
     kind = df.schema[key].dataType.simpleString()
-    distinct = df.groupBy("sequence").agg(F.min(key).alias("id"))
+    # Widths are fixed where the work per byte is high: merging partitions by
+    # size would leave tokenizing and verifying to a few tasks.
+    width = shuffle_width(df.sparkSession)
+    distinct = df.groupBy("sequence").agg(F.min(key).alias("id")).repartition(width, "id")
     prefixes = _rare_prefixes(distinct, threshold, bands, shared, kind)
     other = prefixes.select(
         F.col("id").alias("id_b"),
@@ -226,9 +229,6 @@ def near_identical_join(
         .select("id_a", "id_b")
         .distinct()
     )
-    # Verifying costs far more than its bytes suggest, so its width is fixed
-    # instead of being merged down by size.
-    width = shuffle_width(df.sparkSession)
     texts = distinct.select("id", "sequence")
     sided = (
         candidates.join(texts.select(F.col("id").alias("id_a"), F.col("sequence").alias("a")), "id_a")
