@@ -704,8 +704,8 @@ def _fitted(spark, sf_dir):
     return df, compose_pipeline(df, config)
 
 
-@query("compose_pipeline")
-def compose_pipeline_rows(spark, sf_dir):
+@query("compose_stages")
+def compose_stages(spark, sf_dir):
     df, fitted = _fitted(spark, sf_dir)
     return fitted.apply(df).select("seq_id", "data_split", "y", "y_pred", "y_pred_prob")
 

@@ -86,10 +86,14 @@ def test_inference_files(spark, tmp_path):
         [(0, "dup", "ACDEFG"), (1, "dup", "K"), (2, "bad", "AXB")], "seq_id long, name string, sequence string"
     )
     models = v.fold_models(folds=2)
-    paths = run_inference(df, models, "m", str(tmp_path / "out"))
+    with pytest.raises(Exception, match="sequence 2 contains X"):
+        run_inference(df, models, "m", str(tmp_path / "failing"))
+    paths = run_inference(df, models, "m", str(tmp_path / "out"), on_invalid="quarantine")
+    rejected = spark.read.option("header", True).csv(paths["rejected"]).collect()
+    assert [(r["sequence"], r["bad_letter"]) for r in rejected] == [("AXB", "X")]
     table = spark.read.option("header", True).csv(paths["sequences"])
     assert table.columns == ["name", "sequence", "m_fold1_seq_score", "m_fold2_seq_score", "m_ensemble_seq_score"]
-    assert table.count() == 2  # same names are kept apart, the invalid one is left out
+    assert table.count() == 2  # same names are kept apart
     lines = [json.loads(r[0]) for r in spark.read.text(paths["residues"]).collect()]
     one = next(x for x in lines if x["sequence"] == "K")
     assert one["length"] == 1 and len(one["fold_scores"]["fold1"]) == 1
