@@ -36,8 +36,8 @@ def matrix_rows(column: pa.Array, width: int = 0) -> tuple[np.ndarray, np.ndarra
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """Flat values (n,) or (n, c) -> ``list<double>`` or ``list<list<double>>``."""
-    inner = pa.array(np.ascontiguousarray(values).reshape(-1), type=pa.float64())
+    """Flat values (n,) or (n, c) -> lists, or lists of lists, of their own type."""
+    inner = pa.array(np.ascontiguousarray(values).reshape(-1))
     if values.ndim == 2:
         steps = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
         inner = pa.ListArray.from_arrays(pa.array(steps), inner)

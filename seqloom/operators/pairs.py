@@ -14,6 +14,8 @@ from math import ceil, floor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ from ..functions.lcs import (
     letter_masks,
     letters_in_common,
 )
-from ..session import ship_package, shuffle_width
+from ..functions.ragged import list_array
+from ..session import cut_lineage, ship_package, shuffle_width
 
 SIDES = ("train", "test")
 SETS = ("train_train", "test_test", "train_test")
@@ -35,12 +38,13 @@ SETS = ("train_train", "test_test", "train_test")
 def block_cells(df: DataFrame, key: Column, block_rows: int) -> DataFrame:
     """Copy each row into the cells (bi, bj), bi <= bj, that its block takes part in.
 
-    Keys are distinct, so hashing gives even blocks however the data is skewed.
+    Keys are distinct, so hashing gives even blocks however the data is skewed. The
+    rows are written once: they are counted first and then read for every block.
     """
     ship_package(df.sparkSession)
-    n = df.count()
-    blocks = max(1, ceil(n / block_rows))
-    placed = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    rows = cut_lineage(df)
+    blocks = max(1, ceil(rows.count() / block_rows))
+    placed = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     return placed.select("*", F.explode(others).alias("_o")).select(
         *placed.columns,
@@ -269,26 +273,32 @@ def _rare_prefixes(
         for i, (k, start) in enumerate(bands)
     ]
 
-    def tokenize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame.assign(len=frame["sequence"].str.len())
+    names = ["id", "band", "len", "need", "prefix", "tokens"]
+
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.asarray(pc.utf8_length(batch.column("sequence")))
             for band, (k, start, end) in enumerate(limits):
-                part = frame[(frame["len"] >= max(start, k)) & (frame["len"] <= end)]
-                n = part["len"] - k + 1
-                lost = np.floor(part["len"] * kmers_lost_per_letter(threshold, k) + 1e-6).astype(int)
+                picked = np.flatnonzero((lengths >= max(start, k)) & (lengths <= end))
+                if not len(picked):
+                    continue
+                part = batch.take(pa.array(picked))
+                n = lengths[picked] - k + 1
+                share = kmers_lost_per_letter(threshold, k)
+                lost = np.floor(lengths[picked] * share + 1e-6).astype(np.int64)
                 need = (n - lost).clip(1, shared)
-                yield pd.DataFrame(
-                    {
-                        "id": part["id"],
-                        "band": band,
-                        "len": part["len"],
-                        "need": need,
-                        "prefix": np.minimum(n, lost + need),
-                        "tokens": [kmer_tokens(s, k) for s in part["sequence"]],
-                    }
+                tokens = [kmer_tokens(s, k) for s in part.column("sequence").to_pylist()]
+                small = [np.full(len(picked), band), lengths[picked], need, np.minimum(n, lost + need)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"),
+                        *[pa.array(a, type=pa.int32()) for a in small],
+                        list_array(np.concatenate(tokens), n),
+                    ],
+                    names,
                 )
 
-    tokens = distinct.mapInPandas(
+    tokens = distinct.select("id", "sequence").mapInArrow(
         tokenize, f"id {kind}, band int, len int, need int, prefix int, tokens array<long>"
     ).select("id", "band", "len", "need", "prefix", F.explode("tokens").alias("token"))
     frequency = (

@@ -1,5 +1,6 @@
 import math
 import random
+from functools import cache
 
 import numpy as np
 import pytest
@@ -20,7 +21,10 @@ def table_lcs(a, b):
     return row[-1]
 
 
+@cache
 def ratio(a, b):
+    if a > b:
+        return ratio(b, a)
     return indel_ratio(table_lcs(a, b), len(a), len(b))
 
 
