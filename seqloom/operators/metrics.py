@@ -167,13 +167,16 @@ def optimal_cutoff(
     return optimal_cutoff_from_counts(score_counts(df, keys, y, prob), keys)
 
 
-def average_ranks(counts: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """(keys, value, out): tie-averaged rank of each distinct value, from 1."""
-    per_value = counts.groupBy(*keys, value).agg(F.sum("n").alias("n"))
-    ranked = running_sums(per_value, keys, value, ["n"])
-    return ranked.select(
-        *keys, value, (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias(out)
-    )
+def average_ranks(counts: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys, column, value, rank): tie-averaged rank of each distinct value, from 1.
+
+    All columns are ranked together, so the counts are ordered in one go.
+    """
+    long = counts.unpivot([*keys, "n"], values, "column", "value")
+    per_value = long.groupBy(*keys, "column", "value").agg(F.sum("n").alias("n"))
+    ranked = running_sums(per_value, [*keys, "column"], "value", ["n"])
+    rank = F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0
+    return ranked.select(*keys, "column", "value", rank.alias("rank"))
 
 
 def spearman(df: DataFrame, keys: list[str], y: str = "y", y_pred: str = "y_pred") -> DataFrame:
@@ -187,9 +190,13 @@ def spearman(df: DataFrame, keys: list[str], y: str = "y", y_pred: str = "y_pred
         .groupBy(*keys, F.col(y).cast("double").alias("y"), F.col(y_pred).cast("double").alias("p"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = pairs.join(average_ranks(pairs, keys, "y", "ry"), [*keys, "y"]).join(
-        average_ranks(pairs, keys, "p", "rp"), [*keys, "p"]
-    )
+    ranks = average_ranks(pairs, keys, ["y", "p"])
+    ranked = pairs
+    for name in ("y", "p"):
+        side = ranks.where(F.col("column") == name).select(
+            *keys, F.col("value").alias(name), F.col("rank").alias(f"r{name}")
+        )
+        ranked = ranked.join(side, [*keys, name])
     n, ry, rp = F.col("n"), F.col("ry"), F.col("rp")
     sums = ranked.groupBy(*keys).agg(
         F.sum(n).cast("double").alias("n"),
