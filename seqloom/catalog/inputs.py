@@ -20,7 +20,7 @@ from .scoring_sql import CLASSIFICATION_SQL, FOLD_SCORES, folds_wide_sql
 
 @query(
     "read_sequences_csv",
-    f"WITH {v.SEQS} SELECT name, length(sequence) AS len, md5(sequence) AS digest FROM seqs",
+    f"WITH {v.SEQS} SELECT name, length(sequence)::INT AS len, md5(sequence) AS digest FROM seqs",
 )
 def read_sequences_csv(spark, sf_dir):
     path = scratch_path(spark, "csv")
@@ -42,7 +42,7 @@ def read_sequences_parquet(spark, sf_dir):
 
 @query(
     "read_fasta",
-    f"WITH {v.SEQS} SELECT name, length(sequence) AS len, md5(sequence) AS digest FROM seqs",
+    f"WITH {v.SEQS} SELECT name, length(sequence)::INT AS len, md5(sequence) AS digest FROM seqs",
 )
 def read_fasta(spark, sf_dir):
     path = scratch_path(spark, "fasta")
@@ -58,7 +58,7 @@ def read_fasta(spark, sf_dir):
     "with_inference_defaults",
     f"""WITH {v.SEQS}
     SELECT seq_id, 1 AS value_bool, 'user_input' AS dataset, 'test' AS data_split,
-           length(sequence) AS len FROM seqs""",
+           length(sequence)::INT AS len FROM seqs""",
 )
 def with_inference_defaults(spark, sf_dir):
     df = checks.with_inference_defaults(v.sequences(spark, sf_dir), overwrite_split=True)
@@ -190,8 +190,8 @@ def _raw(spark, sf_dir):
     "validate_alphabet",
     f"""WITH {_RAW}, bad AS (
       SELECT seq_id, sequence, regexp_extract(sequence, '[^{ALPHABET}]') AS bad_letter FROM raw)
-    SELECT seq_id, bad_letter, strpos(sequence, bad_letter) - 1 AS bad_letter_pos,
-           length(regexp_replace(sequence, '[{ALPHABET}]', '', 'g')) AS n_bad
+    SELECT seq_id, bad_letter, (strpos(sequence, bad_letter) - 1)::INT AS bad_letter_pos,
+           length(regexp_replace(sequence, '[{ALPHABET}]', '', 'g'))::INT AS n_bad
     FROM bad WHERE bad_letter <> ''""",
 )
 def validate_alphabet(spark, sf_dir):
@@ -212,7 +212,7 @@ def mask_placeholder(spark, sf_dir):
 
 @query(
     "tandem_copies",
-    f"""WITH {v.SEQS} SELECT seq_id, 3 * length(sequence) + 50 AS len,
+    f"""WITH {v.SEQS} SELECT seq_id, (3 * length(sequence) + 50)::INT AS len,
       md5(sequence || '{LINKER}' || sequence || '{LINKER}' || sequence) AS digest FROM seqs""",
 )
 def tandem_copies(spark, sf_dir):
@@ -222,7 +222,7 @@ def tandem_copies(spark, sf_dir):
 
 @query(
     "central_copy_slice",
-    f"""WITH {v.SEQS} SELECT seq_id, length(sequence) + 25 AS start, length(sequence) AS len,
+    f"""WITH {v.SEQS} SELECT seq_id, (length(sequence) + 25)::INT AS start, length(sequence)::INT AS len,
       md5(sequence) AS digest FROM seqs WHERE length(sequence) > 0""",
 )
 def central_copy_slice(spark, sf_dir):
@@ -240,7 +240,7 @@ def central_copy_slice(spark, sf_dir):
 
 @query(
     "max_length_guard",
-    f"WITH {v.SEQS} SELECT seq_id, length(sequence) AS len FROM seqs WHERE length(sequence) > 1000",
+    f"WITH {v.SEQS} SELECT seq_id, length(sequence)::INT AS len FROM seqs WHERE length(sequence) > 1000",
 )
 def max_length_guard(spark, sf_dir):
     return checks.too_long(v.sequences(spark, sf_dir)).select("seq_id", F.length("sequence").alias("len"))
@@ -300,10 +300,10 @@ def typed_feature_channels(spark, sf_dir):
     "describe_columns",
     f"""WITH {v.LABELED}
     SELECT 'seq_id' AS "column", count(seq_id) AS n_filled, NULL::INT AS min_size, NULL::INT AS max_size FROM labeled
-    UNION ALL SELECT 'name', count(name), min(length(name)), max(length(name)) FROM labeled
-    UNION ALL SELECT 'group', count("group"), min(length("group")), max(length("group")) FROM labeled
-    UNION ALL SELECT 'data_split', count(data_split), min(length(data_split)), max(length(data_split)) FROM labeled
-    UNION ALL SELECT 'sequence', count(sequence), min(length(sequence)), max(length(sequence)) FROM labeled
+    UNION ALL SELECT 'name', count(name), min(length(name))::INT, max(length(name))::INT FROM labeled
+    UNION ALL SELECT 'group', count("group"), min(length("group"))::INT, max(length("group"))::INT FROM labeled
+    UNION ALL SELECT 'data_split', count(data_split), min(length(data_split))::INT, max(length(data_split))::INT FROM labeled
+    UNION ALL SELECT 'sequence', count(sequence), min(length(sequence))::INT, max(length(sequence))::INT FROM labeled
     UNION ALL SELECT 'value_bool', count(value_bool), NULL, NULL FROM labeled""",
 )
 def describe_columns(spark, sf_dir):
@@ -429,7 +429,7 @@ def union_splits(spark, sf_dir):
 
 @query(
     "distinct_sequences",
-    f"WITH {v.SEQS} SELECT DISTINCT md5(sequence) AS digest, length(sequence) AS len FROM seqs",
+    f"WITH {v.SEQS} SELECT DISTINCT md5(sequence) AS digest, length(sequence)::INT AS len FROM seqs",
 )
 def distinct_sequences(spark, sf_dir):
     df = tables.distinct_sequences(v.sequences(spark, sf_dir))

@@ -117,7 +117,7 @@ def attach_embeddings(spark, sf_dir):
 
 @query(
     "length_order",
-    f"WITH {v.SEQS} SELECT seq_id, length(sequence) AS len FROM seqs ORDER BY len DESC, seq_id",
+    f"WITH {v.SEQS} SELECT seq_id, length(sequence)::INT AS len FROM seqs ORDER BY len DESC, seq_id",
 )
 def length_order(spark, sf_dir):
     return batching.length_order(v.sequences(spark, sf_dir)).select("seq_id", F.length("sequence").alias("len"))
@@ -545,7 +545,7 @@ def prediction_report(spark, sf_dir):
         [f"SELECT seq_id, 'fold{f}' AS series, pos, p{f} AS score FROM probs" for f in range(1, 6)]
         + [f"SELECT seq_id, 'ensemble', pos, {s.ENSEMBLE_RESIDUE} FROM probs"]
     )
-    + f""") SELECT seq_id, series, count(*) AS n, max(pos) + 1 AS last_position,
+    + f""") SELECT seq_id, series, count(*) AS n, (max(pos) + 1)::INT AS last_position,
       count(*) FILTER (aa = 'L') AS n_leucine, {v.sql_r6('avg(score)')} AS score,
       {v.sql_r6("avg(CASE WHEN aa = 'L' THEN score * ((pos + 1) / 1000.0::DOUBLE) ELSE 0 END)")} AS leucine_placed
     FROM long JOIN residues USING (seq_id, pos) GROUP BY seq_id, series""",
@@ -582,7 +582,7 @@ def compose_scoring(spark, sf_dir):
 
 @query(
     "argmax_first",
-    f"""WITH {v.SEQS}, ranked AS (SELECT "group", length(sequence) AS len, seq_id,
+    f"""WITH {v.SEQS}, ranked AS (SELECT "group", length(sequence)::INT AS len, seq_id,
       row_number() OVER (PARTITION BY "group" ORDER BY length(sequence) DESC, seq_id) AS rn FROM seqs)
     SELECT "group", seq_id, len FROM ranked WHERE rn = 1""",
 )
