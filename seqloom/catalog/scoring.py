@@ -420,7 +420,7 @@ def score_folds(spark, sf_dir):
     weights = models_to_table(spark, v.fold_models(), "formula")
     models = models_from_table(weights, "formula")
     df = v.sequences(spark, sf_dir).where(F.length("sequence") > 0)
-    scored = attention.score_folds(df, models, "weighted_mean_three")
+    scored = attention.score_folds(df, models, "weighted_mean_three", with_residues=False)
     return scored.select(
         "name",
         *[v.r6(F.col("fold_scores")[f]).alias(f"{f}_seq_score") for f in v.FOLDS],
@@ -433,6 +433,11 @@ def _scored(spark, sf_dir):
     return score_sequences(df, v.fold_models())
 
 
+def _sequence_scores(spark, sf_dir):
+    df = v.sequences(spark, sf_dir).where(F.length("sequence") > 0)
+    return attention.score_folds(df, v.fold_models(), "weighted_mean_three", with_residues=False)
+
+
 _LONG_SCORES = " UNION ALL ".join(
     f"SELECT seq_id, 'fold{f}' AS fold, s{f} AS score, {v.CUTOFFS[f'fold{f}']!r}::DOUBLE + 0.11::DOUBLE AS cutoff FROM seq_scores" for f in range(1, 6)
 )
@@ -444,7 +449,7 @@ _LONG_SCORES = " UNION ALL ".join(
 )
 def apply_cutoff(spark, sf_dir):
     cutoffs = {f: c + 0.11 for f, c in v.CUTOFFS.items()}
-    long = attention.fold_scores_long(_scored(spark, sf_dir), cutoffs)
+    long = attention.fold_scores_long(_sequence_scores(spark, sf_dir), cutoffs)
     return long.select("seq_id", "fold", "y_pred")
 
 
@@ -456,7 +461,7 @@ def apply_cutoff(spark, sf_dir):
     s.FOLD_SCORES + f"SELECT seq_id, {v.sql_r6(s.ENSEMBLE)} AS ensemble_score, 5 AS n_folds FROM seq_scores",
 )
 def ensemble_sequence(spark, sf_dir):
-    long = attention.fold_scores_long(_scored(spark, sf_dir))
+    long = attention.fold_scores_long(_sequence_scores(spark, sf_dir))
     means = ensemble.ensemble_sequence(long)
     return means.select("seq_id", v.r6(F.col("ensemble_score")).alias("ensemble_score"), F.col("n_folds").cast("int").alias("n_folds"))
 

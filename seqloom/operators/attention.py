@@ -257,12 +257,17 @@ def _read_input(
 
 
 def score_folds(
-    df: DataFrame, models: list[FoldModel], mode: str, encoding: str = "zscale"
+    df: DataFrame,
+    models: list[FoldModel],
+    mode: str,
+    encoding: str = "zscale",
+    with_residues: bool = True,
 ) -> DataFrame:
     """Add fold maps ``fold_residues``, ``fold_scores``, ``fold_penalties`` and the
     means over folds ``ensemble_residues`` and ``ensemble_score``.
 
     One pass over the sequences scores every fold. Empty sequences get nulls.
+    ``with_residues=False`` leaves the residue arrays, most of the output, in the task.
     """
     check_mode(mode)
     if len({m.feature_weight.shape[0] for m in models}) != 1:
@@ -281,29 +286,27 @@ def score_folds(
             applied = am.apply_attention(features, attention, filled, mode)
             logits = am.run_head(applied, fold["head"])
             residues, scores, weighted = am.pool(mode, logits, filled, fold["temperature"])
-            residue_sum, score_sum = residue_sum + residues, score_sum + scores
-            out.append(ragged.list_array(residues, lengths))
+            score_sum = score_sum + scores
+            if with_residues:
+                residue_sum = residue_sum + residues
+                out.append(ragged.list_array(residues, lengths))
             out.append(_with_nulls(scores, empty))
             spent = 0.0 * scores if weighted is None else (
                 ragged.segment_reduce(np.add, weighted, filled) / filled
             )
             out.append(_with_nulls(spent, empty))
         n = len(shared.value)
-        out.append(ragged.list_array(residue_sum / n, lengths))
+        if with_residues:
+            out.append(ragged.list_array(residue_sum / n, lengths))
         out.append(_with_nulls(score_sum / n, empty))
         return out
 
     fields = []
     for i in range(len(names)):
-        fields += [
-            T.StructField(f"_r{i}", _VECTOR),
-            T.StructField(f"_s{i}", T.DoubleType()),
-            T.StructField(f"_p{i}", T.DoubleType()),
-        ]
-    fields += [
-        T.StructField("ensemble_residues", _VECTOR),
-        T.StructField("ensemble_score", T.DoubleType()),
-    ]
+        fields += [T.StructField(f"_r{i}", _VECTOR)] if with_residues else []
+        fields += [T.StructField(f"_s{i}", T.DoubleType()), T.StructField(f"_p{i}", T.DoubleType())]
+    fields += [T.StructField("ensemble_residues", _VECTOR)] if with_residues else []
+    fields += [T.StructField("ensemble_score", T.DoubleType())]
     width = max(
         max(m.feature_weight.shape[1:] + tuple(l["weight"].shape[1] for l in m.head)) for m in models
     )
@@ -313,12 +316,12 @@ def score_folds(
         entries = [x for i, f in enumerate(names) for x in (F.lit(f), F.col(f"{prefix}{i}"))]
         return F.create_map(*entries)
 
+    residue_columns = [as_map("_r").alias("fold_residues"), "ensemble_residues"]
     return scored.select(
         *df.columns,
-        as_map("_r").alias("fold_residues"),
+        *(residue_columns if with_residues else []),
         as_map("_s").alias("fold_scores"),
         as_map("_p").alias("fold_penalties"),
-        "ensemble_residues",
         "ensemble_score",
     )
 

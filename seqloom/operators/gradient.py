@@ -310,7 +310,7 @@ def fit_attention(
     layers = [{"weight": dense[i], "bias": dense[i + 1]} for i in range(0, len(dense), 2)]
     model = FoldModel(fold, wf, bf, wa, ba, layers, float(fit.params[-1][0]))
 
-    held_out = score_folds(table.where("held"), [model], mode, encoding).select(
+    held_out = score_folds(table.where("held"), [model], mode, encoding, with_residues=False).select(
         "y", F.col("fold_scores")[fold].alias("y_pred_prob")
     )
     model.cutoff = float(optimal_cutoff(held_out, []).first()["optimal_mcc_cutoff"])

@@ -101,6 +101,14 @@ def test_embedding_input_equals_letters(seqs):
     assert a == pytest.approx(b)
 
 
+def test_scores_without_residues(seqs):
+    models = v.fold_models()
+    full = attention.score_folds(seqs, models, "weighted_mean_three")
+    slim = attention.score_folds(seqs, models, "weighted_mean_three", with_residues=False)
+    assert slim.columns == [c for c in full.columns if "residues" not in c]
+    assert sorted(map(str, slim.collect())) == sorted(map(str, full.select(*slim.columns).collect()))
+
+
 def test_partitioning_does_not_matter(seqs):
     models = v.fold_models()
     one = attention.score_folds(seqs.coalesce(1), models, "max").select("seq_id", "fold_scores")
