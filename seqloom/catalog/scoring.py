@@ -308,7 +308,7 @@ def _first_fold():
 
 
 def _convolved(spark, sf_dir):
-    df = v.sequences(spark, sf_dir).where(F.length("sequence") > 0).select("seq_id", "sequence")
+    df = v.sequences(spark, sf_dir).select("seq_id", "sequence")
     return attention.residue_conv1d(df, _first_fold())
 
 
@@ -419,9 +419,9 @@ def score_folds(spark, sf_dir):
     """All five folds, with weights that go through the weights table."""
     weights = models_to_table(spark, v.fold_models(), "formula")
     models = models_from_table(weights, "formula")
-    df = v.sequences(spark, sf_dir).where(F.length("sequence") > 0)
+    df = v.sequences(spark, sf_dir)
     scored = attention.score_folds(df, models, "weighted_mean_three", with_residues=False)
-    return scored.select(
+    return scored.where(F.col("ensemble_score").isNotNull()).select(
         "name",
         *[v.r6(F.col("fold_scores")[f]).alias(f"{f}_seq_score") for f in v.FOLDS],
         v.r6(F.col("ensemble_score")).alias("ensemble_seq_score"),
@@ -429,13 +429,16 @@ def score_folds(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    df = v.sequences(spark, sf_dir).where(F.length("sequence") > 0)
-    return score_sequences(df, v.fold_models())
+    # Empty sequences have no score; asking for it afterwards keeps the text
+    # clean-up out of a filter that would run in the lone scan task.
+    scored = score_sequences(v.sequences(spark, sf_dir), v.fold_models())
+    return scored.where(F.col("ensemble_score").isNotNull())
 
 
 def _sequence_scores(spark, sf_dir):
-    df = v.sequences(spark, sf_dir).where(F.length("sequence") > 0)
-    return attention.score_folds(df, v.fold_models(), "weighted_mean_three", with_residues=False)
+    df = v.sequences(spark, sf_dir)
+    scored = attention.score_folds(df, v.fold_models(), "weighted_mean_three", with_residues=False)
+    return scored.where(F.col("ensemble_score").isNotNull())
 
 
 _LONG_SCORES = " UNION ALL ".join(
