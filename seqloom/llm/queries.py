@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, quality, toxicity
+from . import langid, licenses, mixing, neardup, neighbours, packing, quality, rules, toxicity, warc
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,63 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_source_mixing")
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op3_nearest_neighbours")
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(rows, F.col("vec_id") % 20 == 0)
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 3) == 1
+    return langid.identify(docs, langid.train(docs.where(~held_out))).withColumn(
+        "held_out", held_out
+    )
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "p_good",
+    )
+
+
+@query(
+    "op10_warc",
+    """
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+    ), d AS (
+        SELECT hex, string_agg(letter, '' ORDER BY i) AS digest
+        FROM (
+            SELECT hex, i, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+                (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (5 * (3 - i % 4))) & 31 AS INT), 1) AS letter
+            FROM (SELECT DISTINCT hex FROM p), range(32) AS t(i)
+        ) GROUP BY hex
+    ), f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex)
+    SELECT page_id, octet_length(encode(body)) AS payload_bytes, digest AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+    FROM p JOIN d USING (hex) JOIN f USING (hex)
+    """,
+)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path, with_payload=False).drop("url")
