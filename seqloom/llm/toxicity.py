@@ -36,7 +36,7 @@ CHAIN = 64
 HASH_BITS = 18
 PREFIXES = (4, 5, 6, 7)
 #: At most so many labelled rows of each class, none longer than so many characters, are fitted on.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 20_000
 #: A word form marks toxic text if toxic documents have it so many times as often.
 ODDS = 5.0
@@ -58,16 +58,16 @@ def features(texts: Texts) -> tuple[Words, np.ndarray]:
     data = LOWER[texts.data]
     found = words(texts, WORD_BYTE)
     hasher = Hasher(data)
-    out = np.zeros((1 + len(PREFIXES), len(found.start)), np.int64)
+    out = np.zeros((1 + len(PREFIXES), len(found.start)), np.int32)
     shift = np.uint64(64 - HASH_BITS)
-    out[0] = (hasher(found.start, found.end) >> shift).astype(np.int64)
+    out[0] = (hasher(found.start, found.end) >> shift).astype(np.int32)
     length = found.end - found.start
     for i, n in enumerate(PREFIXES, 1):
         long = length >= n
         begin = found.start[long]
         # Another length than a whole word's, so that the two never share a number.
         salted = hasher(begin, begin + n) * np.uint64(2 * n + 1)
-        out[i, long] = (salted >> shift).astype(np.int64)
+        out[i, long] = (salted >> shift).astype(np.int32)
     return found, out
 
 
