@@ -4,10 +4,10 @@ Words are runs of letters and digits, in small ASCII letters. A fingerprint is t
 hash of ``GRAM`` words in a row; of each ``WINDOW`` consecutive ones the smallest is
 kept (winnowing), so any run of GRAM + WINDOW - 1 common words shares one. The
 templates' fingerprints are an inverted index; a text's kept fingerprints look
-themselves up in it, and hits on nearby diagonals of one template become a
-candidate. A candidate's words are aligned with the template's inside a band around
-its diagonals; the alignment tells how many template words are matched and where
-the first and the last of them stand in the text.
+themselves up in it. A hit that no notice found so far covers is a candidate: the
+text's words are aligned with the template's inside a band around the hit's diagonal,
+which tells how many template words are matched and where the first and the last of
+them stand in the text.
 
 The index grows with the templates only, which are a parameter, and is sent to the
 tasks after its size is checked. Every candidate is aligned; a text may hold any
@@ -114,13 +114,13 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
     """Longest common subsequence of words with |position in text - in template - shift| <= band.
 
     Returns matched words, and the first and the last matched word's number in the
-    text. Among alignments with as many matches the one that starts latest wins, so
-    a span is no wider than it needs to be.
+    text. Of alignments with as many matches the one that ends first wins, then the
+    one that starts last, so a span is no wider than it needs to be.
     """
     width = 2 * band + 1
     # Cells hold (matches, start of the match); start counts negated while none is matched.
     best = [(0, -1)] * (width + 2)
-    ends = (0, -1, -1)
+    ends = (0, 0, -1)  # matches, last word's number negated, first word's number
     for i, word in enumerate(template.tolist()):
         row = [(0, -1)] * (width + 2)
         for d in range(width):
@@ -128,14 +128,12 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
             value = max(best[d + 2], row[d])  # skip a template word, or a word of the text
             if 0 <= j < len(text) and int(text[j]) == word:
                 matches, start = best[d + 1]
-                value = max(value, (matches + 1, start if matches else j))
-                if value == (matches + 1, start if matches else j) and value[0] > ends[0]:
-                    ends = (value[0], value[1], j)
-                elif value[0] == ends[0] and value[1] > ends[1] and value[0]:
-                    ends = (value[0], value[1], j)
+                matched = (matches + 1, start if matches else j)
+                value = max(value, matched)
+                ends = max(ends, (matched[0], -j, matched[1]))
             row[d + 1] = value
         best = row
-    return ends
+    return ends[0], ends[2], -ends[1]
 
 
 def _matches(texts: Texts, index: Index, coverage: float) -> list[tuple]:
@@ -151,25 +149,30 @@ def _matches(texts: Texts, index: Index, coverage: float) -> list[tuple]:
     entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
     first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))])
     owner = text[gram]
-    shift = gram - first[owner] - index.position[entry]  # the diagonal
+    place = gram - first[owner]
+    shift = place - index.position[entry]  # the diagonal
     template = index.template[entry]
-    order = np.lexsort((shift, template, owner))
-    owner, template, shift = owner[order], template[order], shift[order]
-    new = np.concatenate(
-        [[True], (owner[1:] != owner[:-1]) | (template[1:] != template[:-1]) | (np.diff(shift) > BAND)]
-    )
+    order = np.lexsort((place, template, owner))
+    owner, template, place, shift = (x[order] for x in (owner, template, place, shift))
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (template[1:] != template[:-1])])
     out = []
     begins = np.flatnonzero(new)
     for a, b in zip(begins, np.append(begins[1:], len(new)), strict=True):
         i, t = int(owner[a]), int(template[a])
         base = found.of[i]
-        spread = int(shift[b - 1] - shift[a])
-        matched, start, end = align(
-            index.words[t], own[base : found.of[i + 1]], int(shift[a]), spread + BAND
-        )
-        share = matched / len(index.words[t])
-        if share >= coverage:
-            out.append((i, t, matched, share, int(found.start[base + start]), int(found.end[base + end])))
+        rest = own[base : found.of[i + 1]].copy()
+        words_of = index.words[t]
+        done = -1  # hits up to here belong to notices that are found
+        for at, diagonal in zip(place[a:b].tolist(), shift[a:b].tolist(), strict=True):
+            while at > done:
+                matched, start, end = align(words_of, rest, diagonal, BAND)
+                if matched < coverage * len(words_of):
+                    break
+                span = int(found.start[base + start]), int(found.end[base + end])
+                out.append((i, t, matched, matched / len(words_of), *span))
+                rest[start : end + 1] = 0  # no word's hash: a word is part of one notice
+                if start <= at:
+                    done = max(done, end)
     return out
 
 
