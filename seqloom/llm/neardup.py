@@ -16,10 +16,13 @@ documents with probability J.
 0.8 shares none with probability 6e-5). A pair counts as near if the exact J, or the
 plain Jaccard of the two shingle sets, is at least 0.8; the two differ only where
 shingles repeat inside a text. A bucket is never expanded into pairs: all
-members are compared with one pivot, the links that verification confirms are
-joined into classes, and buckets that still hold several classes are compared
-with other pivots, by a hash of the round, until a round finds no new link. Exact
-copies collapse before that.
+members are compared with one pivot, and the links that verification confirms are
+joined into classes. Where a bucket then still holds several classes, a second
+pivot is tried; after that its members outside its largest class meet all its
+members in blocks of bounded size, where equal registers estimate J, and only
+pairs of different classes with an estimate within five standard errors of the
+threshold are verified. So every pair that shares a bucket is either in one class
+already or has been compared. Exact copies collapse before that.
 
 Defined results: null counts as the empty text; a text with one to four words is
 one shingle of them all; texts without words are copies of each other; repeated
@@ -33,21 +36,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import arrow, map_texts, written
-from .textops import Hasher, Texts, mix, shingles, slices, words
+from .textops import TEXT_BITS, Hasher, Texts, mix, shingles, slices, words
 
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS = 32
 ROWS = 6
 REGISTERS = BANDS * ROWS
-#: Rounds without a new link, after the first, that end the search.
-QUIET_ROUNDS = 2
+PIVOT_ROUNDS = 2
+#: Members of a bucket that meet at a time, and how far an estimate may stay behind.
+BLOCK = 256
+SLACK = 0.15
 
 
 def weighted_shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,9 +63,9 @@ def weighted_shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     shingle, text = shingles(hashes, found.of, WIDTH)
     if not len(shingle):
         return text, shingle, np.empty(0)
-    # The text in the leading bits: one sort orders all texts.
-    bits = np.uint64(max(1, int(len(texts)).bit_length()))
-    rest = np.uint64(64) - bits
+    # The text in the leading bits: one sort orders all texts. As many bits in every
+    # slice, since a shingle's hash must not depend on the texts around it.
+    bits, rest = np.uint64(TEXT_BITS), np.uint64(64 - TEXT_BITS)
     tagged = np.sort((text.astype(np.uint64) << rest) | (shingle >> bits))
     first = np.flatnonzero(np.concatenate([[True], tagged[1:] != tagged[:-1]]))
     count = np.diff(np.append(first, len(tagged))).astype(np.float64)
@@ -168,8 +174,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _by_text(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     text, shingle, weight = weighted_shingles(texts)
-    # Keys lose as many bits as the slice has texts; two slices must lose the same.
-    shingle = shingle >> np.uint64(24) << np.uint64(24)
     at = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
     return [(shingle[i:j], weight[i:j]) for i, j in zip(at, at[1:], strict=False)]
 
@@ -223,6 +227,66 @@ def _pivots(buckets: DataFrame, order: Column) -> DataFrame:
     )
 
 
+def _met_in_blocks(placed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes in one bucket with an estimate of at least ``least``.
+
+    Members outside the bucket's largest class are dealt to blocks on the left, all
+    members to blocks on the right, and each pair of blocks is one group.
+    """
+    sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (
+        sizes.groupBy("bucket")
+        .agg(
+            F.max_by("root", F.struct("n", "root")).alias("main"),
+            F.max("n").alias("most"),
+            F.sum("n").alias("n"),
+        )
+        .where("n > most")
+        .select(
+            "bucket",
+            "main",
+            F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("lefts"),
+            F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"),
+        )
+    )
+    members = written(placed.join(mixed, "bucket"), "mixed")
+
+    def run(part: Texts, rows: pa.RecordBatch) -> pa.RecordBatch:
+        found = registers(*weighted_shingles(part), len(part))
+        short = (found >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return arrow(["node", "registers"], [rows.column("doc_id"), pa.array([r.tobytes() for r in short])])
+
+    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    known = map_texts(texts.join(wanted, "doc_id"), run, "node long, registers binary")
+    # Salted, so that the two sides' blocks are dealt independently.
+    left, right = F.xxhash64("node", F.lit("l")), F.xxhash64("node", F.lit("r"))
+    first = members.where("root != main").select(
+        "bucket", "node", "root", F.lit(True).alias("asks"),
+        F.pmod(left, F.col("lefts")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"),
+    )
+    second = members.select(
+        "bucket", "node", "root", F.lit(False).alias("asks"),
+        F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"),
+        F.pmod(right, F.col("rights")).cast("int").alias("j"),
+    )
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        held = np.frombuffer(b"".join(group["registers"]), np.int32).reshape(len(group), REGISTERS)
+        asks = group["asks"].to_numpy(bool)
+        node, root = group["node"].to_numpy(), group["root"].to_numpy()
+        out = []
+        for i in np.flatnonzero(asks):
+            close = (held[~asks] == held[i]).mean(1) >= least
+            close &= root[~asks] != root[i]
+            out.append(np.stack([np.minimum(node[~asks][close], node[i]), np.maximum(node[~asks][close], node[i])], 1))
+        both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    met = first.unionByName(second).join(known, "node").groupBy("bucket", "i", "j")
+    return met.applyInPandas(compare, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, digest of its text and class_id."""
     rows = written(sketches(docs), "sketches")
@@ -244,27 +308,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "texts",
     )
     tried = links = roots = None
-    quiet = turn = 0
-    while quiet < QUIET_ROUNDS:
-        if roots is None or links.isEmpty():
-            placed = buckets.withColumn("root", F.col("node"))
-        else:
+    for turn in range(PIVOT_ROUNDS + 1):
+        placed = buckets.withColumn("root", F.col("node"))
+        if roots is not None:
             placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        order = F.col("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
-        pairs = _pivots(placed, order)
+        if turn < PIVOT_ROUNDS:
+            order = F.col("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
+            pairs = _pivots(placed, order)
+        else:
+            pairs = _met_in_blocks(written(placed, "placed"), texts, threshold - SLACK)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = written(verified(pairs, texts, threshold), "links")
-        if found.isEmpty():
-            quiet += 1
-        else:
-            quiet = 0
+        if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = written(components(links), "roots")
-        links = found if links is None else links
-        turn += 1
     named = copies.select("digest", "node")
     if roots is not None:
         named = named.join(roots, "node", "left")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow, labelled_sample, map_texts, sigmoid
-from .textops import NOT_SPACE, WORD_BYTE, Hasher, Texts, Words, _table, shingles, slices, words
+from .textops import NOT_SPACE, TEXT_BITS, WORD_BYTE, Hasher, Texts, Words, _table, shingles, slices, words
 
 BINS = 64
 DEPTH = 4
@@ -72,10 +72,10 @@ def _distinct(keys: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, n
     if not len(keys):
         return np.zeros(n), np.zeros(n)
     # The text in the leading bits keeps texts apart; one sort serves all of them.
-    bits = np.uint64(max(1, int(n).bit_length()))
-    tagged = np.sort((keys >> bits) | (text.astype(np.uint64) << (np.uint64(64) - bits)))
+    bits, rest = np.uint64(TEXT_BITS), np.uint64(64 - TEXT_BITS)
+    tagged = np.sort((keys >> bits) | (text.astype(np.uint64) << rest))
     first = np.flatnonzero(np.concatenate([[True], tagged[1:] != tagged[:-1]]))
-    owner = (tagged[first] >> (np.uint64(64) - bits)).astype(np.int64)
+    owner = (tagged[first] >> rest).astype(np.int64)
     top = np.zeros(n)
     np.maximum.at(top, owner, np.diff(np.append(first, len(tagged))))
     return np.bincount(owner, minlength=n).astype(float), top

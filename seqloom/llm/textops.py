@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2_000_000
+#: A slice has fewer than 2 ** TEXT_BITS texts, so a text's number fits into so many bits.
+TEXT_BITS = 16
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -58,7 +60,7 @@ def slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = SLICE_BYTES) ->
         i = 0
         while i < len(chunk):
             j = int(np.searchsorted(starts, starts[i] + max_bytes, "right")) - 1
-            j = min(max(j, i + 1), len(chunk))
+            j = min(max(j, i + 1), i + (1 << TEXT_BITS) - 1, len(chunk))
             yield Texts(first + i, whole[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
             i = j
         first += len(chunk)
