@@ -181,22 +181,24 @@ _RAW = f"""raw AS (SELECT doc_id AS seq_id, {v.SQL_LETTERS.format(text='text')}
 
 
 def _raw(spark, sf_dir):
-    return v.spread_rows(v.table(spark, sf_dir, "documents")).select(
+    raw = v.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq_id"), v.letters_of(F.col("text")).alias("sequence")
     )
+    return v.spread_rows(raw, v.shuffle_width(spark))
 
 
 @query(
     "validate_alphabet",
     f"""WITH {_RAW}, bad AS (
       SELECT seq_id, sequence, regexp_extract(sequence, '[^{ALPHABET}]') AS bad_letter FROM raw)
-    SELECT seq_id, bad_letter, (strpos(sequence, bad_letter) - 1)::INT AS bad_letter_pos,
+    SELECT seq_id, CASE WHEN sequence IS NULL THEN 'missing' ELSE 'letter' END AS reason, bad_letter,
+           (strpos(sequence, bad_letter) - 1)::INT AS bad_letter_pos,
            length(regexp_replace(sequence, '[{ALPHABET}]', '', 'g'))::INT AS n_bad
-    FROM bad WHERE bad_letter <> ''""",
+    FROM bad WHERE sequence IS NULL OR bad_letter <> ''""",
 )
 def validate_alphabet(spark, sf_dir):
     _, rejected = checks.validate_alphabet(_raw(spark, sf_dir))
-    return rejected.select("seq_id", "bad_letter", "bad_letter_pos", "n_bad")
+    return rejected.select("seq_id", "reason", "bad_letter", "bad_letter_pos", "n_bad")
 
 
 @query(

@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..functions.constants import ALPHABET, MEMORY_MODEL, POOL_MODES
-from ..operators import attention, batching, ensemble, features, gradient, linear, residues, scalers
+from ..functions.constants import ALPHABET, POOL_MODES
+from ..operators import attention, ensemble, features, gradient, linear, residues, scalers
 from ..operators.attention import models_from_table, models_to_table
 from ..operators.dimred import apply_pca, fit_pca, pca_scatter_points
 from ..operators.metrics import argmax_first
@@ -115,34 +115,6 @@ def attach_embeddings(spark, sf_dir):
     )
 
 
-@query(
-    "length_order",
-    f"WITH {v.SEQS} SELECT seq_id, length(sequence)::INT AS len FROM seqs ORDER BY len DESC, seq_id",
-)
-def length_order(spark, sf_dir):
-    return batching.length_order(v.sequences(spark, sf_dir)).select("seq_id", F.length("sequence").alias("len"))
-
-
-@query(
-    "batch_cost",
-    f"WITH {v.SEQS}, models(model, a, b, c) AS (VALUES "
-    + ", ".join(
-        f"('{m}', {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for m, (a, b, c) in MEMORY_MODEL.items()
-    )
-    + """) SELECT seq_id, model, round((a * length(sequence) * length(sequence) * 4 + b * length(sequence) * 4
-       + c * 4) * 2.0::DOUBLE)::BIGINT AS cost FROM seqs, models""",
-)
-def batch_cost(spark, sf_dir):
-    costs = batching.batch_cost_table(v.sequences(spark, sf_dir), n=4)
-    return costs.select("seq_id", "model", F.round("cost").cast("long").alias("cost"))
-
-
-@query("assign_batches")
-def assign_batches(spark, sf_dir):
-    df = v.sequences(spark, sf_dir)
-    return batching.assign_batches(df, "esm2_t6_8M_UR50D", budget=16e9, strict=False)
-
-
 # -- scalers and features ------------------------------------------------------
 
 _TRAIN = "train AS (SELECT * FROM ev WHERE data_split = 'train')"

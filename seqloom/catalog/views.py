@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ALPHABET, ZSCALE
 from ..operators.attention import FoldModel
+from ..session import shuffle_width
 from ..sources.readers import spread_rows
 
 # Stored cutoffs of the five folds.
@@ -36,13 +37,14 @@ def sequence_of(text: Column) -> Column:
 
 
 def sequences(spark: SparkSession, sf_dir: str, labels: bool = False) -> DataFrame:
-    docs = spread_rows(table(spark, sf_dir, "documents")).select(
+    docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq_id"),
         F.concat(F.lit("doc_"), F.col("doc_id")).alias("name"),
         F.col("lang").alias("group"),
         split_of(F.col("doc_id")).alias("data_split"),
         sequence_of(F.col("text")).alias("sequence"),
     )
+    docs = spread_rows(docs, shuffle_width(spark))
     if not labels:
         return docs
     quality = table(spark, sf_dir, "labels").select(

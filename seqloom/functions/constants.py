@@ -27,23 +27,11 @@ ZSCALE = {
     "Y": (-2.54, 2.44, 0.43, 0.04, -1.47),
 }
 
-# Memory model (a, b, c) in bytes per embedding model.
-MEMORY_MODEL = {
-    "esm2_t6_8M_UR50D": (164.216311, 6796.137809, 1.258964e05),
-    "esm2_t12_35M_UR50D": (165.052996, 8850.407079, 5.208933e05),
-    "esm2_t30_150M_UR50D": (165.341865, 11189.307840, 1.045312e06),
-    "esm2_t33_650M_UR50D": (142.660817, 36701.930699, 3.602179e06),
-    "esm2_t36_3B_UR50D": (142.660817, 66701.930699, 6.602179e06),
-    "esm2_t48_15B_UR50D": (142.660817, 66701.930699, 6.602179e06),
-}
-
 # Limits, linker and defaults.
 MAX_TRAIN_LENGTH = 1000
 LINKER = "G" * 25
 MASK_TOKEN = "<mask>"
 MASK_PLACEHOLDER = "#"
-BUFFER_SCALE = 2.0
-MAX_BATCH_SIZE = 400
 HIGH_RISK_THRESHOLD = 0.5
 HIGH_RISK_LISTED = 10
 RBF_KERNELS = 10
@@ -52,6 +40,7 @@ HISTOGRAM_BINS = 20
 CUTOFF_STEPS = 100
 MIN_TEMPERATURE = 0.01
 
+# Names of the reduction modes.
 POOL_MODES = (
     "max",
     "mean",

@@ -25,7 +25,7 @@ from ..session import ship_package
 from .residues import codebook
 
 VALUES_PER_STEP = 1 << 20  # size of the dense matrices held at a time
-MAX_WEIGHT_ROWS = 20_000_000
+MAX_WEIGHT_BYTES = 4 << 30  # of one model's folds, in driver and executor memory
 
 _VECTOR = T.ArrayType(T.DoubleType())
 _MATRIX = T.ArrayType(_VECTOR)
@@ -56,74 +56,68 @@ def fold_batch_norm(
     return {"gain": gain, "offset": bias - mean * gain}
 
 
-def models_from_table(weights: DataFrame, model: str) -> list[FoldModel]:
-    """Build fold models from rows (model, fold, layer, i, j, k, value).
+def models_from_table(
+    weights: DataFrame, model: str, max_bytes: int = MAX_WEIGHT_BYTES
+) -> list[FoldModel]:
+    """Build fold models from rows (model, fold, layer, tap, width, values).
 
-    Layers: ``feature`` and ``attention`` (tap i, input j, channel k; i = -1 is
-    the bias), ``head0, head1, ...`` (input j, output k; i = -1 bias, i = -2
-    gain, i = -3 offset), ``temperature`` and ``cutoff``.
+    A row is one matrix or vector, row after row, ``width`` values each. Layers:
+    ``feature`` and ``attention`` (tap >= 0: inputs x channels; tap -1: bias),
+    ``head0, head1, ...`` (tap 0: inputs x outputs; -1 bias, -2 gain, -3 offset),
+    ``temperature`` and ``cutoff``. Models of more than ``max_bytes`` are refused
+    before anything is read: all of it goes to the driver and to each executor.
     """
-    rows = weights.where(F.col("model") == model).limit(MAX_WEIGHT_ROWS + 1)
-    table = rows.select("fold", "layer", "i", "j", "k", "value").toPandas()
-    if len(table) > MAX_WEIGHT_ROWS:
-        raise ValueError("weights table is too large for one model")
-    models = []
-    for fold, part in table.groupby("fold", sort=True):
-        layers = {name: rows for name, rows in part.groupby("layer")}
-
-        def conv(name: str, layers: dict = layers) -> tuple[np.ndarray, np.ndarray]:
-            rows = layers[name]
-            taps = rows[rows["i"] >= 0]
-            weight = np.zeros((taps["i"].max() + 1, taps["j"].max() + 1, taps["k"].max() + 1))
-            weight[taps["i"], taps["j"], taps["k"]] = taps["value"]
-            return weight, _vector(rows, -1, weight.shape[2])
-
-        head = []
-        for name in sorted((n for n in layers if n.startswith("head")), key=lambda n: int(n[4:])):
-            rows = layers[name]
-            dense = rows[rows["i"] >= 0]
-            weight = np.zeros((dense["j"].max() + 1, dense["k"].max() + 1))
-            weight[dense["j"], dense["k"]] = dense["value"]
-            width = weight.shape[1]
-            layer = {"weight": weight, "bias": _vector(rows, -1, width)}
-            if (rows["i"] == -2).any():
-                layer |= {"gain": _vector(rows, -2, width), "offset": _vector(rows, -3, width)}
-            head.append(layer)
-        single = {n: float(layers[n]["value"].iloc[0]) for n in ("temperature", "cutoff") if n in layers}
-        models.append(FoldModel(str(fold), *conv("feature"), *conv("attention"), head, **single))
-    return models
-
-
-def _vector(rows, code: int, width: int) -> np.ndarray:
-    out = np.zeros(width)
-    picked = rows[rows["i"] == code]
-    out[picked["k"]] = picked["value"]
-    return out
+    rows = weights.where(F.col("model") == model)
+    size = rows.agg(F.sum(8 * F.size("values").cast("long"))).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"the weights of {model} take {size} bytes, over {max_bytes}")
+    layers: dict[str, dict[tuple[str, int], np.ndarray]] = {}
+    table = rows.select("fold", "layer", "tap", "width", "values").toArrow()
+    values = table.column("values")
+    for n, row in enumerate(table.select(["fold", "layer", "tap", "width"]).to_pylist()):
+        held = values[n].values.to_numpy(zero_copy_only=False).reshape(-1, row["width"])
+        layers.setdefault(row["fold"], {})[row["layer"], row["tap"]] = held
+    return [_model_of(fold, layers[fold]) for fold in sorted(layers)]
+
+
+def _model_of(fold: str, parts: dict[tuple[str, int], np.ndarray]) -> FoldModel:
+    def conv(name: str) -> tuple[np.ndarray, np.ndarray]:
+        taps = sorted(t for n, t in parts if n == name and t >= 0)
+        weight = np.stack([parts[name, t] for t in taps])
+        return weight, parts[name, -1][0] if (name, -1) in parts else np.zeros(weight.shape[2])
+
+    head = []
+    while (name := f"head{len(head)}", 0) in parts:
+        weight = parts[name, 0]
+        bias = parts[name, -1][0] if (name, -1) in parts else np.zeros(weight.shape[1])
+        layer = {"weight": weight, "bias": bias}
+        if (name, -2) in parts:
+            layer |= {"gain": parts[name, -2][0], "offset": parts[name, -3][0]}
+        head.append(layer)
+    single = {n: float(parts[n, 0][0, 0]) for n in ("temperature", "cutoff") if (n, 0) in parts}
+    return FoldModel(fold, *conv("feature"), *conv("attention"), head, **single)
 
 
 def models_to_rows(models: list[FoldModel], model: str) -> list[tuple]:
+    """One row per matrix or vector of each fold."""
     rows = []
     for m in models:
-        def put(layer: str, i: int, values: np.ndarray, m: FoldModel = m) -> None:
-            for (j, k), v in np.ndenumerate(np.atleast_2d(values)):
-                rows.append((model, m.fold, layer, i, int(j), int(k), float(v)))
-
+        parts: list[tuple[str, int, np.ndarray]] = []
         for name in ("feature", "attention"):
-            for tap, values in enumerate(getattr(m, f"{name}_weight")):
-                put(name, tap, values)
-            put(name, -1, getattr(m, f"{name}_bias"))
+            parts += [(name, tap, w) for tap, w in enumerate(getattr(m, f"{name}_weight"))]
+            parts.append((name, -1, getattr(m, f"{name}_bias")))
         for n, layer in enumerate(m.head):
-            put(f"head{n}", 0, layer["weight"])
-            put(f"head{n}", -1, layer["bias"])
+            parts += [(f"head{n}", 0, layer["weight"]), (f"head{n}", -1, layer["bias"])]
             if layer.get("gain") is not None:
-                put(f"head{n}", -2, layer["gain"])
-                put(f"head{n}", -3, layer["offset"])
-        put("temperature", 0, np.array([m.temperature]))
-        put("cutoff", 0, np.array([m.cutoff]))
+                parts += [(f"head{n}", -2, layer["gain"]), (f"head{n}", -3, layer["offset"])]
+        parts += [("temperature", 0, np.array(m.temperature)), ("cutoff", 0, np.array(m.cutoff))]
+        for layer, tap, values in parts:
+            values = np.atleast_2d(np.asarray(values, float))
+            rows.append((model, m.fold, layer, tap, values.shape[1], values.ravel().tolist()))
     return rows
 
 
-WEIGHTS_SCHEMA = "model string, fold string, layer string, i int, j int, k int, value double"
+WEIGHTS_SCHEMA = "model string, fold string, layer string, tap int, width int, values array<double>"
 
 
 def models_to_table(spark: SparkSession, models: list[FoldModel], model: str) -> DataFrame:

@@ -39,7 +39,11 @@ def foreign_letters(sequence: Column, alphabet: str = ALPHABET) -> Column:
 def validate_alphabet(
     df: DataFrame, mode: str = "quarantine", alphabet: str = ALPHABET
 ) -> tuple[DataFrame, DataFrame] | DataFrame:
-    """``quarantine`` -> (clean, rejected); ``fail`` -> rows that raise when read."""
+    """``quarantine`` -> (clean, rejected); ``fail`` -> rows that raise when read.
+
+    Every row is either clean or rejected: a missing sequence is rejected with
+    the reason ``missing``, one with other letters with the reason ``letter``.
+    """
     foreign = foreign_letters(F.col("sequence"), alphabet)
     if mode == "fail":
         message = F.concat(
@@ -55,9 +59,10 @@ def validate_alphabet(
     letter = F.substring("_foreign", 1, 1)
     rejected = (
         df.withColumn("_foreign", foreign)
-        .where(F.col("_foreign") != "")
+        .where(F.col("_foreign").isNull() | (F.col("_foreign") != ""))
         .withColumns(
             {
+                "reason": F.when(F.col("_foreign").isNull(), "missing").otherwise("letter"),
                 "bad_letter": letter,
                 "bad_letter_pos": F.instr(F.col("sequence"), letter) - 1,
                 "n_bad": F.length("_foreign"),

@@ -103,14 +103,13 @@ def summed_gradient(
     return flat[:-STATS], flat[-STATS:]
 
 
-def training_table(table: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Write the training rows once, one even partition per core.
+def training_table(table: DataFrame, partitions: int | None = None, key: str = "seq_id") -> DataFrame:
+    """Write the training rows once, as they lie or over ``partitions``.
 
-    Every task of an epoch returns a parameter-sized sum, so more partitions than
-    cores only cost; a join's output may also have been merged into fewer.
+    Every task of an epoch returns a parameter-sized sum; the sums are combined in
+    slots on the executors, so more partitions cost no more on the driver.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return cut_lineage(table.repartition(cores, key))
+    return cut_lineage(table.repartition(partitions, key) if partitions else table)
 
 
 def descend(

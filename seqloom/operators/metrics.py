@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CUTOFF_STEPS
 from ..session import cut_lineage
-from .ordered import running_sums
+from .ordered import join_same, running_sums
 
 OVERALL = ""  # group name of the rows over all groups
 
@@ -36,6 +36,7 @@ def _checked(value: Column, name: str) -> Column:
 
 
 def confusion_counts(df: DataFrame, keys: list[str], y: str = "y", y_pred: str = "y_pred") -> DataFrame:
+    """Cells per key; rows without a label count nowhere, in ``total`` neither."""
     actual = F.col(y).cast("double")
     predicted = _checked(F.col(y_pred).cast("double"), y_pred)
     hit = lambda a, p: F.count_if((actual == a) & (predicted == p))
@@ -45,7 +46,7 @@ def confusion_counts(df: DataFrame, keys: list[str], y: str = "y", y_pred: str =
         hit(0, 0).alias("tn"),
         hit(1, 0).alias("fn"),
         F.count_if(actual == predicted).alias("tp+tn"),
-        F.count(F.lit(1)).alias("total"),
+        F.count(actual).alias("total"),
     )
 
 
@@ -196,7 +197,7 @@ def spearman(df: DataFrame, keys: list[str], y: str = "y", y_pred: str = "y_pred
         side = ranks.where(F.col("column") == name).select(
             *keys, F.col("value").alias(name), F.col("rank").alias(f"r{name}")
         )
-        ranked = ranked.join(side, [*keys, name])
+        ranked = join_same(ranked, side, [*keys, name])
     n, ry, rp = F.col("n"), F.col("ry"), F.col("rp")
     sums = ranked.groupBy(*keys).agg(
         F.sum(n).cast("double").alias("n"),
@@ -226,18 +227,20 @@ def regression_metrics(
         F.avg(F.abs(gap)).alias("mae"),
         F.when((n > 2) & (spread > 0), 1.0 - F.avg(gap * gap) / spread).alias("r_squared"),
     )
-    return moments.join(spearman(df, keys, y, y_pred), keys, "left").select(
+    return join_same(moments, spearman(df, keys, y, y_pred), keys, "left").select(
         *keys, "n_rows", *REGRESSION_METRICS
     )
 
 
 def with_overall(df: DataFrame, group: str) -> DataFrame:
-    """Rows once under their group, if they have one, and once under the blank one."""
+    """Rows once under their group, if they have one, and once under the blank one.
+
+    A blank name is no group, like null: such rows count in the overall ones only.
+    """
     if group not in df.columns:
         return df.withColumn(group, F.lit(OVERALL))
-    return df.withColumn(
-        group, F.explode(F.array(F.col(group).cast("string"), F.lit(OVERALL)))
-    ).where(F.col(group).isNotNull())
+    both = F.array(F.nullif(F.col(group).cast("string"), F.lit(OVERALL)), F.lit(OVERALL))
+    return df.withColumn(group, F.explode(both)).where(F.col(group).isNotNull())
 
 
 def metrics_by_split_group(
@@ -276,11 +279,10 @@ def metrics_by_split_group(
     scores = tables.groupBy(*keys, "score").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
-    return (
-        classification_metrics(confusion)
-        .join(roc_auc_from_counts(scores, keys), keys, "left")
-        .join(optimal_cutoff_from_counts(scores, keys), keys, "left")
-    )
+    table = classification_metrics(confusion)
+    for more in (roc_auc_from_counts(scores, keys), optimal_cutoff_from_counts(scores, keys)):
+        table = join_same(table, more, keys, "left")
+    return table
 
 
 def metric_names_long(
@@ -302,7 +304,7 @@ def group_label_stats(
 ) -> DataFrame:
     """Legend text per group: rows and Spearman, ``N/A`` up to 2 rows."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    joined = counts.join(spearman(df, [group], y, y_pred), group, "left")
+    joined = join_same(counts, spearman(df, [group], y, y_pred), [group], "left")
     shown = F.when(
         (F.col("n") > 2) & F.col("spearman_r").isNotNull(),
         F.format_string("%.2f", F.col("spearman_r")),

@@ -11,6 +11,15 @@ HASH_BITS = 60
 BUCKET_BITS = 12
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the keys come from the left."""
+    if not keys:
+        return left.join(right, how=how)
+    right = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return left.join(right, same, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def running_sums(
     df: DataFrame, keys: list[str], order: str, sums: list[str], descending: bool = False
 ) -> DataFrame:
@@ -45,7 +54,7 @@ def running_sums(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     summed = placed.withColumns({f"_i_{s}": F.sum(s).over(inside) for s in sums})
-    joined = summed.join(starts, [*keys, "_part"])
+    joined = join_same(summed, starts, [*keys, "_part"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_b_{s}") + F.col(f"_i_{s}")).alias(f"cum_{s}") for s in sums],

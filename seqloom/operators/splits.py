@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def fold_columns_to_long(
         c for c in df.columns if c.startswith(prefix)
     ]
     return df.unpivot(ids, columns, "fold", "data_split").withColumn(
-        "fold", F.substring("fold", len(prefix) + 1, 100)
+        "fold", F.expr(f"substring(fold, {len(prefix) + 1})")
     )
 
 
@@ -99,20 +101,22 @@ def sample_weights(
 
 
 def fit_class_weights(
-    df: DataFrame, label: str = "value_bool", max_classes: int = 1000
+    df: DataFrame, label: str = "value_bool", classes: Sequence[float] = (0.0, 1.0)
 ) -> dict[float, float]:
-    """n / (classes * n_class) per label, from one small aggregate."""
-    rows = (
-        df.where(F.col(label).isNotNull())
-        .groupBy(F.col(label).cast("double").alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .limit(max_classes + 1)
-        .collect()
-    )
-    if len(rows) > max_classes:
-        raise ValueError(f"{label} has more than {max_classes} classes")
-    total = sum(r["n"] for r in rows)
-    return {r["label"]: total / (len(rows) * r["n"]) for r in sorted(rows)}
+    """n / (classes present * n_class) per label, from one aggregate row.
+
+    ``classes`` is the label's domain; a label outside it is an error, however
+    many there are. A class without rows gets no weight.
+    """
+    value = F.col(label).cast("double")
+    row = df.agg(
+        F.count(value).alias("total"),
+        *[F.count_if(value == c).alias(f"n{i}") for i, c in enumerate(classes)],
+    ).first()
+    counts = {float(c): row[f"n{i}"] for i, c in enumerate(classes) if row[f"n{i}"]}
+    if sum(counts.values()) != row["total"]:
+        raise ValueError(f"{label} has values outside {tuple(classes)}")
+    return {c: row["total"] / (len(counts) * n) for c, n in sorted(counts.items())}
 
 
 def balanced_class_weight(df: DataFrame, label: str = "value_bool") -> DataFrame:

@@ -381,7 +381,7 @@ def save_pipeline(spark: SparkSession, fitted: FittedPipeline, path: str) -> Non
         to_rows = stage(kind, getattr(fitted.config, kind)).to_rows
         if to_rows is not None and state is not None:
             rows = to_rows(state)
-            schema = WEIGHTS_SCHEMA if len(rows[0]) == 7 else _ARRAY_SCHEMA
+            schema = WEIGHTS_SCHEMA if len(rows[0]) == 6 else _ARRAY_SCHEMA
             spark.createDataFrame(rows, schema).write.mode("errorifexists").parquet(f"{path}/{kind}")
 
 

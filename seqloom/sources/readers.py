@@ -12,14 +12,13 @@ from pyspark.sql import types as T
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly when there are fewer input files than cores.
+def spread_rows(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows out evenly over ``partitions``, if given.
 
-    A lone Parquet row group is one task, however many cores wait. A table of
-    many files is left as it is, so no shuffle is added at scale.
+    For tables of one large row group, which is one task otherwise. The caller
+    decides; nothing here looks at the input.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(partitions) if partitions else df
 
 
 def read_sequences_csv(

@@ -83,3 +83,11 @@ def test_pooled_letters_equal_pooled_array(spark):
         ).collect()
         for r in row:
             assert r["a"] == pytest.approx(r["b"])
+
+
+def test_quarantine_loses_no_row(spark):
+    df = spark.createDataFrame([(1, "ACD"), (2, None), (3, "AXC"), (4, "")], "seq_id long, sequence string")
+    clean, rejected = checks.validate_alphabet(df)
+    reasons = {r["seq_id"]: r["reason"] for r in rejected.collect()}
+    assert reasons == {2: "missing", 3: "letter"}
+    assert sorted(r["seq_id"] for r in clean.collect()) == [1, 4]

@@ -174,3 +174,29 @@ def test_vector_scaler(spark, kind):
     first = [r[0] for r in rows]
     expected = {"StandardScaler": (0 - 4) / math.sqrt(60 / 9), "MinMaxScaler": 0.0, "RobustScaler": -1.0}[kind]
     assert min(first) == pytest.approx(expected)
+
+
+def test_a_blank_group_counts_once(spark):
+    rows = [("test", "", 1, 1, 0.9), ("test", "", 0, 0, 0.2), ("test", "a", 1, 0, 0.4), ("test", None, 0, 1, 0.6)]
+    df = spark.createDataFrame(rows, "data_split string, `group` string, y int, y_pred int, y_pred_prob double")
+    got = {r["group"]: r["total"] for r in metrics.metrics_by_split_group(df).collect()}
+    assert got == {"": 4, "a": 1}
+
+
+def test_unlabelled_rows_have_one_total(spark):
+    rows = [("test", "a", 1, 1, 0.9), ("test", "a", None, 1, 0.8), ("test", "a", 0, 1, 0.7)]
+    df = spark.createDataFrame(rows, "data_split string, `group` string, y int, y_pred int, y_pred_prob double")
+    counted = metrics.confusion_counts(df, ["data_split", "group"]).first()["total"]
+    table = {r["group"]: r["total"] for r in metrics.metrics_by_split_group(df).collect()}
+    assert counted == table["a"] == 2
+
+
+def test_null_keys_keep_their_points_and_ranks(spark):
+    rows = [(k, float(i % 2), i / 10) for k in ("a", None) for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, y double, y_pred_prob double")
+    points = curves.roc_points(df, ["k"])
+    assert points.where("k IS NULL").count() == points.where("k = 'a'").count() == 6
+    got = {r["k"]: r["spearman_r"] for r in metrics.spearman(df, ["k"], "y", "y_pred_prob").collect()}
+    assert got[None] == got["a"] is not None
+    table = metrics.regression_metrics(df, ["k"], "y", "y_pred_prob").collect()
+    assert len(table) == 2 and all(r["spearman_r"] is not None for r in table)

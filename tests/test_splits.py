@@ -41,3 +41,16 @@ def test_class_weights(spark):
     df = spark.createDataFrame([(1.0,), (0.0,), (0.0,), (0.0,), (None,)], "value_bool double")
     assert splits.fit_class_weights(df) == {0.0: pytest.approx(4 / 6), 1.0: 2.0}
     assert splits.balanced_class_weight(df).where("class_weight is null").count() == 1
+
+
+def test_long_fold_names_stay_whole(spark):
+    name = "f" * 250
+    df = spark.createDataFrame([(1, "train")], f"seq_id long, data_split_{name} string")
+    assert splits.fold_columns_to_long(df, ["seq_id"]).first()["fold"] == name
+
+
+def test_labels_outside_their_domain_are_refused(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(5)], "value_bool double")
+    with pytest.raises(ValueError):
+        splits.fit_class_weights(df)
+    assert len(splits.fit_class_weights(df, classes=range(5))) == 5

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from seqloom.catalog import views as v
 from seqloom.functions.constants import POOL_MODES
-from seqloom.operators import batching, features, gradient, linear
+from seqloom.operators import features, gradient, linear
 from seqloom.operators.dimred import apply_pca, components_needed, fit_pca
 from seqloom.plans.pipeline import (
     PipelineConfig,
@@ -170,20 +170,6 @@ def test_layers_and_missing_embeddings(spark):
         features.attach_embeddings(docs, stack, "seq_id", "vec_id", "layers", layer=2, n_layers=2)
 
 
-def test_batches_fit_the_budget(spark, sf_dir):
-    df = v.sequences(spark, sf_dir)
-    model, budget = "esm2_t6_8M_UR50D", 16e9
-    rows = batching.assign_batches(df, model, budget, max_batch_size=25, strict=False).toPandas()
-    a, b, c = batching.MEMORY_MODEL[model]
-    assert len(rows) == 200 and rows["seq_id"].is_unique
-    for _, part in rows.groupby(["batch_part", "batch_no"]):
-        top = float(part["len"].max())
-        cost = (a * top * top + b * top + c) * len(part) * 2.0
-        assert len(part) <= 25 and (cost <= budget or len(part) == 1)
-    with pytest.raises(Exception, match="exceeds the budget"):
-        batching.assign_batches(df, model, 1e6, strict=True).collect()
-
-
 def test_pipeline_with_features_is_saved_and_loaded(spark, table, tmp_path):
     config = PipelineConfig(
         embedder="Precomputed",
