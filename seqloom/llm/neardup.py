@@ -15,10 +15,11 @@ documents with probability J.
 ``BANDS`` bands of ``ROWS`` registers give each document its buckets (a pair at
 0.8 shares none with probability 6e-5). A pair counts as near if the exact J, or the
 plain Jaccard of the two shingle sets, is at least 0.8; the two differ only where
-shingles repeat inside a text. A bucket is never expanded into pairs: all
-members are compared with one pivot, and the links that verification confirms are
-joined into classes. Where a bucket then still holds several classes, a second
-pivot is tried; after that its members outside its largest class meet all its
+shingles repeat inside a text. A bucket is never expanded into pairs: its pivot
+is its smallest document; each document is compared with the smallest pivot it meets,
+and the links that verification confirms are joined into classes. Where a bucket then
+still holds several classes, all members of other classes are compared with a second
+pivot; after that its members outside its largest class meet all its
 members in blocks of bounded size, where equal registers estimate J, and only
 pairs of different classes with an estimate within five standard errors of the
 threshold are verified. So every pair that shares a bucket is either in one class
@@ -315,6 +316,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if turn < PIVOT_ROUNDS:
             order = F.col("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
             pairs = _pivots(placed, order)
+            if turn == 0:  # one pivot for each document, the smallest over its buckets
+                pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         else:
             pairs = _met_in_blocks(written(placed, "placed"), texts, threshold - SLACK)
         if tried is not None:
