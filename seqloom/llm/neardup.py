@@ -20,10 +20,10 @@ is its smallest document; each document is compared with the smallest pivot it m
 and the links that verification confirms are joined into classes. Where a bucket then
 still holds several classes, all members of other classes are compared with a second
 pivot; after that its members outside its largest class meet all its
-members in blocks of bounded size, where equal registers estimate J, and only
-pairs of different classes with an estimate within five standard errors of the
-threshold are verified. So every pair that shares a bucket is either in one class
-already or has been compared. Exact copies collapse before that.
+members in blocks of bounded size, where equal registers estimate J, and each is
+verified against the nearest members of every other class whose estimate is near
+enough. So all pairs that share a bucket are in one class already or have been
+compared. Exact copies collapse before that.
 
 Defined results: null counts as the empty text; a text with one to four words is
 one shingle of them all; texts without words are copies of each other; repeated
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -54,7 +54,9 @@ REGISTERS = BANDS * ROWS
 PIVOT_ROUNDS = 2
 #: Members of a bucket that meet at a time, and how far an estimate may stay behind.
 BLOCK = 256
-SLACK = 0.15
+SLACK = 0.08
+#: Nearest members of one other class that a document is verified against.
+TRIES = 3
 
 
 def weighted_shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,10 +222,11 @@ def _pivots(buckets: DataFrame, order: Column) -> DataFrame:
     pivot = pivot.where("low != high").select(
         "bucket", F.col("pivot.node").alias("b"), F.col("pivot.root").alias("other")
     )
+    # A document meets one pivot of each other class.
+    met = buckets.join(pivot, "bucket").where("root != other").groupBy("node", "other")
     return (
-        buckets.join(pivot, "bucket")
-        .where("root != other")
-        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        met.agg(F.min("b").alias("pivot"))
+        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         .distinct()
     )
 
@@ -232,7 +235,8 @@ def _met_in_blocks(placed: DataFrame, texts: DataFrame, least: float) -> DataFra
     """Pairs (a, b) of different classes in one bucket with an estimate of at least ``least``.
 
     Members outside the bucket's largest class are dealt to blocks on the left, all
-    members to blocks on the right, and each pair of blocks is one group.
+    members to blocks on the right, and each pair of blocks is one group. A document
+    is paired with the TRIES members of each other class that are nearest to it.
     """
     sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
@@ -254,7 +258,8 @@ def _met_in_blocks(placed: DataFrame, texts: DataFrame, least: float) -> DataFra
 
     def run(part: Texts, rows: pa.RecordBatch) -> pa.RecordBatch:
         found = registers(*weighted_shingles(part), len(part))
-        short = (found >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        # A byte of each register: others agree by chance in 1 of 256.
+        short = (mix(found) >> np.uint64(56)).astype(np.uint8)
         return arrow(["node", "registers"], [rows.column("doc_id"), pa.array([r.tobytes() for r in short])])
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
@@ -273,19 +278,25 @@ def _met_in_blocks(placed: DataFrame, texts: DataFrame, least: float) -> DataFra
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        held = np.frombuffer(b"".join(group["registers"]), np.int32).reshape(len(group), REGISTERS)
+        held = np.frombuffer(b"".join(group["registers"]), np.uint8).reshape(len(group), REGISTERS)
         asks = group["asks"].to_numpy(bool)
         node, root = group["node"].to_numpy(), group["root"].to_numpy()
-        out = []
+        others, other_node, other_root = held[~asks], node[~asks], root[~asks]
+        out: list[tuple[int, int, int, float]] = []
         for i in np.flatnonzero(asks):
-            close = (held[~asks] == held[i]).mean(1) >= least
-            close &= root[~asks] != root[i]
-            out.append(np.stack([np.minimum(node[~asks][close], node[i]), np.maximum(node[~asks][close], node[i])], 1))
-        both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+            share = (others == held[i]).mean(1)
+            close = np.flatnonzero((share >= least) & (other_root != root[i]))
+            close = close[np.lexsort((other_node[close], -share[close], other_root[close]))]
+            starts = np.searchsorted(other_root[close], other_root[close])
+            best = close[np.arange(len(close)) - starts < TRIES]
+            out += [(int(node[i]), int(other_root[j]), int(other_node[j]), float(share[j])) for j in best]
+        return pd.DataFrame(out, columns=["node", "other", "near", "share"])
 
     met = first.unionByName(second).join(known, "node").groupBy("bucket", "i", "j")
-    return met.applyInPandas(compare, "a long, b long").distinct()
+    close = met.applyInPandas(compare, "node long, other long, near long, share double").distinct()
+    nearest = Window.partitionBy("node", "other").orderBy(F.desc("share"), "near")
+    close = close.withColumn("no", F.row_number().over(nearest)).where(F.col("no") <= TRIES)
+    return close.select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
