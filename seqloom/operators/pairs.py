@@ -10,7 +10,7 @@ finds the similar pairs of a large table through shared k-mers instead.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil, floor
+from math import ceil, floor, log
 
 import numpy as np
 import pandas as pd
@@ -211,34 +211,42 @@ def near_identical_join(
     ship_package(df.sparkSession)
     bands = kmer_bands(threshold, shared)
     kind = df.schema[key].dataType.simpleString()
-    # Widths are fixed where the work per byte is high: merging partitions by
-    # size would leave tokenizing and verifying to a few tasks.
+    # Spread by key for the tokenizing and verifying tasks; every later join is left
+    # to adaptive execution, which splits an id with many candidates.
     width = shuffle_width(df.sparkSession)
-    distinct = df.groupBy("sequence").agg(F.min(key).alias("id")).repartition(width, "id")
-    prefixes = _rare_prefixes(distinct, threshold, bands, shared, kind)
-    other = prefixes.select(
+    distinct = cut_lineage(
+        df.groupBy("sequence").agg(F.min(key).alias("id")).repartition(width, "id"), "distinct"
+    )
+    prefixes = cut_lineage(_rare_prefixes(distinct, threshold, bands, shared, kind), "prefixes")
+    # Lengths of a pair differ by less than this factor, so they lie in the same or in
+    # neighbouring buckets. The bucket is part of the join key: it prunes, and it splits
+    # a token that many sequences share.
+    growth = log((2 - threshold) / threshold * 1.0001)
+    bucket = F.floor(F.log(F.col("len").cast("double")) / F.lit(growth)).cast("int")
+    shorter = prefixes.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
+    longer = prefixes.select(
         F.col("id").alias("id_b"),
         F.col("len").alias("len_b"),
         F.col("need").alias("need_b"),
         "band",
         "token",
+        bucket.alias("bucket"),
     )
-    lo, hi = F.least("len", "len_b"), F.greatest("len", "len_b")
+    lo, hi = F.col("len"), F.col("len_b")
+    in_order = (lo < hi) | ((lo == hi) & (F.col("id") < F.col("id_b")))
     candidates = (
-        prefixes.join(other, ["band", "token"])
-        .where((F.col("id") < F.col("id_b")) & (2.0 * lo >= F.lit(threshold - 1e-12) * (lo + hi)))
-        .groupBy(F.col("id").alias("id_a"), "id_b", "band")
+        shorter.join(longer, ["band", "token", "bucket"])
+        .where(in_order & (2.0 * lo >= F.lit(threshold - 1e-12) * (lo + hi)))
+        .groupBy("id", "id_b", "band")
         .agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("need", "need_b")).alias("need"))
         .where(F.col("hits") >= F.col("need"))
-        .select("id_a", "id_b")
+        .select(F.least("id", "id_b").alias("id_a"), F.greatest("id", "id_b").alias("id_b"))
         .distinct()
     )
     texts = distinct.select("id", "sequence")
-    sided = (
-        candidates.join(texts.select(F.col("id").alias("id_a"), F.col("sequence").alias("a")), "id_a")
-        .repartition(width, "id_b")
-        .join(texts.select(F.col("id").alias("id_b"), F.col("sequence").alias("b")), "id_b")
-    )
+    sided = candidates.join(
+        texts.select(F.col("id").alias("id_a"), F.col("sequence").alias("a")), "id_a"
+    ).join(texts.select(F.col("id").alias("id_b"), F.col("sequence").alias("b")), "id_b")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -298,9 +306,14 @@ def _rare_prefixes(
                     names,
                 )
 
-    tokens = distinct.select("id", "sequence").mapInArrow(
-        tokenize, f"id {kind}, band int, len int, need int, prefix int, tokens array<long>"
-    ).select("id", "band", "len", "need", "prefix", F.explode("tokens").alias("token"))
+    # Written once: the tokens are counted first and ranked by the counts then.
+    lists = cut_lineage(
+        distinct.select("id", "sequence").mapInArrow(
+            tokenize, f"id {kind}, band int, len int, need int, prefix int, tokens array<long>"
+        ),
+        "tokens",
+    )
+    tokens = lists.select("id", "band", "len", "need", "prefix", F.explode("tokens").alias("token"))
     frequency = (
         tokens.groupBy("band", "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     )
