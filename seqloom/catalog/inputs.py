@@ -29,6 +29,27 @@ def read_sequences_csv(spark, sf_dir):
     return df.select("name", F.length(F.coalesce("sequence", F.lit(""))).alias("len"), F.md5(F.coalesce("sequence", F.lit(""))).alias("digest"))
 
 
+@query(
+    "read_unnamed_csv",
+    f"""WITH {v.SEQS} SELECT count(*) AS n_rows, count(DISTINCT seq_id)::BIGINT AS n_names,
+      sum(length(sequence))::BIGINT AS n_letters, 1 AS consecutive, 0 AS has_index FROM seqs""",
+)
+def read_unnamed_csv(spark, sf_dir):
+    """A CSV without names and with an index column: names are seq_0, seq_1, ..."""
+    path = scratch_path(spark, "csv")
+    rows = v.sequences(spark, sf_dir).select(F.col("seq_id").alias("_c0"), "sequence", "data_split")
+    rows.write.option("header", True).csv(path)
+    df = readers.read_sequences_csv(spark, path, has_index=True)
+    number = F.regexp_extract("name", "^seq_([0-9]+)$", 1).cast("long")
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("name").alias("n_names"),
+        F.sum(F.length(F.coalesce("sequence", F.lit("")))).alias("n_letters"),
+        ((F.min(number) == 0) & (F.max(number) == F.count(F.lit(1)) - 1)).cast("int").alias("consecutive"),
+        F.lit(int("_c0" in df.columns)).alias("has_index"),
+    )
+
+
 @query(
     "read_sequences_parquet",
     "SELECT lang, count(*) AS n_rows, sum(length(text))::BIGINT AS n_letters FROM documents GROUP BY lang",

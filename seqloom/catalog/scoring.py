@@ -10,13 +10,19 @@ from ..functions.constants import ALPHABET, POOL_MODES
 from ..operators import attention, ensemble, features, gradient, linear, residues, scalers
 from ..operators.attention import models_from_table, models_to_table
 from ..operators.dimred import apply_pca, fit_pca, pca_scatter_points
-from ..operators.metrics import argmax_first
+from ..operators.metrics import argmax_first, confusion_counts
 from ..plans.inference import score_sequences
-from ..plans.pipeline import PipelineConfig, compose_pipeline, load_pipeline, save_pipeline
+from ..plans.pipeline import (
+    FittedPipeline,
+    PipelineConfig,
+    compose_pipeline,
+    load_pipeline,
+    save_pipeline,
+)
 from ..session import scratch_path
 from . import scoring_sql as s
 from . import views as v
-from .registry import query
+from .registry import SQL, query
 
 
 
@@ -96,23 +102,40 @@ def mean_pool(spark, sf_dir):
 
 @query(
     "attach_embeddings",
-    """SELECT d.doc_id AS seq_id, (e.vec_id IS NULL)::INT AS missing,
-      e.embedding[1]::DOUBLE AS e0, e.embedding[64]::DOUBLE AS e63
-    FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id""",
+    """WITH dims AS (SELECT unnest(range(64)) AS dim)
+    SELECT d.doc_id AS seq_id, dim::INT AS dim, e.embedding[dim + 1]::DOUBLE AS value
+    FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id, dims
+    UNION ALL
+    SELECT doc_id, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
 )
 def attach_embeddings(spark, sf_dir):
+    """Every dimension of the matched rows; one row without value for the others."""
     docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"))
     joined, missing = features.attach_embeddings(docs, v.table(spark, sf_dir, "embeddings"), "seq_id", "vec_id")
-    found = joined.select(
-        "seq_id",
-        F.lit(0).alias("missing"),
-        F.col("embedding")[0].cast("double").alias("e0"),
-        F.col("embedding")[63].cast("double").alias("e63"),
-    )
-    none = F.lit(None).cast("double")
-    return found.unionByName(
-        missing.select("seq_id", F.lit(1).alias("missing"), none.alias("e0"), none.alias("e63"))
+    found = joined.select("seq_id", F.posexplode("embedding").alias("dim", "value"))
+    found = found.withColumn("value", F.col("value").cast("double"))
+    return found.unionByName(missing, allowMissingColumns=True)
+
+
+@query(
+    "attach_residue_embeddings",
+    f"""WITH {v.SEQS}, places AS (SELECT unnest(range(8)) AS pos)
+    SELECT s.seq_id, pos::INT AS pos, {v.sql_r6("list_sum(e.embedding[8 * pos + 1 : 8 * pos + 8])")} AS total
+    FROM seqs s JOIN embeddings e ON s.seq_id = e.vec_id, places WHERE pos < length(s.sequence)""",
+)
+def attach_residue_embeddings(spark, sf_dir):
+    """The 64 values as 8 residue vectors in the last of two layers, cut to the sequence."""
+    residue = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", 8 * i + 1, 8))
+    stacks = v.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.array(F.array(), residue.cast("array<array<double>>")).alias("layers")
     )
+    docs = v.sequences(spark, sf_dir).select("seq_id", "sequence")
+    joined, _ = features.attach_embeddings(
+        docs, stacks, "seq_id", "vec_id", "layers", layer=-1, n_layers=2,
+        cut_to=F.least(F.length("sequence"), F.lit(8)),
+    )
+    rows = joined.select("seq_id", F.posexplode("embedding").alias("pos", "vec"))
+    return rows.select("seq_id", "pos", v.r6(arrays.array_sum(F.col("vec"))).alias("total"))
 
 
 # -- scalers and features ------------------------------------------------------
@@ -245,29 +268,29 @@ def encode_categorical(spark, sf_dir):
 @query(
     "assemble_features",
     f"""WITH {v.RESIDUES}, {v.ZBOOK}, pooled AS (
-      SELECT seq_id, avg(d0) AS m0, avg(d4) AS m4, count(*) AS len FROM residues JOIN zbook USING (aa) GROUP BY seq_id)
-    SELECT p.seq_id, {v.sql_r6('m0')} AS f0, {v.sql_r6('m4')} AS f4, e.embedding[1]::DOUBLE AS f5,
-      e.embedding[64]::DOUBLE AS f68, len::DOUBLE AS f69, 70 AS width
-    FROM pooled p JOIN embeddings e ON p.seq_id = e.vec_id""",
+      SELECT seq_id, [{", ".join(f"avg(d{i})" for i in range(5))}] AS m, count(*) AS len
+      FROM residues JOIN zbook USING (aa) GROUP BY seq_id),
+    full_rows AS (
+      SELECT p.seq_id, list_concat(m, list_concat(coalesce(e.embedding, list_transform(range(64), lambda x: NULL::FLOAT))::DOUBLE[],
+        [len::DOUBLE])) AS f
+      FROM pooled p LEFT JOIN embeddings e ON p.seq_id = e.vec_id)
+    SELECT seq_id, i::INT AS i, {v.sql_r6("f[i + 1]")} AS value FROM full_rows, (SELECT unnest(range(70)) AS i)""",
 )
 def assemble_features(spark, sf_dir):
+    """All 70 values; documents without a vector keep their place with missing values."""
     docs = v.sequences(spark, sf_dir).where(F.length("sequence") > 0)
-    joined, _ = features.attach_embeddings(docs, v.table(spark, sf_dir, "embeddings"), "seq_id", "vec_id")
+    vectors = v.table(spark, sf_dir, "embeddings")
+    joined, missing = features.attach_embeddings(docs, vectors, "seq_id", "vec_id")
+    rest = docs.join(missing, "seq_id", "left_semi").withColumn(
+        "embedding", F.array_repeat(F.lit(None).cast("float"), 64)
+    )
     parts = features.assemble_features(
         residues.mean_pool_letters(F.col("sequence"), "zscale"),
         F.col("embedding"),
         F.array(F.length("sequence")),
     )
-    row = joined.select("seq_id", parts.alias("f"))
-    return row.select(
-        "seq_id",
-        v.r6(F.col("f")[0]).alias("f0"),
-        v.r6(F.col("f")[4]).alias("f4"),
-        F.col("f")[5].alias("f5"),
-        F.col("f")[68].alias("f68"),
-        F.col("f")[69].alias("f69"),
-        F.size("f").alias("width"),
-    )
+    rows = joined.unionByName(rest).select("seq_id", F.posexplode(parts).alias("i", "value"))
+    return rows.withColumn("value", v.r6(F.col("value")))
 
 
 # -- attention scorer ----------------------------------------------------------
@@ -560,6 +583,32 @@ def compose_scoring(spark, sf_dir):
     )
 
 
+@query(
+    "residue_evaluation",
+    s.FOLD_SCORES
+    + f""", marked AS (
+      SELECT {v.sql_split('seq_id')} AS data_split, (aa IN ('V','I','L','F','Y','W','M'))::INT AS y,
+        ({s.ENSEMBLE_RESIDUE} >= 0.5::DOUBLE)::INT AS y_pred
+      FROM probs JOIN (
+        SELECT seq_id, unnest(range(length(sequence))) AS pos, unnest(string_split(sequence, '')) AS aa
+        FROM seqs WHERE length(sequence) > 0) USING (seq_id, pos))
+    SELECT data_split, sum((y = 1 AND y_pred = 1)::INT)::BIGINT AS tp, sum((y = 0 AND y_pred = 1)::INT)::BIGINT AS fp,
+      sum((y = 0 AND y_pred = 0)::INT)::BIGINT AS tn, sum((y = 1 AND y_pred = 0)::INT)::BIGINT AS fn, count(*) AS total
+    FROM marked GROUP BY data_split""",
+)
+def residue_evaluation(spark, sf_dir):
+    """Residue labels beside residue scores, counted per split."""
+    digits = F.split(v.residue_labels(F.col("sequence")), "")
+    both = F.arrays_zip(digits.alias("y"), F.col("ensemble_residues").alias("score"))
+    rows = _scored(spark, sf_dir).where(F.size("ensemble_residues") > 0).select(
+        v.split_of(F.col("seq_id")).alias("data_split"), F.explode(both).alias("r")
+    )
+    table = rows.select(
+        "data_split", F.col("r.y").cast("int").alias("y"), (F.col("r.score") >= 0.5).cast("int").alias("y_pred")
+    )
+    return confusion_counts(table, ["data_split"]).drop("tp+tn")
+
+
 @query(
     "argmax_first",
     f"""WITH {v.SEQS}, ranked AS (SELECT "group", length(sequence)::INT AS len, seq_id,
@@ -585,6 +634,38 @@ def fit_pca_report(spark, sf_dir):
     return spark.createDataFrame(rows, "component int, explained double, kept boolean")
 
 
+@query(
+    "pca_total_variance",
+    f"""WITH {v.VECTORS}, train AS (SELECT * FROM vectors WHERE data_split = 'train'),
+    dims AS (SELECT unnest(range(64)) AS i),
+    per_dim AS (SELECT i, var_samp(embedding[i + 1]) AS var FROM train, dims GROUP BY i)
+    SELECT (SELECT count(*) FROM train) AS n_rows, 64 AS components, {v.sql_r6("sum(var)")} AS total_variance,
+      1 AS shares_hold, 1 AS uncorrelated FROM per_dim""",
+)
+def pca_total_variance(spark, sf_dir):
+    """All components carry the whole variance, each its share, and no two are correlated."""
+    train = _train_vectors(spark, sf_dir)
+    found = fit_pca(train, "embedding", fraction=2.0)
+    spread = apply_pca(train, "embedding", found)
+    z = [F.col("components")[i] for i in range(64)]
+    row = spread.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.array(*[F.var_samp(x) for x in z]).alias("var"),
+        F.max(F.lit(0)).alias("zero"),
+        F.array(*[F.abs(F.covar_samp(a, b)) for a, b in zip(z, z[1:])]).alias("cov"),
+    )
+    total = arrays.array_sum(F.col("var"))
+    shares = F.lit([float(x) for x in found.explained])
+    off = F.zip_with("var", shares, lambda x, share: F.abs(x - share * total))
+    return row.select(
+        "n_rows",
+        F.size("var").alias("components"),
+        v.r6(total).alias("total_variance"),
+        (F.array_max(off) < 1e-6).cast("int").alias("shares_hold"),
+        (F.array_max("cov") < 1e-6).cast("int").alias("uncorrelated"),
+    )
+
+
 @query("apply_pca")
 def apply_pca_rows(spark, sf_dir):
     found = fit_pca(_train_vectors(spark, sf_dir), "embedding")
@@ -628,6 +709,19 @@ def logreg_score(spark, sf_dir):
     return scored.select("seq_id", v.r6(F.col("y_pred_prob")).alias("y_pred_prob"), "y_pred")
 
 
+@query("persist_given_stages", SQL["logreg_score"])
+def persist_given_stages(spark, sf_dir):
+    """A composed model with given weights, saved, loaded and applied."""
+    config = PipelineConfig(embedder="Precomputed", predictor="LogisticRegression")
+    nothing = {"add": [], "standard": [], "dimred": []}
+    state = linear.LinearModel(_COEFFICIENTS, 0.125)
+    given = FittedPipeline(config, nothing, {}, {}, None, None, scalers.Scaler("none", {}, {}), None, state)
+    path = scratch_path(spark, "given")
+    save_pipeline(spark, given, path)
+    scored = load_pipeline(spark, path).apply(v.vectors(spark, sf_dir))
+    return scored.select("seq_id", v.r6(F.col("y_pred_prob")).alias("y_pred_prob"), "y_pred")
+
+
 _MLP_HIDDEN = 4
 
 

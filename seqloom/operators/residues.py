@@ -18,19 +18,23 @@ def letters(sequence: Column) -> Column:
 def residue_explode(df: DataFrame, labels: str | None = None) -> DataFrame:
     """Rows (.., pos, aa, length[, res_value_bool]) with 0-based positions.
 
-    A label string must have one digit per letter; otherwise the row raises.
+    The sequence and the label string stay behind: a row per letter that carried
+    them would take the square of their length. A label string must have one digit
+    per letter; otherwise the row raises.
     """
+    kept = [c for c in df.columns if c not in ("sequence", labels)]
     source = df.withColumn("length", F.length("sequence"))
     if labels is None:
-        return source.select("*", F.posexplode(letters(F.col("sequence"))).alias("pos", "aa"))
+        return source.select(*kept, "length", F.posexplode(letters(F.col("sequence"))).alias("pos", "aa"))
     message = F.concat(F.lit("labels do not fit sequence "), F.col("seq_id").cast("string"))
     digits = F.when(
         F.length(labels) == F.length("sequence"), F.split(F.col(labels), "")
     ).otherwise(F.raise_error(message).cast("array<string>"))
     pairs = F.arrays_zip(letters(F.col("sequence")).alias("aa"), digits.alias("d"))
-    exploded = source.select("*", F.posexplode(pairs).alias("pos", "_pair"))
+    exploded = source.select(*kept, "length", F.posexplode(pairs).alias("pos", "_pair"))
     return exploded.select(
-        *source.columns,
+        *kept,
+        "length",
         "pos",
         F.col("_pair.aa").alias("aa"),
         F.col("_pair.d").cast("int").alias("res_value_bool"),
