@@ -27,6 +27,8 @@ DEFAULT_MAX_ITER = 10_000
 class LinearModel:
     coefficients: list[float]
     intercept: float
+    iterations: int = 0
+    converged: bool = True
 
     def margin(self, features: Column) -> Column:
         return dot(features, F.lit(self.coefficients)) + F.lit(self.intercept)
@@ -56,7 +58,16 @@ def fit_logreg(
         maxIter=max_iter,
         tol=tol,
     ).fit(df)
-    return LinearModel([float(v) for v in fitted.coefficients.toArray()], float(fitted.intercept))
+    taken = fitted.summary.totalIterations
+    history = fitted.summary.objectiveHistory
+    # A line search that gave up leaves the last step larger than the tolerance.
+    still = len(history) < 2 or abs(history[-2] - history[-1]) <= 1e-6 * max(abs(history[-1]), 1e-12)
+    return LinearModel(
+        [float(v) for v in fitted.coefficients.toArray()],
+        float(fitted.intercept),
+        taken,
+        taken < max_iter and still,
+    )
 
 
 def _mcc(tp: float, fp: float, tn: float, fn: float) -> float:
@@ -90,6 +101,7 @@ def logreg_grid_cv(
 ) -> GridResult:
     """Grid over (C, penalty), stratified folds, scored by MCC, refit on all rows.
 
+    Each grid point tells its most iterations and whether all its fits converged.
     The folded table is written once. Fits share it from a small thread pool;
     all grid points of a fold are scored in one aggregate over its rows.
     """
@@ -136,9 +148,12 @@ def logreg_grid_cv(
             scores[i].append(_mcc(*(float(counts[f"{n}{i}"]) for n in ("tp", "fp", "tn", "fn"))))
 
     table = []
-    for (c, p), values in zip(grid, scores):
+    for i, ((c, p), values) in enumerate(zip(grid, scores)):
+        own = fitted[i :: len(grid)]
         mean = sum(values) / n_splits
         row = {"C": c, "penalty": p, "mean_test_score": mean}
+        row["iterations"] = max(m.iterations for m in own)
+        row["converged"] = all(m.converged for m in own)
         row["std_test_score"] = sqrt(sum((v - mean) ** 2 for v in values) / n_splits)
         table.append(row | {f"split{i}_test_score": v for i, v in enumerate(values)})
     for row in table:
