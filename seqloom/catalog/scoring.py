@@ -423,10 +423,10 @@ def score_folds(spark, sf_dir):
     )
 
 
-def _scored(spark, sf_dir):
+def _scored(spark, sf_dir, fold_residues=False):
     # Empty sequences have no score; asking for it afterwards keeps the text
     # clean-up out of a filter that would run in the lone scan task.
-    scored = score_sequences(v.sequences(spark, sf_dir), v.fold_models())
+    scored = score_sequences(v.sequences(spark, sf_dir), v.fold_models(), fold_residues=fold_residues)
     return scored.where(F.col("ensemble_score").isNotNull())
 
 
@@ -465,7 +465,7 @@ def ensemble_sequence(spark, sf_dir):
 
 
 def _fold_residues(spark, sf_dir):
-    lines = _scored(spark, sf_dir).select("seq_id", F.explode("fold_residues").alias("fold", "scores"))
+    lines = _scored(spark, sf_dir, True).select("seq_id", F.explode("fold_residues").alias("fold", "scores"))
     return lines.select("seq_id", "fold", F.posexplode("scores").alias("pos", "score"))
 
 
@@ -554,7 +554,7 @@ def prediction_report(spark, sf_dir):
     FROM long JOIN residues USING (seq_id, pos) GROUP BY seq_id, series""",
 )
 def residue_profile_long(spark, sf_dir):
-    profile = ensemble.residue_profile_long(_scored(spark, sf_dir), v.FOLDS)
+    profile = ensemble.residue_profile_long(_scored(spark, sf_dir, True), v.FOLDS)
     leucine = F.col("aa") == "L"
     placed = F.when(leucine, F.col("score") * (F.col("position") / F.lit(1000.0))).otherwise(0.0)
     return profile.groupBy("seq_id", "series").agg(

@@ -256,14 +256,18 @@ def score_folds(
     mode: str,
     encoding: str = "zscale",
     with_residues: bool = True,
+    with_fold_residues: bool = True,
 ) -> DataFrame:
     """Add fold maps ``fold_residues``, ``fold_scores``, ``fold_penalties`` and the
     means over folds ``ensemble_residues`` and ``ensemble_score``.
 
     One pass over the sequences scores every fold. Empty sequences get nulls.
-    ``with_residues=False`` leaves the residue arrays, most of the output, in the task.
+    ``with_residues=False`` leaves the residue arrays, most of the output, in the task;
+    ``with_fold_residues=False`` sends only their mean. No later plan can drop what a
+    task has returned, so ask for what is used.
     """
     check_mode(mode)
+    with_fold_residues = with_fold_residues and with_residues
     if len({m.feature_weight.shape[0] for m in models}) != 1:
         raise ValueError("the folds of a model share one kernel size")
     shared = df.sparkSession.sparkContext.broadcast(_prepare(models, encoding))
@@ -283,6 +287,7 @@ def score_folds(
             score_sum = score_sum + scores
             if with_residues:
                 residue_sum = residue_sum + residues
+            if with_fold_residues:
                 out.append(ragged.list_array(residues, lengths))
             out.append(_with_nulls(scores, empty))
             spent = 0.0 * scores if weighted is None else (
@@ -297,7 +302,7 @@ def score_folds(
 
     fields = []
     for i in range(len(names)):
-        fields += [T.StructField(f"_r{i}", _VECTOR)] if with_residues else []
+        fields += [T.StructField(f"_r{i}", _VECTOR)] if with_fold_residues else []
         fields += [T.StructField(f"_s{i}", T.DoubleType()), T.StructField(f"_p{i}", T.DoubleType())]
     fields += [T.StructField("ensemble_residues", _VECTOR)] if with_residues else []
     fields += [T.StructField("ensemble_score", T.DoubleType())]
@@ -310,10 +315,10 @@ def score_folds(
         entries = [x for i, f in enumerate(names) for x in (F.lit(f), F.col(f"{prefix}{i}"))]
         return F.create_map(*entries)
 
-    residue_columns = [as_map("_r").alias("fold_residues"), "ensemble_residues"]
     return scored.select(
         *df.columns,
-        *(residue_columns if with_residues else []),
+        *([as_map("_r").alias("fold_residues")] if with_fold_residues else []),
+        *(["ensemble_residues"] if with_residues else []),
         as_map("_s").alias("fold_scores"),
         as_map("_p").alias("fold_penalties"),
         "ensemble_score",
