@@ -184,8 +184,14 @@ def attention_gradient(
     y: np.ndarray,
     mode: str,
     penalty: float,
+    mean_length: float | None = None,
 ) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(gradients, loss per sequence, scores) of summed BCE plus the penalty."""
+    """(gradients, loss per sequence, scores) of summed BCE plus the penalty.
+
+    The penalty is the mean of the weighted scores over all residues of the set, not
+    over each sequence first: a sequence's part is its sum over ``mean_length`` of the
+    set, which is that of the rows given unless the caller knows it.
+    """
     wf, bf, wa, ba = params[:4]
     dense = params[4:-1]
     temperature = float(params[-1][0])
@@ -211,8 +217,9 @@ def attention_gradient(
     loss = -(y * np.log(clipped) + (1 - y) * np.log(1 - clipped))
     upstream = (clipped - y) / (clipped * (1 - clipped))
     if penalty and weighted is not None:
-        loss = loss + penalty * ragged.segment_reduce(np.add, weighted, lengths) / lengths
-        upstream = upstream + penalty / lengths
+        per = lengths.mean() if mean_length is None else mean_length
+        loss = loss + penalty * ragged.segment_reduce(np.add, weighted, lengths) / per
+        upstream = upstream + penalty / per
 
     d_logits, d_temp = am.pool_gradient(mode, logits, lengths, temperature, upstream)
     outputs = activations[-1].shape[1]
@@ -279,9 +286,16 @@ def fit_attention(
             (F.col(split) == "val").alias("held"),
         )
     )
-    counts = table.agg(F.count_if("held").alias("val"), F.count_if(~F.col("held")).alias("train")).first()
+    size = F.size(source) if encoding == "embedding" else F.length(source)
+    counts = table.agg(
+        F.count_if("held").alias("val"),
+        F.count_if(~F.col("held")).alias("train"),
+        F.avg(F.when(F.col("held"), size)).alias("val_length"),
+        F.avg(F.when(~F.col("held"), size)).alias("train_length"),
+    ).first()
     if not counts["train"] or not counts["val"]:
         raise ValueError("training needs rows in both train and val")
+    mean_length = {0: counts["train_length"], 2: counts["val_length"]}
 
     def partial(params: list[np.ndarray], batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
         if encoding == "embedding":
@@ -296,7 +310,9 @@ def fit_attention(
             if not part.any():
                 continue
             rows = x if part.all() else x[np.repeat(part, lengths)]
-            g, loss, _ = attention_gradient(params, rows, lengths[part], y[part], mode, penalty)
+            g, loss, _ = attention_gradient(
+                params, rows, lengths[part], y[part], mode, penalty, mean_length[at]
+            )
             stats[at : at + 2] = loss.sum(), part.sum()
             if at == 0:
                 grads = g
