@@ -14,6 +14,18 @@ from ..session import scratch_path, ship_package
 from .textops import Texts, slices
 
 
+#: Arrow batches of texts are bounded by bytes; a batch is copied a few times in a task.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors; lower the session's bound of Arrow batches."""
+    ship_package(spark)
+    if int(spark.conf.get(_BATCH_CONF).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,7 +80,7 @@ def map_texts(
     column: str = "text",
 ) -> DataFrame:
     """Apply ``fn`` to slices of bounded size; it gets the texts and their rows."""
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,8 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import arrow, map_texts, written
+from .common import arrow, map_texts, prepare, written
 from .textops import TEXT_BITS, Hasher, Texts, mix, shingles, slices, words
 
 WIDTH = 5
@@ -147,7 +146,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b) whose texts reach the threshold; ``texts`` has (doc_id, text)."""
-    ship_package(pairs.sparkSession)
+    prepare(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

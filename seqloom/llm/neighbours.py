@@ -31,8 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import written
+from .common import prepare, written
 
 BITS = 24
 TREES = 192
@@ -129,7 +128,7 @@ def nearest_neighbours(
     neighbour.
     """
     spark = rows.sparkSession
-    ship_package(spark)
+    prepare(spark)
     vectors = (
         rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
         .select(

@@ -34,8 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import written
+from .common import prepare, written
 from .textops import LOWER, Hasher, Texts, slices, words
 
 CAPACITY = 2048
@@ -212,7 +211,7 @@ def tokenized_pieces(
     ``number`` counts the pieces of one length within the task ``part``.
     ``with_ids`` adds the token ids as a binary of little-endian 32-bit values.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     names = [f.split()[0] for f in PIECES.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,7 @@ from .common import arrow, labelled_sample, map_texts, sigmoid
 from .textops import LOWER, WORD_BYTE, Hasher, Texts, Words, char_offsets, shingles, slices, words
 
 CHAIN = 64
+BLOCK = 4096  # chains whose messages are held at a time
 HASH_BITS = 18
 PREFIXES = (4, 5, 6, 7)
 #: At most so many labelled rows of each class, none longer than so many characters, are fitted on.
@@ -129,14 +130,18 @@ def _expected_transitions(ahead, behind, e, length, trans) -> np.ndarray:
 
 def marginals(found: Words, feats: np.ndarray, model: Field) -> np.ndarray:
     first, length = chains(found.of)
-    p = np.zeros(len(found.start))
+    p = np.zeros(feats.shape[1])
     if not len(first):
         return p
-    emit = _padded(model.weights[feats].sum(0), first, length)
-    chance = forward_backward(emit, length, model)[0]
-    at = np.arange(CHAIN)[:, None]
-    on = at < length
-    p[(first + at)[on]] = chance[on]
+    logits = np.zeros(feats.shape[1], np.float32)
+    for row in feats:
+        logits += model.weights[row]
+    for low in range(0, len(first), BLOCK):
+        f, n = first[low : low + BLOCK], length[low : low + BLOCK]
+        chance = forward_backward(_padded(logits, f, n), n, model)[0]
+        at = np.arange(CHAIN)[:, None]
+        on = at < n
+        p[(f + at)[on]] = chance[on]
     return p
 
 
@@ -167,13 +172,15 @@ def _first_copies(found: Words, hashes: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _marks(feats: np.ndarray, text: np.ndarray, label: np.ndarray) -> np.ndarray:
+def _marks(feats: np.ndarray, used: np.ndarray, text: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Which features toxic documents have much more often than clean ones."""
     size, n_docs = 1 << HASH_BITS, len(label)
-    flat = np.concatenate([np.unique(f.astype(np.int64) * n_docs + text) for f in feats])
-    f, d = flat // n_docs, flat % n_docs
-    toxic = np.bincount(f[label[d] == 1], minlength=size).astype(float)
-    clean = np.bincount(f[label[d] == 0], minlength=size).astype(float)
+    toxic, clean = np.zeros(size), np.zeros(size)
+    for row in feats:
+        both = np.unique(row[used].astype(np.int64) * n_docs + text[used])
+        bad = label[both % n_docs] == 1
+        toxic += np.bincount(both[bad] // n_docs, minlength=size)
+        clean += np.bincount(both[~bad] // n_docs, minlength=size)
     nt, nc = max((label == 1).sum(), 1), max((label == 0).sum(), 1)
     odds = ((toxic + 0.5) / (nt + 1)) / ((clean + 0.5) / (nc + 1))
     marks = (odds >= ODDS) & (toxic >= max(3, 0.01 * nt))
@@ -181,8 +188,14 @@ def _marks(feats: np.ndarray, text: np.ndarray, label: np.ndarray) -> np.ndarray
     return marks
 
 
-def fit_field(texts: Texts, label: np.ndarray, epochs: int = 6, seed: int = 7) -> Field:
-    """Train on whole texts with document labels 0 and 1."""
+def fit_field(
+    parts: list[Texts], label: np.ndarray, epochs: int = 6, least_steps: int = 60, seed: int = 7
+) -> Field:
+    """Train on whole texts, in slices, with document labels 0 and 1.
+
+    Few texts are gone through more often, so that no fewer than ``least_steps``
+    gradient steps are taken.
+    """
     model = Field(
         np.zeros(1 << HASH_BITS, np.float32),
         np.array([[0.0, -3.0], [-1.0, -2.0]]),
@@ -191,12 +204,16 @@ def fit_field(texts: Texts, label: np.ndarray, epochs: int = 6, seed: int = 7) -
     )
     if (label == 1).sum() == 0 or (label == 0).sum() == 0:
         return model
-    found, feats = features(texts)
-    own = Hasher(LOWER[texts.data])(found.start, found.end)
+    pieces = [(*features(part), part) for part in parts]
+    feats = np.concatenate([f for _, f, _ in pieces], 1)
+    own = np.concatenate([Hasher(LOWER[t.data])(w.start, w.end) for w, _, t in pieces])
+    of = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(w.of) for w, _, _ in pieces]))])
+    found = Words(of[:0], of[:0], of)  # where the words stand is not needed any more
+    del pieces
     keep = _first_copies(found, own)
     text = found.text()
     used = keep[text]
-    marks = _marks(feats[:, used], text[used], label)
+    marks = _marks(feats, used, text, label)
     toxic_word = marks[feats].any(0) & (label[text] == 1)
 
     first, length = chains(found.of)
@@ -206,8 +223,9 @@ def fit_field(texts: Texts, label: np.ndarray, epochs: int = 6, seed: int = 7) -
     seen_w = np.full(len(model.weights), 1e-2, np.float32)
     seen_t = np.full((2, 2), 1e-2)
     bias_grad = 1e-2
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(usable), max(1, len(usable) // 2048)):
+    n_parts = max(1, len(usable) // 2048)
+    for _ in range(max(epochs, -(-least_steps // n_parts))):
+        for part in np.array_split(rng.permutation(usable), n_parts):
             f, n = first[part], length[part]
             offset = np.cumsum(n) - n
             rows = np.repeat(f - offset, n) + np.arange(n.sum())
@@ -240,15 +258,14 @@ def fit_field(texts: Texts, label: np.ndarray, epochs: int = 6, seed: int = 7) -
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, classes weighted alike."""
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    """Ridge logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-6
     for _ in range(steps):
         p = sigmoid(x @ w)
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty
-        step = np.linalg.solve(hess, x.T @ (weight * (p - y)) + penalty @ w)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + penalty
+        step = np.linalg.solve(hess, x.T @ (p - y) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -259,10 +276,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit on a bounded sample; ``labels`` holds only rows that may be learned from."""
     rows = labelled_sample(docs, labels, "toxic", SAMPLE_ROWS, SAMPLE_CHARS)
     label = rows.column("_label").to_numpy().astype(int)
-    whole = list(slices(rows.column("text").combine_chunks(), 1 << 62)) if len(label) else []
-    if not whole:
-        return fit_field(Texts(0, np.empty(0, np.uint8), np.zeros(1, np.int64)), label)
-    return fit_field(whole[0], label)
+    return fit_field(list(slices(rows.column("text"))), label)
 
 
 def score(texts: Texts, model: Field) -> tuple[np.ndarray, Words, np.ndarray]:

@@ -36,8 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, ship_package
-from .common import written
+from ..session import scratch_path
+from .common import prepare, written
 
 SHARD_BYTES = 16 << 20
 FILE_BYTES = 64 << 20
@@ -179,7 +179,7 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, shard_bytes: int
     offset, length and records; a reader needs nothing else.
     """
     spark = pages.sparkSession
-    ship_package(spark)
+    prepare(spark)
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     place = F.coalesce(F.col("page_id").cast("long"), F.lit(LAST_ID))
     facts = written(
@@ -327,7 +327,7 @@ _RECORD = (
 
 def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row per record of the files in the manifest, segment by segment."""
-    ship_package(spark)
+    prepare(spark)
     manifest = spark.read.parquet(f"{path}/manifest")
     names = [f.split()[0] for f in _RECORD.split(", ")]
     names = names if with_payload else names[:-1]

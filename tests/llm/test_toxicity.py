@@ -42,7 +42,7 @@ def test_learns_words_and_beginnings_and_reports_their_spans():
     clean = [f"the quiet river runs by town number {i} and on" for i in range(60)]
     bad = [f"you awful grumbo{x} runs by town {i}" for i, x in enumerate("abcdefghij" * 3)]
     label = np.array([0] * 60 + [1] * 30)
-    model = toxicity.fit_field(one(clean + bad), label)
+    model = toxicity.fit_field([one(clean), one(bad)], label)
     texts = one(["é the grumboz runs", "the river runs by town", "", None])
     score, found, p = toxicity.score(texts, model)
     assert score[0] > 0.5 > score[1]
