@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: A slice has fewer than 2 ** TEXT_BITS texts, so a text's number fits into so many bits.
 TEXT_BITS = 16
 

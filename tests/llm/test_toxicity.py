@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
-from llm_rows import labels, no_docs, no_labels, odd_docs, odd_rows, table  # noqa: F401
+from llm_rows import labels, no_docs, no_labels, odd_docs, odd_rows, prose, table  # noqa: F401
 
 from seqloom.llm import toxicity
 from seqloom.llm.queries import QUERIES
@@ -39,11 +39,11 @@ def test_forward_backward_equals_all_paths():
 
 
 def test_learns_words_and_beginnings_and_reports_their_spans():
-    clean = [f"the quiet river runs by town number {i} and on" for i in range(60)]
-    bad = [f"you awful grumbo{x} runs by town {i}" for i, x in enumerate("abcdefghij" * 3)]
+    clean = [prose(i, 40) for i in range(60)]
+    bad = [prose(100 + i, 15) + f" grumbo{x} " + prose(200 + i, 15) for i, x in enumerate("abcdefghij" * 3)]
     label = np.array([0] * 60 + [1] * 30)
     model = toxicity.fit_field([one(clean), one(bad)], label)
-    texts = one(["é the grumboz runs", "the river runs by town", "", None])
+    texts = one(["é the grumboz " + prose(7, 9), prose(8, 12), "", None])
     score, found, p = toxicity.score(texts, model)
     assert score[0] > 0.5 > score[1]
     assert score[2] == score[3] < 0.5
