@@ -140,7 +140,9 @@ def shard_bounds(facts: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[tuple
         again = []
         for low, high in open_ranges:
             width = -(-(high - low) // GRID)
-            cell = F.expr(f"(place - {low}L) div {width}L")
+            # Decimals: the distance between two ids may not fit into a long.
+            wide = "CAST({} AS DECIMAL(20, 0))"
+            cell = F.expr(f"({wide.format('place')} - {wide.format(low)}) div {wide.format(width)}")
             inside = facts.where((F.col("place") >= F.lit(low)) & (F.col("place") <= F.lit(high - 1)))
             for row in inside.groupBy(cell.alias("c")).agg(F.sum("bytes").alias("b")).collect():
                 start = low + row["c"] * width
