@@ -29,6 +29,7 @@ EXHAUSTIVE = 7
 #: At most so many labelled rows in all, none longer than so many characters, are fitted on.
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
+PARTS = 16
 #: A result is ambiguous if the best language's share of the decoding is below this.
 CLEAR = 0.6
 
@@ -122,14 +123,15 @@ def train(docs: DataFrame) -> Codes:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     n_languages = max(known.agg(F.approx_count_distinct("lang")).first()[0], 1)
     each = max(SAMPLE_ROWS // n_languages, 1)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        known.select("doc_id", "lang")
-        .withColumn("_no", F.row_number().over(order))
-        .where(F.col("_no") <= each)
-        .select("doc_id", F.col("lang").alias("_lang"))
-        .dropDuplicates(["doc_id"])
-    )
+    # Parts of a language first, so that no task gets a frequent one whole; what is left
+    # of each part is bounded.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    by_part = Window.partitionBy("lang", "_part").orderBy(F.xxhash64("doc_id"), "doc_id")
+    by_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id", "lang", part.alias("_part"))
+    for window in (by_part, by_lang):
+        ids = ids.withColumn("_no", F.row_number().over(window)).where(F.col("_no") <= each)
+    ids = ids.select("doc_id", F.col("lang").alias("_lang")).dropDuplicates(["doc_id"])
     rows = (
         docs.select("doc_id", "text")
         .where(F.length("text") <= SAMPLE_CHARS)
