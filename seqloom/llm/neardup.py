@@ -20,10 +20,13 @@ is its smallest document; each document is compared with the smallest pivot it m
 and the links that verification confirms are joined into classes. Where a bucket then
 still holds several classes, all members of other classes are compared with a second
 pivot; after that its members outside its largest class meet all its
-members in blocks of bounded size, where equal registers estimate J, and each is
-verified against the nearest members of every other class whose estimate is near
-enough. So all pairs that share a bucket are in one class already or have been
-compared. Exact copies collapse before that.
+members in blocks of bounded size, where equal registers estimate J. First each is
+verified against the nearest members of every other class, which joins most of what
+belongs together; then every pair of different classes that has not been tried and
+whose estimate is at most ``SLACK`` short of the threshold is verified. Pairs travel as
+ids, a text once per block that needs it. So of the pairs that share a bucket only those
+that the estimate rules out are neither in one class nor compared exactly. Exact copies
+collapse before that.
 
 Defined results: null counts as the empty text; a text with one to four words is
 one shingle of them all; texts without words are copies of each other; repeated
@@ -51,10 +54,12 @@ BANDS = 32
 ROWS = 6
 REGISTERS = BANDS * ROWS
 PIVOT_ROUNDS = 2
-#: Members of a bucket that meet at a time, and how far an estimate may stay behind.
+#: Members of a bucket, and bytes of their texts, that meet at a time.
 BLOCK = 256
+BLOCK_BYTES = 8 << 20
+#: How far an estimate may stay behind the threshold.
 SLACK = 0.08
-#: Nearest members of one other class that a document is verified against.
+#: Nearest members of one other class that are verified before all others are.
 TRIES = 3
 
 
@@ -230,13 +235,8 @@ def _pivots(buckets: DataFrame, order: Column) -> DataFrame:
     )
 
 
-def _met_in_blocks(placed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different classes in one bucket with an estimate of at least ``least``.
-
-    Members outside the bucket's largest class are dealt to blocks on the left, all
-    members to blocks on the right, and each pair of blocks is one group. A document
-    is paired with the TRIES members of each other class that are nearest to it.
-    """
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes, with their bucket's largest class."""
     sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
         sizes.groupBy("bucket")
@@ -246,56 +246,144 @@ def _met_in_blocks(placed: DataFrame, texts: DataFrame, least: float) -> DataFra
             F.sum("n").alias("n"),
         )
         .where("n > most")
-        .select(
-            "bucket",
-            "main",
-            F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("lefts"),
-            F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"),
-        )
+        .select("bucket", "main")
     )
-    members = written(placed.join(mixed, "bucket"), "mixed")
+    return placed.join(mixed, "bucket")
+
+
+def _known(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each member's registers, a byte of each: others agree by chance in 1 of 256."""
 
     def run(part: Texts, rows: pa.RecordBatch) -> pa.RecordBatch:
         found = registers(*weighted_shingles(part), len(part))
-        # A byte of each register: others agree by chance in 1 of 256.
         short = (mix(found) >> np.uint64(56)).astype(np.uint8)
-        return arrow(["node", "registers"], [rows.column("doc_id"), pa.array([r.tobytes() for r in short])])
+        return arrow(
+            ["node", "registers", "bytes"],
+            [rows.column("doc_id"), pa.array([r.tobytes() for r in short]), np.diff(part.starts)],
+        )
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    known = map_texts(texts.join(wanted, "doc_id"), run, "node long, registers binary")
+    return map_texts(texts.join(wanted, "doc_id"), run, "node long, registers binary, bytes long")
+
+
+def _met_in_blocks(members: DataFrame, known: DataFrame, least: float, tries: int | None) -> DataFrame:
+    """Pairs (a, b) of different classes in one bucket with an estimate of at least ``least``.
+
+    Members outside the bucket's largest class are dealt to blocks on the left, all
+    members to blocks on the right, and each pair of blocks is one group, whose
+    bucket, i and j stay with the pair. With ``tries`` a document is paired with so many
+    members of each other class, those nearest to it.
+    """
+    few = F.col("root") != F.col("main")
+    deal = (
+        members.join(known.select("node", "bytes"), "node")
+        .groupBy("bucket")
+        .agg(
+            F.count(F.when(few, 1)).alias("n_left"),
+            F.sum(F.when(few, F.col("bytes"))).alias("bytes_left"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum("bytes").alias("bytes"),
+        )
+        .select(
+            "bucket",
+            F.ceil(F.greatest(F.col("n_left") / BLOCK, F.col("bytes_left") / BLOCK_BYTES)).cast("int").alias("lefts"),
+            F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("rights"),
+        )
+    )
+    members = members.join(deal, "bucket")
     # Salted, so that the two sides' blocks are dealt independently.
     left, right = F.xxhash64("node", F.lit("l")), F.xxhash64("node", F.lit("r"))
-    first = members.where("root != main").select(
-        "bucket", "node", "root", F.lit(True).alias("asks"),
+    first = members.where(few).select(
+        "bucket", "node", "root", F.lit(True).alias("asks"), F.lit(False).alias("main"),
         F.pmod(left, F.col("lefts")).cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"),
     )
     second = members.select(
-        "bucket", "node", "root", F.lit(False).alias("asks"),
+        "bucket", "node", "root", F.lit(False).alias("asks"), (~few).alias("main"),
         F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"),
         F.pmod(right, F.col("rights")).cast("int").alias("j"),
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         held = np.frombuffer(b"".join(group["registers"]), np.uint8).reshape(len(group), REGISTERS)
-        asks = group["asks"].to_numpy(bool)
-        node, root = group["node"].to_numpy(), group["root"].to_numpy()
-        others, other_node, other_root = held[~asks], node[~asks], root[~asks]
-        out: list[tuple[int, int, int, float]] = []
+        asks, main = group["asks"].to_numpy(bool), group["main"].to_numpy(bool)
+        node, _ = pd.factorize(group["node"], sort=True)
+        root, _ = pd.factorize(group["root"], sort=True)
+        others, other_node, other_root, other_main = held[~asks], node[~asks], root[~asks], main[~asks]
+        lefts, rights, shares = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+        at = np.flatnonzero(~asks)
         for i in np.flatnonzero(asks):
             share = (others == held[i]).mean(1)
-            close = np.flatnonzero((share >= least) & (other_root != root[i]))
-            close = close[np.lexsort((other_node[close], -share[close], other_root[close]))]
-            starts = np.searchsorted(other_root[close], other_root[close])
-            best = close[np.arange(len(close)) - starts < TRIES]
-            out += [(int(node[i]), int(other_root[j]), int(other_node[j]), float(share[j])) for j in best]
-        return pd.DataFrame(out, columns=["node", "other", "near", "share"])
-
-    met = first.unionByName(second).join(known, "node").groupBy("bucket", "i", "j")
-    close = met.applyInPandas(compare, "node long, other long, near long, share double").distinct()
-    nearest = Window.partitionBy("node", "other").orderBy(F.desc("share"), "near")
-    close = close.withColumn("no", F.row_number().over(nearest)).where(F.col("no") <= TRIES)
-    return close.select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()
+            close = (share >= least) & (other_root != root[i])
+            if tries is None:  # two outside the largest class meet twice
+                close &= other_main | (other_node > node[i])
+            close = np.flatnonzero(close)
+            if tries is not None:
+                close = close[np.lexsort((other_node[close], -share[close], other_root[close]))]
+                starts = np.searchsorted(other_root[close], other_root[close])
+                close = close[np.arange(len(close)) - starts < tries]
+            lefts.append(np.full(len(close), i))
+            rights.append(at[close])
+            shares.append(share[close])
+        a, b = np.concatenate(lefts), np.concatenate(rights)
+        out = group.iloc[a][["bucket", "i", "j", "node"]].reset_index(drop=True)
+        out["near"] = group["node"].to_numpy()[b]
+        out["other"] = group["root"].to_numpy()[b]
+        out["share"] = np.concatenate(shares)
+        return out
+
+    met = first.unionByName(second).join(known.select("node", "registers"), "node").groupBy("bucket", "i", "j")
+    close = met.applyInPandas(
+        compare, "bucket long, i int, j int, node long, near long, other long, share double"
+    )
+    # A pair that shares several buckets counts in one of them.
+    close = close.groupBy("node", "near", "other", "share").agg(F.min(F.struct("bucket", "i", "j")).alias("at"))
+    if tries is not None:
+        nearest = Window.partitionBy("node", "other").orderBy(F.desc("share"), "near")
+        close = close.withColumn("no", F.row_number().over(nearest)).where(F.col("no") <= tries)
+    close = close.select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b"), "at")
+    return close.groupBy("a", "b").agg(F.min("at").alias("at")).select("a", "b", "at.*")
+
+
+def _near(
+    mine: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]], threshold: float
+) -> np.ndarray:
+    """Which of the others, none without shingles, reach the threshold by either measure."""
+    size = np.array([len(o[0]) for o in others])
+    flat = np.concatenate([o[0] for o in others])
+    place = np.minimum(np.searchsorted(mine[0], flat), len(mine[0]) - 1)
+    both = np.add.reduceat((mine[0][place] == flat).astype(np.int64), np.cumsum(size) - size)
+    near = both / (len(mine[0]) + size - both) >= threshold
+    # Without repeated shingles the two measures are one.
+    repeats = (mine[1] != 1).any()
+    for k in np.flatnonzero(~near):
+        if repeats or (others[k][1] != 1).any():
+            near[k] = probability_jaccard(mine, others[k]) >= threshold
+    return near
+
+
+def _verified_in_blocks(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose texts reach the threshold; a text goes once to each block of its pairs."""
+    prepare(pairs.sparkSession)
+    block = ["bucket", "i", "j"]
+    # Columns of their own, as both sides come from the same pairs.
+    own = [F.col(c).alias(c) for c in block]
+    ends = pairs.select(*own, F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = ends.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+
+    def run(links: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for part in slices(pa.array(members["text"], pa.string())):
+            found += _by_text(part)
+        of = dict(zip(members["node"], found, strict=True))
+        kept = [
+            mine.loc[_near(of[a], [of[b] for b in mine["b"]], threshold), ["a", "b"]]
+            for a, mine in links.groupby("a")
+        ]
+        return pd.concat(kept) if kept else links[["a", "b"]]
+
+    grouped = pairs.groupBy(*block).cogroup(held.groupBy(*block))
+    return grouped.applyInPandas(run, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -318,8 +406,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .select("doc_id", "text"),
         "texts",
     )
-    tried = links = roots = None
-    for turn in range(PIVOT_ROUNDS + 1):
+    tried = links = roots = known = None
+    for turn in range(PIVOT_ROUNDS + 2):
         placed = buckets.withColumn("root", F.col("node"))
         if roots is not None:
             placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -329,12 +417,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if turn == 0:  # one pivot for each document, the smallest over its buckets
                 pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         else:
-            pairs = _met_in_blocks(written(placed, "placed"), texts, threshold - SLACK)
+            members = written(_mixed(written(placed, "placed")), "mixed")
+            if known is None:  # classes only grow: later no bucket becomes mixed
+                known = written(_known(members, texts), "known")
+            pairs = _met_in_blocks(members, known, threshold - SLACK, TRIES if turn == PIVOT_ROUNDS else None)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(verified(pairs, texts, threshold), "links")
+        own = pairs.select("a", "b")
+        tried = own if tried is None else tried.unionByName(own)
+        check = verified if turn < PIVOT_ROUNDS else _verified_in_blocks
+        found = written(check(pairs, texts, threshold), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = written(components(links), "roots")

@@ -147,3 +147,20 @@ def test_sketch_does_not_depend_on_the_slice():
     together = neardup.registers(*neardup.weighted_shingles(whole), 40)
     for i, part in enumerate(slices(pa.array(texts), 1)):
         assert (neardup.registers(*neardup.weighted_shingles(part), 1)[0] == together[i]).all()
+
+
+def test_links_do_not_depend_on_the_nearest_tries(spark, monkeypatch):
+    """What neither a pivot nor the nearest members link is still compared."""
+    monkeypatch.setattr(neardup, "TRIES", 0)
+    monkeypatch.setattr(neardup, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    test_classes_equal_brute_force(spark)
+
+
+def test_a_block_is_verified_like_single_pairs():
+    texts = ["a b c d e f g h i j " * n + f"k l m n o{n}" for n in (1, 2, 3, 9)] + [prose(1, 9), "a", "a b"]
+    held = [arrays(t) for t in texts]
+    for mine in held:
+        for threshold in (0.3, 0.8):
+            want = [max(neardup.probability_jaccard(mine, o), neardup.jaccard(mine[0], o[0])) >= threshold for o in held]
+            assert neardup._near(mine, held, threshold).tolist() == want
