@@ -12,18 +12,20 @@ in waves, and a shingle stops as soon as its next arrival is later than every
 register of its document (early termination). Registers are equal in two
 documents with probability J.
 
-``BANDS`` bands of ``ROWS`` registers give each document its buckets (a pair at
-0.8 shares none with probability 6e-5). A pair counts as near if the exact J, or the
-plain Jaccard of the two shingle sets, is at least 0.8; the two differ only where
-shingles repeat inside a text. A bucket is never expanded into pairs: its pivot
+A pair counts as near if the exact J, or the plain Jaccard of the two shingle sets, is
+at least 0.8; the two differ only where shingles repeat inside a text. So a text with
+repeated shingles has a second sketch with all weights 1; for any other text the two
+sketches are one. ``BANDS`` bands of ``ROWS`` registers of each sketch give a document
+its buckets; a pair at 0.8 by either measure shares none with probability 6e-5. A bucket is never expanded into pairs: its pivot
 is its smallest document; each document is compared with the smallest pivot it meets,
 and the links that verification confirms are joined into classes. Where a bucket then
 still holds several classes, all members of other classes are compared with a second
 pivot; after that its members outside its largest class meet all its
-members in blocks of bounded size, where equal registers estimate J. First each is
+members in blocks of bounded size, where equal registers estimate both measures. First each is
 verified against the nearest members of every other class, which joins most of what
 belongs together; then every pair of different classes that has not been tried and
-whose estimate is at most ``SLACK`` short of the threshold is verified. Pairs travel as
+whose larger estimate is at most ``SLACK``, five standard errors, short of the threshold
+is verified. Pairs travel as
 ids, a text once per block that needs it. So of the pairs that share a bucket only those
 that the estimate rules out are neither in one class nor compared exactly. Exact copies
 collapse before that.
@@ -58,7 +60,7 @@ PIVOT_ROUNDS = 2
 BLOCK = 256
 BLOCK_BYTES = 8 << 20
 #: How far an estimate may stay behind the threshold.
-SLACK = 0.08
+SLACK = 0.15
 #: Nearest members of one other class that are verified before all others are.
 TRIES = 3
 
@@ -105,6 +107,17 @@ def registers(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int)
     return winner.reshape(n, REGISTERS)
 
 
+def plain_registers(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Registers with all weights 1; ``found`` has those of the given weights."""
+    repeats = np.bincount(text, weights=weight != 1, minlength=len(found)) > 0
+    out = found.copy()
+    if repeats.any():
+        own = repeats[text]
+        number = np.cumsum(repeats) - 1
+        out[repeats] = registers(number[text[own]], shingle[own], np.ones(own.sum()), int(repeats.sum()))
+    return out
+
+
 def bands(found: np.ndarray) -> np.ndarray:
     """[text, band]: one key per band; the band's number is part of the hash."""
     parts = found.reshape(len(found), BANDS, ROWS)
@@ -119,10 +132,14 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(texts: Texts, rows: pa.RecordBatch) -> pa.RecordBatch:
         text, shingle, weight = weighted_shingles(texts)
-        keys = bands(registers(text, shingle, weight, len(texts))).view(np.int64)
+        found = registers(text, shingle, weight, len(texts))
+        keys = bands(found).view(np.int64)
+        plain = bands(plain_registers(text, shingle, weight, found)).view(np.int64)
         has = np.bincount(text, minlength=len(texts)) > 0
-        offsets = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].ravel()))
+        keys = np.concatenate([keys, plain], 1)
+        use = np.concatenate([np.ones(plain.shape, bool), plain != keys[:, :BANDS]], 1) & has[:, None]
+        offsets = np.concatenate([[0], np.cumsum(use.sum(1))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[use]))
         return arrow(["doc_id", "digest", "bands"], [rows.column("doc_id"), rows.column("digest"), lists])
 
     rows = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
@@ -252,11 +269,19 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 
 def _known(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Each member's registers, a byte of each: others agree by chance in 1 of 256."""
+    """Each member's registers, a byte of each: others agree by chance in 1 of 256.
+
+    Those with all weights 1 follow where they are others.
+    """
 
     def run(part: Texts, rows: pa.RecordBatch) -> pa.RecordBatch:
-        found = registers(*weighted_shingles(part), len(part))
-        short = (mix(found) >> np.uint64(56)).astype(np.uint8)
+        sketch = weighted_shingles(part)
+        found = registers(*sketch, len(part))
+        plain = plain_registers(*sketch, found)
+        short = [
+            (mix(np.concatenate([x, y] if (x != y).any() else [x])) >> np.uint64(56)).astype(np.uint8)
+            for x, y in zip(found, plain, strict=True)
+        ]
         return arrow(
             ["node", "registers", "bytes"],
             [rows.column("doc_id"), pa.array([r.tobytes() for r in short]), np.diff(part.starts)],
@@ -305,15 +330,23 @@ def _met_in_blocks(members: DataFrame, known: DataFrame, least: float, tries: in
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        held = np.frombuffer(b"".join(group["registers"]), np.uint8).reshape(len(group), REGISTERS)
+        # The first and the last registers of each: by weight, and plain.
+        held, plain = (
+            np.frombuffer(b"".join(r[part] for r in group["registers"]), np.uint8).reshape(len(group), REGISTERS)
+            for part in (slice(REGISTERS), slice(-REGISTERS, None))
+        )
+        repeats = bool((held != plain).any())
         asks, main = group["asks"].to_numpy(bool), group["main"].to_numpy(bool)
         node, _ = pd.factorize(group["node"], sort=True)
         root, _ = pd.factorize(group["root"], sort=True)
         others, other_node, other_root, other_main = held[~asks], node[~asks], root[~asks], main[~asks]
+        other_plain = plain[~asks]
         lefts, rights, shares = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
         at = np.flatnonzero(~asks)
         for i in np.flatnonzero(asks):
             share = (others == held[i]).mean(1)
+            if repeats:
+                share = np.maximum(share, (other_plain == plain[i]).mean(1))
             close = (share >= least) & (other_root != root[i])
             if tries is None:  # two outside the largest class meet twice
                 close &= other_main | (other_node > node[i])

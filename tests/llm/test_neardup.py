@@ -164,3 +164,16 @@ def test_a_block_is_verified_like_single_pairs():
         for threshold in (0.3, 0.8):
             want = [max(neardup.probability_jaccard(mine, o), neardup.jaccard(mine[0], o[0])) >= threshold for o in held]
             assert neardup._near(mine, held, threshold).tolist() == want
+
+
+def test_repeated_passages_by_plain_jaccard(spark):
+    """Near by shingle sets, far by how often the shingles occur."""
+    docs = []
+    for i in range(12):
+        x, y = prose(500 + i, 100), prose(600 + i, 100)
+        docs += [(2 * i, f"{x} {y}"), (2 * i + 1, " ".join([x, *[y] * 20]))]
+    a, b = arrays(docs[0][1]), arrays(docs[1][1])
+    assert neardup.probability_jaccard(a, b) < 0.65 < 0.8 < neardup.jaccard(a[0], b[0])
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame).collect()}
+    assert got == {d: d - d % 2 for d, _ in docs}
