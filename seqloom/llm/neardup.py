@@ -31,10 +31,12 @@ that the estimate rules out are neither in one class nor compared exactly. Exact
 collapse before that.
 
 Defined results: null counts as the empty text; a text with one to four words is
-one shingle of them all; texts without words are copies of each other; repeated
+one shingle of them all; a text without words is near to its exact copies only; repeated
 rows share a class, whose id is its smallest document id; an empty table gives an
-empty result. Other columns are kept by ``first_of_each_class`` and ignored
-elsewhere.
+empty result. Classes are made of texts, keyed by their digests: rows with a null or a
+repeated id and different texts that are not near stay in classes of their own, though
+these bear the same id (null if no document of the class has one). Other columns are
+kept by ``first_of_each_class``, which gives one row of every class, and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -167,7 +169,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) whose texts reach the threshold; ``texts`` has (doc_id, text)."""
+    """Pairs (a, b) whose texts reach the threshold; ``texts`` has (node, text)."""
     prepare(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +186,10 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
                     keep[left.first + i] = near
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a binary, b binary")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -284,11 +286,10 @@ def _known(members: DataFrame, texts: DataFrame) -> DataFrame:
         ]
         return arrow(
             ["node", "registers", "bytes"],
-            [rows.column("doc_id"), pa.array([r.tobytes() for r in short]), np.diff(part.starts)],
+            [rows.column("node"), pa.array([r.tobytes() for r in short]), np.diff(part.starts)],
         )
 
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    return map_texts(texts.join(wanted, "doc_id"), run, "node long, registers binary, bytes long")
+    return map_texts(texts.join(members.select("node").distinct(), "node"), run, "node binary, registers binary, bytes long")
 
 
 def _met_in_blocks(members: DataFrame, known: DataFrame, least: float, tries: int | None) -> DataFrame:
@@ -367,7 +368,7 @@ def _met_in_blocks(members: DataFrame, known: DataFrame, least: float, tries: in
 
     met = first.unionByName(second).join(known.select("node", "registers"), "node").groupBy("bucket", "i", "j")
     close = met.applyInPandas(
-        compare, "bucket long, i int, j int, node long, near long, other long, share double"
+        compare, "bucket long, i int, j int, node binary, near binary, other binary, share double"
     )
     # A pair that shares several buckets counts in one of them.
     close = close.groupBy("node", "near", "other", "share").agg(F.min(F.struct("bucket", "i", "j")).alias("at"))
@@ -402,7 +403,7 @@ def _verified_in_blocks(pairs: DataFrame, texts: DataFrame, threshold: float) ->
     # Columns of their own, as both sides come from the same pairs.
     own = [F.col(c).alias(c) for c in block]
     ends = pairs.select(*own, F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = ends.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    held = ends.join(texts, "node")
 
     def run(links: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -416,29 +417,32 @@ def _verified_in_blocks(pairs: DataFrame, texts: DataFrame, threshold: float) ->
         return pd.concat(kept) if kept else links[["a", "b"]]
 
     grouped = pairs.groupBy(*block).cogroup(held.groupBy(*block))
-    return grouped.applyInPandas(run, "a long, b long")
+    return grouped.applyInPandas(run, "a binary, b binary")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, digest of its text and class_id."""
+def _rooted(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest), and of each distinct text (digest, doc_id, root).
+
+    A text's node is its digest; ``doc_id`` is its smallest, ``root`` names its class.
+    """
     rows = written(sketches(docs), "sketches")
-    copies = rows.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    copies = written(copies, "copies")
-    # One document of each distinct text stands for it.
-    stands = rows.join(copies, "digest").where("doc_id = node").dropDuplicates(["digest"])
-    members = stands.select("node", F.explode("bands").alias("bucket"))
+    # min() passes over nulls: only a text without any id keeps a null one.
+    copies = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    copies = written(copies.withColumn("node", F.unhex("digest")), "copies")
+
+    def standing(table: DataFrame, of: DataFrame) -> DataFrame:
+        """The rows of one document of each distinct text; it stands for the text."""
+        of = of.select("node", F.col("digest").alias("own"), F.col("doc_id").alias("least"))
+        same = (table["digest"] == of["own"]) & table["doc_id"].eqNullSafe(of["least"])
+        return table.join(of, same).dropDuplicates(["node"])
+
+    members = standing(rows, copies).select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     buckets = written(members.join(shared, "bucket").select("bucket", "node"), "buckets")
 
-    wanted = written(buckets.select("node").distinct(), "wanted")
+    wanted = copies.join(buckets.select("node").distinct(), "node")
     source = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
-    texts = written(
-        source.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id")
-        .join(copies.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"])
-        .dropDuplicates(["doc_id", "digest"])
-        .select("doc_id", "text"),
-        "texts",
-    )
+    texts = written(standing(source, wanted).select("node", "text"), "texts")
     tried = links = roots = known = None
     for turn in range(PIVOT_ROUNDS + 2):
         placed = buckets.withColumn("root", F.col("node"))
@@ -464,23 +468,28 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = written(components(links), "roots")
-    named = copies.select("digest", "node")
     if roots is not None:
-        named = named.join(roots, "node", "left")
+        copies = copies.join(roots, "node", "left")
     else:
-        named = named.withColumn("root", F.lit(None).cast("long"))
-    named = named.select("digest", F.coalesce("root", "node").alias("class_id"))
-    return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id")
+        copies = copies.withColumn("root", F.lit(None).cast("binary"))
+    named = copies.select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "digest"), named
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, digest of its text and class_id."""
+    rows, named = _rooted(docs, threshold)
+    ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = named.select("digest", "root").join(ids, "root").select("digest", "class_id")
+    return rows.join(named, "digest").select("doc_id", "digest", "class_id")
 
 
 def first_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The document with the smallest id of each class, all columns as they were."""
-    found = written(classes(docs, threshold), "classes")
-    kept = (
-        found.where("doc_id = class_id OR (doc_id IS NULL AND class_id IS NULL)")
-        .groupBy("class_id")
-        .agg(F.min("digest").alias("digest"))
-    )
+    _, named = _rooted(docs, threshold)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    kept = named.groupBy("root").agg(F.min(first).alias("first")).select("first.doc_id", "first.digest")
+    kept = written(kept.withColumnRenamed("doc_id", "class_id"), "kept")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     keyed = keyed.select(
         "row", F.col("row.doc_id").alias("class_id"), digest(F.col("row.text")).alias("digest")

@@ -177,3 +177,23 @@ def test_repeated_passages_by_plain_jaccard(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame).collect()}
     assert got == {d: d - d % 2 for d, _ in docs}
+
+
+def test_null_and_equal_ids_with_different_texts(spark):
+    """One row of every class, whatever the ids; near copies without an id are still found."""
+    near = prose(21, 100)
+    rows = [row(None, prose(i, 60)) for i in range(22, 27)]
+    rows += [row(None, near), row(None, near + " end"), row(None, near)]
+    rows += [row(7, prose(i, 60)) for i in range(27, 30)] + [row(7, prose(27, 60))]
+    rows += [row(None, prose(30, 100)), row(8, prose(30, 100) + " end")]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in neardup.first_of_each_class(frame).collect()]
+    single = [(None, prose(i, 60)) for i in range(22, 27)] + [(7, prose(i, 60)) for i in range(27, 30)]
+    assert sorted(x[1] for x in got if x in single) == sorted(x[1] for x in single)
+    rest = [x for x in got if x not in single]
+    assert len(rest) == 2
+    assert (8, prose(30, 100) + " end") in rest
+    assert {x for x in rest if x[0] is None} <= {(None, near), (None, near + " end")}
+    held = neardup.classes(frame).collect()
+    assert len(held) == len(rows)
+    assert {r["class_id"] for r in held if r["doc_id"] == 7} == {7}
