@@ -6,8 +6,8 @@ Training
     documents several times as often as in clean ones. The field has two states,
     clean and toxic, with hashed features of the word and its beginnings, and
     transition weights; stochastic gradients come from forward-backward.
-    Documents that repeat an earlier document of the sample are left out, or a
-    copied text would make each of its words look toxic.
+    Near copies of an earlier document of the sample are left out of all counts, or a
+    copied text would make each of its words look toxic and dilute the others.
 
 Scoring
     A document is cut into chains of at most ``CHAIN`` words. Forward-backward
@@ -42,6 +42,8 @@ SAMPLE_CHARS = 20_000
 #: A word form marks toxic text if toxic documents have it so many times as often.
 ODDS = 5.0
 THRESHOLD = 0.5
+#: Jaccard of the three-word shingles from which on a text is a near copy.
+COPY = 0.8
 
 
 @dataclass
@@ -157,23 +159,45 @@ def doc_features(p: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def _first_copies(found: Words, hashes: np.ndarray) -> np.ndarray:
-    """False for texts that share a smallest three-word shingle with an earlier one."""
+    """False for near copies of an earlier text that is kept.
+
+    Texts that share a smallest three-word shingle are compared by all of them.
+    """
     keep = np.ones(len(found.of) - 1, bool)
     shingle, text = shingles(hashes, found.of, 3)
+    order = np.lexsort((shingle, text))
+    shingle, text = shingle[order], text[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (shingle[1:] != shingle[:-1]) | (text[1:] != text[:-1])
+    shingle, text = shingle[new], text[new]
+    at = np.searchsorted(text, np.arange(len(keep) + 1))
+    size = np.diff(at)
+    least = []
     for salt in (0x9E37, 0x85EB, 0xC2B2):
         salted = (shingle ^ np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93 + 2 * salt)
-        least = np.full(len(keep), np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(least, text, salted)
-        has = np.diff(found.of) > 0
-        _, first = np.unique(least, return_index=True)
-        original = np.zeros(len(keep), bool)
-        original[first] = True
-        keep &= original | ~has
+        smallest = np.full(len(keep), np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(smallest, text, salted)
+        least.append(smallest.tolist())
+    holders: dict[tuple[int, int], list[int]] = {}
+    for i in np.flatnonzero(size).tolist():
+        keys = [(k, smallest[i]) for k, smallest in enumerate(least)]
+        others = np.array(sorted({o for key in keys for o in holders.get(key, ())}), np.int64)
+        if len(others):
+            mine = shingle[at[i] : at[i + 1]]
+            n = size[others]
+            flat = np.concatenate([shingle[at[o] : at[o + 1]] for o in others])
+            same = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            both = np.add.reduceat(same.astype(np.int64), np.cumsum(n) - n)
+            keep[i] = not (both >= COPY * (len(mine) + n - both)).any()
+        if keep[i]:
+            for key in keys:
+                holders.setdefault(key, []).append(i)
     return keep
 
 
-def _marks(feats: np.ndarray, used: np.ndarray, text: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Which features toxic documents have much more often than clean ones."""
+def _marks(feats: np.ndarray, keep: np.ndarray, text: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which features toxic documents have much more often than clean ones, of those kept."""
+    used = keep[text]
     size, n_docs = 1 << HASH_BITS, len(label)
     toxic, clean = np.zeros(size), np.zeros(size)
     for row in feats:
@@ -181,7 +205,7 @@ def _marks(feats: np.ndarray, used: np.ndarray, text: np.ndarray, label: np.ndar
         bad = label[both % n_docs] == 1
         toxic += np.bincount(both[bad] // n_docs, minlength=size)
         clean += np.bincount(both[~bad] // n_docs, minlength=size)
-    nt, nc = max((label == 1).sum(), 1), max((label == 0).sum(), 1)
+    nt, nc = max((label[keep] == 1).sum(), 1), max((label[keep] == 0).sum(), 1)
     odds = ((toxic + 0.5) / (nt + 1)) / ((clean + 0.5) / (nc + 1))
     marks = (odds >= ODDS) & (toxic >= max(3, 0.01 * nt))
     marks[0] = False
@@ -212,8 +236,7 @@ def fit_field(
     del pieces
     keep = _first_copies(found, own)
     text = found.text()
-    used = keep[text]
-    marks = _marks(feats, used, text, label)
+    marks = _marks(feats, keep, text, label)
     toxic_word = marks[feats].any(0) & (label[text] == 1)
 
     first, length = chains(found.of)
@@ -253,7 +276,7 @@ def fit_field(
             bias_grad += gs**2
             model.start -= 0.2 * gs / np.sqrt(bias_grad)
     x = doc_features(marginals(found, feats, model), found.of)
-    model.doc = logistic(x, label.astype(float))
+    model.doc = logistic(x[keep], label[keep].astype(float))
     return model
 
 

@@ -72,3 +72,26 @@ def test_held_out_accuracy(spark, sf):
     assert len(got) == table(spark, "documents", sf).count()
     right = (known.predicted == known.toxic).mean()
     assert right > 0.9
+
+
+def test_copies_dilute_no_threshold():
+    """A large group of toxic copies hides no word that few distinct toxic texts have."""
+    clean = [prose(i, 40) for i in range(60)]
+    common = prose(99, 40).split()
+    copies = [" ".join([*common[:i], "x" + prose(900 + i, 1), *common[i + 1 :]]) for i in range(40)] * 15
+    bad = [prose(100 + i, 15) + " grumbo " + prose(200 + i, 15) for i in range(8)]
+    bad += [prose(300 + i, 15) + " zundel " + prose(400 + i, 15) for i in range(22)]
+    texts = [*clean, *copies, *bad]
+    label = np.array([0] * 60 + [1] * (len(copies) + len(bad)))
+    model = toxicity.fit_field([one(texts)], label)
+    score = toxicity.score(one(["the grumbo " + prose(7, 20), prose(8, 20)]), model)[0]
+    assert score[0] > 0.5 > score[1]
+
+
+def test_a_shared_passage_is_no_copy():
+    """Texts with one long passage in common and different rests all count."""
+    passage = prose(50, 20)
+    texts = [f"{passage} {prose(i, 20)}" for i in range(30)] + [f"{passage} {prose(3, 20)}", prose(60, 30)]
+    found, feats = toxicity.features(one(texts))
+    own = toxicity.Hasher(toxicity.LOWER[one(texts).data])(found.start, found.end)
+    assert np.flatnonzero(~toxicity._first_copies(found, own)).tolist() == [30]
