@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, neardup, neighbours, packing, quality, rules, toxicity, warc
+from . import (
+    langid,
+    licenses,
+    mixing,
+    neardup,
+    neighbours,
+    packing,
+    quality,
+    rules,
+    simhash,
+    toxicity,
+    warc,
+)
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +142,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.read_archive(spark, path, with_payload=False).drop("url")
+
+
+@query("op11_simhash_trie")
+def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
