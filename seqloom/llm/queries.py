@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    conversation_sql,
     langid,
     licenses,
     mixing,
@@ -15,9 +16,11 @@ from . import (
     neighbours,
     packing,
     quality,
+    repair,
     rules,
     simhash,
     toxicity,
+    turntrie,
     warc,
 )
 from .common import fold, table
@@ -147,3 +150,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_simhash_trie")
 def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_trie", conversation_sql.TRIE)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_conversation_repair", conversation_sql.REPAIR)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(table(spark, sf_dir, "conversations"))
