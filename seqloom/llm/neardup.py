@@ -18,17 +18,16 @@ repeated shingles has a second sketch with all weights 1; for any other text the
 sketches are one. ``BANDS`` bands of ``ROWS`` registers of each sketch give a document
 its buckets; a pair at 0.8 by either measure shares none with probability 6e-5. A bucket is never expanded into pairs: its pivot
 is its smallest document; each document is compared with the smallest pivot it meets,
-and the links that verification confirms are joined into classes. Where a bucket then
-still holds several classes, all members of other classes are compared with a second
-pivot; after that its members outside its largest class meet all its
-members in blocks of bounded size, where equal registers estimate both measures. First each is
-verified against the nearest members of every other class, which joins most of what
-belongs together; then every pair of different classes that has not been tried and
-whose larger estimate is at most ``SLACK``, five standard errors, short of the threshold
-is verified. Pairs travel as
-ids, a text once per block that needs it. So of the pairs that share a bucket only those
-that the estimate rules out are neither in one class nor compared exactly. Exact copies
-collapse before that.
+and the links that verification confirms are joined into classes; then with a second
+pivot. Where a bucket still holds several classes, its members outside the largest class
+meet all its members in blocks of bounded size. In such a block equal registers estimate
+both measures, and every pair of different classes whose larger estimate is at most
+``SLACK``, five standard errors, short of the threshold is verified there, from sorted
+shingle hashes that travel with the members. Pairs never leave their block: a pair is
+looked at in the first band it shares, classes that meet in a block are one from then on,
+and the block hands on one link for each two classes it joins, fewer than it has members.
+So of the pairs that share a bucket only those that the estimate rules out are neither in
+one class nor compared exactly. Exact copies collapse before that.
 
 Defined results: null counts as the empty text; a text with one to four words is
 one shingle of them all; a text without words is near to its exact copies only; repeated
@@ -44,11 +43,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffle_width
 from .common import arrow, map_texts, prepare, written
 from .textops import TEXT_BITS, Hasher, Texts, mix, shingles, slices, words
 
@@ -63,8 +63,8 @@ BLOCK = 256
 BLOCK_BYTES = 8 << 20
 #: How far an estimate may stay behind the threshold.
 SLACK = 0.15
-#: Nearest members of one other class that are verified before all others are.
-TRIES = 3
+#: Pairs whose registers are compared at a time.
+PAIRS = 1 << 17
 
 
 def weighted_shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,31 +121,42 @@ def plain_registers(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, f
 
 
 def bands(found: np.ndarray) -> np.ndarray:
-    """[text, band]: one key per band; the band's number is part of the hash."""
+    """[text, band]: one key per band, with the band's number as its last bits."""
     parts = found.reshape(len(found), BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
-    return key
+    return (key & ~np.uint64(BANDS - 1)) | np.arange(BANDS, dtype=np.uint64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, and band keys (empty without words)."""
+    """doc_id, digest of the text, band keys (empty without words) and registers.
+
+    Of a register a byte is kept: others agree by chance in 1 of 256. Those with all
+    weights 1 follow where they are others.
+    """
 
     def run(texts: Texts, rows: pa.RecordBatch) -> pa.RecordBatch:
         text, shingle, weight = weighted_shingles(texts)
         found = registers(text, shingle, weight, len(texts))
         keys = bands(found).view(np.int64)
-        plain = bands(plain_registers(text, shingle, weight, found)).view(np.int64)
+        flat = plain_registers(text, shingle, weight, found)
+        plain = bands(flat).view(np.int64)
+        short, short_flat = ((mix(r) >> np.uint64(56)).astype(np.uint8) for r in (found, flat))
+        repeats = (found != flat).any(1)
+        kept = [r.tobytes() + f.tobytes() * bool(x) for r, f, x in zip(short, short_flat, repeats, strict=True)]
         has = np.bincount(text, minlength=len(texts)) > 0
         keys = np.concatenate([keys, plain], 1)
         use = np.concatenate([np.ones(plain.shape, bool), plain != keys[:, :BANDS]], 1) & has[:, None]
         offsets = np.concatenate([[0], np.cumsum(use.sum(1))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[use]))
-        return arrow(["doc_id", "digest", "bands"], [rows.column("doc_id"), rows.column("digest"), lists])
+        return arrow(
+            ["doc_id", "digest", "bands", "registers"],
+            [rows.column("doc_id"), rows.column("digest"), lists, pa.array(kept, pa.binary())],
+        )
 
     rows = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
-    return map_texts(rows, run, "doc_id long, digest string, bands array<long>")
+    return map_texts(rows, run, "doc_id long, digest string, bands array<long>, registers binary")
 
 
 def digest(text: Column) -> Column:
@@ -168,28 +179,83 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(total)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) whose texts reach the threshold; ``texts`` has (node, text)."""
-    prepare(pairs.sparkSession)
+def _held(texts: DataFrame) -> DataFrame:
+    """node, sorted shingle hashes, and their weights where not all are 1."""
+
+    def run(part: Texts, rows: pa.RecordBatch) -> pa.RecordBatch:
+        found = _by_text(part)
+        weights = [None if (w == 1).all() else w.astype("<u4").tobytes() for _, w in found]
+        return arrow(
+            ["node", "shingles", "weights"],
+            [rows.column("node"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array(weights, pa.binary())],
+        )
+
+    return map_texts(texts, run, "node binary, shingles binary, weights binary")
+
+
+def _sets(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for h, w in zip(rows.column("shingles").to_pylist(), rows.column("weights").to_pylist(), strict=True):
+        own = np.frombuffer(h, np.uint64)
+        out.append((own, np.ones(len(own)) if w is None else np.frombuffer(w, "<u4").astype(np.float64)))
+    return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows sorted by ``keys``, many groups at a time."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        now = pa.Table.from_batches([batch])
+        now = now if rest is None else pa.concat_tables([rest, now])
+        # All but the last group are whole.
+        starts = _group_starts(now, keys)
+        if len(starts) > 1:
+            yield now.slice(0, int(starts[-1])).combine_chunks()
+        rest = now.slice(int(starts[-1]))
+    if rest is not None:
+        yield rest.combine_chunks()
+
+
+def _group_starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for key in keys:
+        column = rows.column(key).combine_chunks()
+        new[1:] |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def verified(pairs: DataFrame, held: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) whose texts reach the threshold.
+
+    ``b`` is a pivot, which may have many pairs: they are dealt to blocks, and the pivot
+    goes once to each of them.
+    """
+    spark = pairs.sparkSession
+    prepare(spark)
+    sized = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = pairs.join(sized, "b").select(
+        "b", "a", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("pivot")
+    )
+    pivots = sized.select(
+        "b", F.col("b").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("pivot")
+    )
+    rows = dealt.unionByName(pivots).join(held.withColumnRenamed("node", "a"), "a")
+    rows = rows.repartition(shuffle_width(spark), "b", "block").sortWithinPartitions("b", "block", F.desc("pivot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            right = batch.column("text_b")
-            for left in slices(batch.column("text_a")):
-                mine = _by_text(left)
-                other = []
-                for part in slices(right.slice(left.first, len(left))):
-                    other += _by_text(part)
-                for i, (p, q) in enumerate(zip(mine, other, strict=True)):
-                    near = probability_jaccard(p, q) >= threshold or jaccard(p[0], q[0]) >= threshold
-                    keep[left.first + i] = near
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a binary, b binary")
+        for table in whole_groups(batches, ["b", "block"]):
+            starts = _group_starts(table, ["b", "block"])
+            held_sets = _sets(table)
+            near = np.zeros(len(table), bool)
+            for i, j in zip(starts, [*starts[1:], len(table)], strict=True):
+                if j > i + 1:  # the pivot comes first
+                    near[i + 1 : j] = _near(held_sets[i], held_sets[i + 1 : j], threshold)
+            yield from table.select(["a", "b"]).filter(pa.array(near)).to_batches()
+
+    return rows.select("a", "b", "block", "pivot", "shingles", "weights").mapInArrow(run, "a binary, b binary")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -236,7 +302,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _pivots(buckets: DataFrame, order: Column) -> DataFrame:
-    """Pairs (a, b) of bucket members with their bucket's pivot of another class."""
+    """Pairs (a, b) of bucket members a with their bucket's pivot b of another class."""
     pivot = buckets.groupBy("bucket").agg(
         F.min_by(F.struct("node", "root"), order).alias("pivot"),
         F.min("root").alias("low"),
@@ -249,8 +315,7 @@ def _pivots(buckets: DataFrame, order: Column) -> DataFrame:
     met = buckets.join(pivot, "bucket").where("root != other").groupBy("node", "other")
     return (
         met.agg(F.min("b").alias("pivot"))
-        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        .distinct()
+        .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     )
 
 
@@ -270,39 +335,18 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(mixed, "bucket")
 
 
-def _known(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Each member's registers, a byte of each: others agree by chance in 1 of 256.
-
-    Those with all weights 1 follow where they are others.
-    """
-
-    def run(part: Texts, rows: pa.RecordBatch) -> pa.RecordBatch:
-        sketch = weighted_shingles(part)
-        found = registers(*sketch, len(part))
-        plain = plain_registers(*sketch, found)
-        short = [
-            (mix(np.concatenate([x, y] if (x != y).any() else [x])) >> np.uint64(56)).astype(np.uint8)
-            for x, y in zip(found, plain, strict=True)
-        ]
-        return arrow(
-            ["node", "registers", "bytes"],
-            [rows.column("node"), pa.array([r.tobytes() for r in short]), np.diff(part.starts)],
-        )
-
-    return map_texts(texts.join(members.select("node").distinct(), "node"), run, "node binary, registers binary, bytes long")
-
-
-def _met_in_blocks(members: DataFrame, known: DataFrame, least: float, tries: int | None) -> DataFrame:
-    """Pairs (a, b) of different classes in one bucket with an estimate of at least ``least``.
+def _linked_in_blocks(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all classes of one bucket with a pair that reaches the threshold.
 
     Members outside the bucket's largest class are dealt to blocks on the left, all
-    members to blocks on the right, and each pair of blocks is one group, whose
-    bucket, i and j stay with the pair. With ``tries`` a document is paired with so many
-    members of each other class, those nearest to it.
+    members to blocks on the right, and each pair of blocks is one group.
     """
+    spark = members.sparkSession
+    prepare(spark)
     few = F.col("root") != F.col("main")
+    size = F.octet_length("shingles")
     deal = (
-        members.join(known.select("node", "bytes"), "node")
+        members.join(held.select("node", size.alias("bytes")), "node")
         .groupBy("bucket")
         .agg(
             F.count(F.when(few, 1)).alias("n_left"),
@@ -329,54 +373,93 @@ def _met_in_blocks(members: DataFrame, known: DataFrame, least: float, tries: in
         F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"),
         F.pmod(right, F.col("rights")).cast("int").alias("j"),
     )
+    keys = ["bucket", "i", "j"]
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        # The first and the last registers of each: by weight, and plain.
-        held, plain = (
-            np.frombuffer(b"".join(r[part] for r in group["registers"]), np.uint8).reshape(len(group), REGISTERS)
-            for part in (slice(REGISTERS), slice(-REGISTERS, None))
-        )
-        repeats = bool((held != plain).any())
-        asks, main = group["asks"].to_numpy(bool), group["main"].to_numpy(bool)
-        node, _ = pd.factorize(group["node"], sort=True)
-        root, _ = pd.factorize(group["root"], sort=True)
-        others, other_node, other_root, other_main = held[~asks], node[~asks], root[~asks], main[~asks]
-        other_plain = plain[~asks]
-        lefts, rights, shares = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
-        at = np.flatnonzero(~asks)
-        for i in np.flatnonzero(asks):
-            share = (others == held[i]).mean(1)
-            if repeats:
-                share = np.maximum(share, (other_plain == plain[i]).mean(1))
-            close = (share >= least) & (other_root != root[i])
-            if tries is None:  # two outside the largest class meet twice
-                close &= other_main | (other_node > node[i])
-            close = np.flatnonzero(close)
-            if tries is not None:
-                close = close[np.lexsort((other_node[close], -share[close], other_root[close]))]
-                starts = np.searchsorted(other_root[close], other_root[close])
-                close = close[np.arange(len(close)) - starts < tries]
-            lefts.append(np.full(len(close), i))
-            rights.append(at[close])
-            shares.append(share[close])
-        a, b = np.concatenate(lefts), np.concatenate(rights)
-        out = group.iloc[a][["bucket", "i", "j", "node"]].reset_index(drop=True)
-        out["near"] = group["node"].to_numpy()[b]
-        out["other"] = group["root"].to_numpy()[b]
-        out["share"] = np.concatenate(shares)
-        return out
-
-    met = first.unionByName(second).join(known.select("node", "registers"), "node").groupBy("bucket", "i", "j")
-    close = met.applyInPandas(
-        compare, "bucket long, i int, j int, node binary, near binary, other binary, share double"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, keys):
+            a, b = _block_links(table, keys, threshold)
+            node = table.column("node").combine_chunks()
+            yield arrow(["a", "b"], [node.take(pa.array(a)), node.take(pa.array(b))])
+
+    met = first.unionByName(second).join(held, "node")
+    met = met.repartition(shuffle_width(spark), *keys).sortWithinPartitions(*keys, F.desc("asks"))
+    return met.mapInArrow(run, "a binary, b binary")
+
+
+def _block_links(table: pa.Table, keys: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the table that are linked, one link for two classes that were apart."""
+    starts = _group_starts(table, keys)
+    ends = np.append(starts[1:], len(table))
+    asks = table.column("asks").to_numpy()
+    main = table.column("main").to_numpy()
+    band = table.column("bucket").to_numpy() & (BANDS - 1)
+    # Numbers in the order of the digests, which all blocks share.
+    halves = np.frombuffer(b"".join(table.column("node").to_pylist()), ">u8").reshape(-1, 2)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    node = np.empty(len(table), np.int64)
+    node[order] = np.cumsum(np.concatenate([[0], (halves[order[1:]] != halves[order[:-1]]).any(1)]))
+    root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+    # The first and the last registers of each: by weight, and plain.
+    found = table.column("registers").to_pylist()
+    held, plain = (
+        np.frombuffer(b"".join(r[part] for r in found), np.uint8).reshape(len(found), REGISTERS)
+        for part in (slice(REGISTERS), slice(-REGISTERS, None))
     )
-    # A pair that shares several buckets counts in one of them.
-    close = close.groupBy("node", "near", "other", "share").agg(F.min(F.struct("bucket", "i", "j")).alias("at"))
-    if tries is not None:
-        nearest = Window.partitionBy("node", "other").orderBy(F.desc("share"), "near")
-        close = close.withColumn("no", F.row_number().over(nearest)).where(F.col("no") <= tries)
-    close = close.select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b"), "at")
-    return close.groupBy("a", "b").agg(F.min("at").alias("at")).select("a", "b", "at.*")
+    repeats = np.array([len(r) > REGISTERS for r in found])
+    size = np.array([len(h) for h in table.column("shingles").to_pylist()])
+    n_asks = np.add.reduceat(asks.astype(np.int64), starts)
+    middle = starts + n_asks
+    label = np.arange(root.max(initial=-1) + 1)
+    sets: list[tuple[np.ndarray, np.ndarray]] | None = None
+    links: list[tuple[int, int]] = []
+    for i, j in _pair_runs(starts, middle, ends):
+        apart = (label[root[i]] != label[root[j]]) & (main[j] | (node[j] > node[i]))
+        short, long = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        # Without repeats the similarity is at most the ratio of the numbers of shingles.
+        apart &= repeats[i] | repeats[j] | (short >= threshold * long)
+        i, j = i[apart], j[apart]
+        same = held[i] == held[j]
+        share = same.mean(1)
+        either = repeats[i] | repeats[j]
+        if either.any():
+            share[either] = np.maximum(share[either], (plain[i[either]] == plain[j[either]]).mean(1))
+        # A pair that shares an earlier band meets there.
+        shared = same.reshape(-1, BANDS, ROWS).all(2)
+        earlier = shared.any(1) & (shared.argmax(1) < band[i])
+        close = np.flatnonzero((share >= threshold - SLACK) & ~earlier)
+        if not len(close):
+            continue
+        sets = sets if sets is not None else _sets(table)
+        i, j = i[close], j[close]
+        heads = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+        for lo, hi in zip(heads, [*heads[1:], len(i)], strict=True):
+            mine, others = i[lo], j[lo:hi]
+            others = others[label[root[others]] != label[root[mine]]]
+            if not len(others):
+                continue
+            for k in others[_near(sets[mine], [sets[o] for o in others], threshold)]:
+                p, q = label[root[mine]], label[root[k]]
+                if p != q:
+                    label[label == max(p, q)] = min(p, q)
+                    links.append((mine, k))
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def _pair_runs(starts: np.ndarray, middle: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (asking, other) rows of the groups, group after group, a bounded number at a time."""
+    asking = np.concatenate([np.arange(a, b) for a, b in zip(starts, middle, strict=True)])
+    group = np.repeat(np.arange(len(starts)), middle - starts)
+    width = (ends - middle)[group]
+    total = np.cumsum(width)
+    at = 0
+    while at < len(asking):
+        base = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, base + PAIRS, "right")))
+        own, n = asking[at:to], width[at:to]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(own, n), np.repeat(middle[group[at:to]], n) + within
+        at = to
 
 
 def _near(
@@ -396,30 +479,6 @@ def _near(
     return near
 
 
-def _verified_in_blocks(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose texts reach the threshold; a text goes once to each block of its pairs."""
-    prepare(pairs.sparkSession)
-    block = ["bucket", "i", "j"]
-    # Columns of their own, as both sides come from the same pairs.
-    own = [F.col(c).alias(c) for c in block]
-    ends = pairs.select(*own, F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = ends.join(texts, "node")
-
-    def run(links: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for part in slices(pa.array(members["text"], pa.string())):
-            found += _by_text(part)
-        of = dict(zip(members["node"], found, strict=True))
-        kept = [
-            mine.loc[_near(of[a], [of[b] for b in mine["b"]], threshold), ["a", "b"]]
-            for a, mine in links.groupby("a")
-        ]
-        return pd.concat(kept) if kept else links[["a", "b"]]
-
-    grouped = pairs.groupBy(*block).cogroup(held.groupBy(*block))
-    return grouped.applyInPandas(run, "a binary, b binary")
-
-
 def _rooted(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, digest), and of each distinct text (digest, doc_id, root).
 
@@ -436,15 +495,16 @@ def _rooted(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         same = (table["digest"] == of["own"]) & table["doc_id"].eqNullSafe(of["least"])
         return table.join(of, same).dropDuplicates(["node"])
 
-    members = standing(rows, copies).select("node", F.explode("bands").alias("bucket"))
+    members = standing(rows, copies).select("node", "registers", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     buckets = written(members.join(shared, "bucket").select("bucket", "node"), "buckets")
 
     wanted = copies.join(buckets.select("node").distinct(), "node")
     source = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
-    texts = written(standing(source, wanted).select("node", "text"), "texts")
-    tried = links = roots = known = None
-    for turn in range(PIVOT_ROUNDS + 2):
+    held = _held(standing(source, wanted).select("node", "text"))
+    held = written(held.join(standing(rows, wanted).select("node", "registers"), "node"), "held")
+    links = roots = None
+    for turn in range(PIVOT_ROUNDS + 1):
         placed = buckets.withColumn("root", F.col("node"))
         if roots is not None:
             placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -452,19 +512,11 @@ def _rooted(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
             order = F.col("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
             pairs = _pivots(placed, order)
             if turn == 0:  # one pivot for each document, the smallest over its buckets
-                pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+                pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
+            found = verified(written(pairs, "pairs"), held, threshold)
         else:
-            members = written(_mixed(written(placed, "placed")), "mixed")
-            if known is None:  # classes only grow: later no bucket becomes mixed
-                known = written(_known(members, texts), "known")
-            pairs = _met_in_blocks(members, known, threshold - SLACK, TRIES if turn == PIVOT_ROUNDS else None)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        own = pairs.select("a", "b")
-        tried = own if tried is None else tried.unionByName(own)
-        check = verified if turn < PIVOT_ROUNDS else _verified_in_blocks
-        found = written(check(pairs, texts, threshold), "links")
+            found = _linked_in_blocks(_mixed(written(placed, "placed")), held, threshold)
+        found = written(found, "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = written(components(links), "roots")
