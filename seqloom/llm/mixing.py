@@ -7,11 +7,14 @@ by Newton steps whose gradient and curvature are sums over all documents. The
 rates are then rounded into copies: documents of one source and size are a class,
 classes are taken from the largest size down, and each passes its rounding error
 on, so a source ends within about one small document of its target. Inside a
-class the documents with the smallest hash of their id get the extra copy.
+class the documents with the smallest hash of id and text get the extra copy; of rows
+that are equal in both, and so have one hash, as many as are due get it.
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a
-source of its own, last in order; repeated rows get equal copies; a source of
-size 0 has target 0; an empty table gives an empty result. Other columns are kept
+source of its own, last in order; repeated rows, and rows without or with the same id,
+are documents of their own, whose copies differ by one at most if their sizes do not; a
+very long text is one document of its size; a source of size 0 has target 0; an empty
+table gives an empty result. Other columns are kept
 by ``mixed_documents`` and ignored elsewhere.
 """
 
@@ -24,14 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import running_sums
-from .common import written
+from .common import prepare, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: No target, and no document's taken words, go beyond so many times the size.
 MOST = 3
 TOLERANCE = 1e-9
-BUCKET_BITS = 6
+BUCKET_BITS = 10
 #: Rounding plans of at most so many classes are broadcast; larger ones are joined by key.
 BROADCAST_CLASSES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,8 +49,9 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
 
 
-def _hash(doc_id: Column) -> Column:
-    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")))
+def _hash(doc_id: Column, text: Column) -> Column:
+    none = F.lit("")
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), none), F.coalesce(text, none))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def sized(docs: DataFrame) -> DataFrame:
         "doc_id",
         _key(F.col("source")).alias("source_key"),
         n_words(F.col("text")).alias("size"),
-        _hash(F.col("doc_id")).alias("hash"),
+        _hash(F.col("doc_id"), F.col("text")).alias("hash"),
     )
 
 
@@ -136,11 +140,14 @@ def _rounded(groups: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
 
 
 def mixing_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """Per class (source_key, size): copies, and the hash bound of the extra copy.
+    """Per class (source_key, size): copies, and up to where an extra copy is given.
 
+    Rows with a hash below ``bound`` get one, and ``due`` of the ``equal`` rows at it.
     ``rows`` is the written result of ``sized``. Ranks inside a class are taken in
-    buckets of the hash, so a class that holds a third of all rows is split.
+    buckets of the hash, and there on counts of equal hashes, so neither a class nor a
+    repeated row that holds a third of all rows lands in one task.
     """
+    prepare(rows.sparkSession)
     bucket = F.shiftrightunsigned("hash", 64 - BUCKET_BITS)
     parts = written(
         rows.groupBy("source_key", "size", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")),
@@ -158,40 +165,61 @@ def mixing_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFram
     plan = written(
         rounded.join(rates.select("source_key", "source_size", "target"), "source_key"), "plan"
     )
-    before = (
-        Window.partitionBy("source_key", "size")
-        .orderBy("bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    edges = (
-        parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .join(plan.where("extra > 0").select("source_key", "size", "extra"), ["source_key", "size"])
-        .where("before < extra AND extra <= before + n")
-        .select("source_key", "size", "bucket", (F.col("extra") - F.col("before")).alias("nth"))
-    )
-    inside = Window.partitionBy("source_key", "size", "bucket").orderBy("hash")
-    bounds = (
+    edges = _edge(parts, plan.where("extra > 0").select("source_key", "size", F.col("extra").alias("due")), [], "bucket")
+    edges = edges.select("source_key", "size", "bucket", "due")
+    equal = (
         rows.withColumn("bucket", bucket)
-        .join(edges, ["source_key", "size", "bucket"])
-        .withColumn("no", F.row_number().over(inside))
-        .where("no = nth")
-        .select("source_key", "size", "bucket", F.col("hash").alias("bound"))
+        .join(edges.drop("due"), ["source_key", "size", "bucket"])
+        .groupBy("source_key", "size", "bucket", "hash")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    bounds = _edge(equal, edges, ["bucket"], "hash").select(
+        "source_key", "size", "bucket", F.col("hash").alias("bound"), F.col("n").alias("equal"), "due"
     )
     return plan.join(bounds, ["source_key", "size"], "left").drop("extra")
 
 
+def _edge(counts: DataFrame, due: DataFrame, within: list[str], along: str) -> DataFrame:
+    """The row of each class (and ``within``) in which its ``due``-th row lies; ``due`` then counts from it."""
+    keys = ["source_key", "size", *within]
+    before = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .join(due, keys)
+        .where("before < due AND due <= before + n")
+        .withColumn("due", F.col("due") - F.col("before"))
+    )
+
+
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with (source_key, size, hash) and the copies the plan gives them."""
     plan = written(plan, "bounds")
+    some = not plan.where("due < equal").isEmpty()
     if plan.count() <= BROADCAST_CLASSES:
         plan = F.broadcast(plan)
     bucket = F.shiftrightunsigned("hash", 64 - BUCKET_BITS)
-    extra = F.col("bound").isNotNull() & (
-        (bucket < F.col("bucket")) | ((bucket == F.col("bucket")) & (F.col("hash") <= F.col("bound")))
-    )
-    return rows.join(plan, ["source_key", "size"]).withColumn(
-        "copies", F.col("copies") + extra.cast("int")
+    below = (bucket < F.col("bucket")) | ((bucket == F.col("bucket")) & (F.col("hash") < F.col("bound")))
+    at = (F.col("hash") == F.col("bound")) & F.col("bound").isNotNull()
+    placed = rows.join(plan, ["source_key", "size"])
+    whole = placed.withColumn(
+        "copies", F.col("copies") + (F.col("bound").isNotNull() & (below | (at & (F.col("due") == F.col("equal"))))).cast("int")
     )
+    if not some:
+        return whole
+    # Equal rows of which some get an extra copy: any of them, as nothing tells them apart.
+    split = at & (F.col("due") < F.col("equal"))
+    whole = whole.where(~F.coalesce(split, F.lit(False)))
+    tied = written(placed.where(split).withColumn("_row", F.monotonically_increasing_id()), "tied")
+    part = F.shiftright("_row", 33).alias("_part")
+    keys = ["source_key", "size"]
+    counts = tied.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_row")
+    numbered = tied.withColumn("_part", part).withColumn("_no", F.row_number().over(inside)).join(counts, [*keys, "_part"])
+    extra = (F.col("_before") + F.col("_no") <= F.col("due")).cast("int")
+    numbered = numbered.withColumn("copies", F.col("copies") + extra)
+    return whole.unionByName(numbered.select(*whole.columns))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -216,7 +244,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
         "row",
         _key(F.col("row.source")).alias("source_key"),
         n_words(F.col("row.text")).alias("size"),
-        _hash(F.col("row.doc_id")).alias("hash"),
+        _hash(F.col("row.doc_id"), F.col("row.text")).alias("hash"),
     )
     times = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
     return _with_plan(rows, plan).select("row", times).select("row.*")

@@ -80,3 +80,48 @@ def test_rows_nobody_likes(odd_docs, odd_rows, no_docs):
     assert np.isfinite(got.target).all()
     assert mixing.mix(no_docs).count() == 0
     assert mixing.mixed_documents(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i % 3])
+def test_missing_and_repeated_ids_meet_the_target(spark, ids):
+    """Documents without an id of their own still share the extra copies."""
+    rows = [row(ids(i), prose(i, 12), source="a") for i in range(600)]
+    rows += [row(ids(i), "the same seven words in each row", source="a") for i in range(400)]
+    rows += [row(5000 + i, prose(9000 + i, 11), source="b") for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    got = mixing.mix(docs).collect()
+    want = wanted_targets({"a": 600 * 12 + 400 * 7, "b": 300 * 11})
+    assert len(got) == len(rows)
+    for source, own in (("a", [r for r in got if r.target == pytest.approx(want["a"])]), ("b", [r for r in got if r.target == pytest.approx(want["b"])])):
+        assert abs(sum(r.taken for r in own) - want[source]) <= 12
+        for size in {r.size for r in own}:
+            copies = {r.copies for r in own if r.size == size}
+            assert max(copies) - min(copies) <= 1
+    kept = mixing.mixed_documents(docs)
+    assert kept.schema == docs.schema
+    assert kept.count() == sum(r.copies for r in got)
+
+
+def test_runs_where_workers_cannot_import_the_package(tmp_path):
+    """Another folder, no PYTHONPATH: the operator sends the package along."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+from seqloom.llm import mixing
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", {str(tmp_path / "scratch")!r}).getOrCreate()
+docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+print("ROWS", mixing.mix(docs).count() == docs.count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240
+    )
+    assert "ROWS True" in done.stdout, done.stderr[-2000:]
