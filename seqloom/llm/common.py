@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,56 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Leading bits of a hash whose values are counted to find how far a sample goes.
+PLACE_BITS = 20
+
+
+def one_text_per_id(docs: DataFrame, max_chars: int, *columns: str) -> DataFrame:
+    """doc_id, ``_text`` (a text's hash) and ``columns`` of one usable row of each id.
+
+    Usable is a text that is not null and has at most ``max_chars`` characters. Of several
+    rows with one id that with the smallest hash counts, then the smallest columns.
+    """
+    usable = docs.where(F.col("doc_id").isNotNull() & (F.length("text") <= max_chars))
+    first = F.min(F.struct(F.xxhash64("text").alias("_text"), *columns)).alias("_first")
+    return usable.groupBy("doc_id").agg(first).select("doc_id", "_first.*")
+
+
+def first_by_hash(rows: DataFrame, key: str, each: int) -> DataFrame:
+    """The ``each`` rows of every key with the smallest hash of doc_id; ids are distinct.
+
+    Counts per leading bits of the hash tell up to where a key's rows can be among them,
+    so a key that holds most rows is never ranked as a whole.
+    """
+    placed = rows.withColumn("_hash", F.xxhash64("doc_id"))
+    placed = placed.withColumn("_place", F.shiftright("_hash", 64 - PLACE_BITS))
+    counts = placed.groupBy(key, "_place").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    reached = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < each)
+    ends = reached.groupBy(key).agg(F.max("_place").alias("_end"))
+    near = placed.join(ends, key).where("_place <= _end")
+    ranked = Window.partitionBy(key).orderBy("_hash", "doc_id")
+    near = near.withColumn("_no", F.row_number().over(ranked)).where(F.col("_no") <= each)
+    return near.drop("_hash", "_place", "_end", "_no")
+
+
+def texts_of(docs: DataFrame, picked: DataFrame, max_chars: int) -> pa.Table:
+    """doc_id, text and further columns of the picked (doc_id, _text), one row of each, by id.
+
+    ``picked`` is of bounded size and so is what reaches the driver: as many rows.
+    """
+    label = [c for c in picked.columns if c not in ("doc_id", "_text")]
+    rows = (
+        docs.select("doc_id", "text")
+        .where(F.length("text") <= max_chars)
+        .withColumn("_text", F.xxhash64("text"))
+        .join(F.broadcast(picked), ["doc_id", "_text"])
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), *[F.min(c).alias(c) for c in label])
+    )
+    return rows.toArrow().sort_by([("doc_id", "ascending")])
+
+
 def labelled_sample(
     docs: DataFrame,
     labels: DataFrame,
@@ -49,28 +99,27 @@ def labelled_sample(
     per_class: int,
     max_chars: int,
 ) -> pa.Table:
-    """Whole texts of at most ``per_class`` labelled rows of each class.
+    """Whole texts of at most ``per_class`` labelled documents of each class.
 
-    Rows are taken in the order of a hash of their id, so the sample does not
-    depend on the layout of the tables. Texts longer than ``max_chars`` are not
-    taken: rows times characters bound what reaches the driver. The chosen ids
-    are at most ``2 * per_class``, which bounds the broadcast.
+    Documents are taken in the order of a hash of their id, so the sample does not
+    depend on the layout of the tables. Texts that are null or longer than ``max_chars``
+    take no place. An id labelled both ways teaches nothing and is left out; of several
+    texts with one id one counts. So at most ``2 * per_class`` rows of ``max_chars``
+    characters reach the driver, and as many ids are broadcast.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select(
-        "doc_id", F.col(label).cast("int").alias("_label")
+    known = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+        .groupBy("doc_id")
+        .agg(F.min(label).cast("int").alias("_label"), F.max(label).cast("int").alias("_most"))
+        .where("_label = _most")
+        .drop("_most")
     )
+    usable = one_text_per_id(docs, max_chars).join(known, "doc_id")
     order = F.xxhash64("doc_id")
     picked = [
-        known.where(F.col("_label") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)
+        usable.where(F.col("_label") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)
     ]
-    ids = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])
-    rows = (
-        docs.select("doc_id", "text")
-        .where(F.length("text") <= max_chars)
-        .join(F.broadcast(ids), "doc_id")
-        .select("doc_id", "text", "_label")
-    )
-    return rows.toArrow().sort_by([("doc_id", "ascending")])
+    return texts_of(docs, picked[0].unionByName(picked[1]), max_chars)
 
 
 def map_texts(

@@ -9,7 +9,9 @@ beyond that its columns are drawn with a fixed seed.
 Defined results: ``und`` with score 0 for a null text or one without a letter; an
 empty table gives an empty result; with no learned language every text is ``und``,
 with one every text with a letter is that one. Ties go to the first language in
-order. Repeated rows get equal results. Other columns are ignored.
+order. Repeated rows get equal results. Very long texts are read whole; they are not
+learned from. Rows without an id are not learned from; of several rows with one id, one
+is. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,18 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, map_texts
-from .textops import LOWER, Texts, slices
+from .common import arrow, first_by_hash, map_texts, one_text_per_id, texts_of
+from .textops import LOWER, Texts, blocks, slices
 
 HASH_BITS = 12
 EXHAUSTIVE = 7
 #: At most so many labelled rows in all, none longer than so many characters, are fitted on.
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
-PARTS = 16
+#: Texts whose n-grams are counted at a time.
+ROWS = 512
 #: A result is ambiguous if the best language's share of the decoding is below this.
 CLEAR = 0.6
 
@@ -51,6 +54,8 @@ def ngrams(texts: Texts) -> np.ndarray:
     Bytes of characters that are no letters count as a space; letters beyond ASCII
     stay as their bytes.
     """
+    if len(texts) > ROWS:
+        return np.concatenate([ngrams(part) for part in blocks(texts, ROWS)])
     n, size = len(texts), 1 << HASH_BITS
     data = _LETTERS[texts.data].astype(np.uint32)
     owner = np.repeat(np.arange(n), np.diff(texts.starts))
@@ -118,27 +123,15 @@ def fit_codes(x: np.ndarray, lang: list[str], steps: int = 250, ridge: float = 1
 def train(docs: DataFrame) -> Codes:
     """Fit on a bounded sample of rows with a language; ``docs`` holds only rows to learn from.
 
-    Ids are taken per language in the order of a hash of the id.
+    Ids are taken per language in the order of a hash of the id, ``SAMPLE_ROWS`` in all; an
+    id with several rows counts once.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    known = one_text_per_id(docs.where(F.col("lang").isNotNull()), SAMPLE_CHARS, "lang")
     n_languages = max(known.agg(F.approx_count_distinct("lang")).first()[0], 1)
-    each = max(SAMPLE_ROWS // n_languages, 1)
-    # Parts of a language first, so that no task gets a frequent one whole; what is left
-    # of each part is bounded.
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
-    by_part = Window.partitionBy("lang", "_part").orderBy(F.xxhash64("doc_id"), "doc_id")
-    by_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang", part.alias("_part"))
-    for window in (by_part, by_lang):
-        ids = ids.withColumn("_no", F.row_number().over(window)).where(F.col("_no") <= each)
-    ids = ids.select("doc_id", F.col("lang").alias("_lang")).dropDuplicates(["doc_id"])
-    rows = (
-        docs.select("doc_id", "text")
-        .where(F.length("text") <= SAMPLE_CHARS)
-        .join(F.broadcast(ids), "doc_id")
-        .select("doc_id", "text", "_lang")
-    ).toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    picked = first_by_hash(known, "lang", max(SAMPLE_ROWS // n_languages, 1))
+    # More than SAMPLE_ROWS only if there are more languages than that, or counted too low.
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    rows = texts_of(docs, picked.withColumnRenamed("lang", "_lang"), SAMPLE_CHARS)
     parts = [ngrams(s) for s in slices(rows.column("text"))]
     x = np.concatenate(parts) if parts else np.empty((0, 1 << HASH_BITS), np.float32)
     return fit_codes(x, rows.column("_lang").to_pylist())
@@ -161,7 +154,8 @@ def identify(docs: DataFrame, model: Codes) -> DataFrame:
 
     def run(texts: Texts, rows: pa.RecordBatch) -> pa.RecordBatch:
         if len(model.languages):
-            best, share = decode(ngrams(texts), model)
+            parts = [decode(ngrams(part), model) for part in blocks(texts, ROWS)]
+            best, share = (np.concatenate(x) for x in zip(*parts, strict=True))
         else:
             best, share = np.full(len(texts), -1), np.zeros(len(texts))
         known = rows.column("_letter").to_numpy(zero_copy_only=False).astype(bool) & (best >= 0)

@@ -66,6 +66,13 @@ def slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = SLICE_BYTES) ->
         first += len(chunk)
 
 
+def blocks(texts: Texts, rows: int) -> Iterator[Texts]:
+    """The texts again, so many at a time."""
+    for i in range(0, len(texts), rows):
+        starts = texts.starts[i : i + rows + 1]
+        yield Texts(texts.first + i, texts.data[starts[0] : starts[-1]], starts - starts[0])
+
+
 def _table(chars: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[np.frombuffer(chars, np.uint8)] = True
