@@ -750,20 +750,52 @@ def mlp_regression_score(spark, sf_dir):
     return scored.select("seq_id", v.r6(F.col("y_pred")).alias("y_pred"))
 
 
+def _history(spark, fit):
+    return spark.createDataFrame(fit.history, "epoch int, train_loss double, val_loss double")
+
+
 @query("fit_attention")
 def fit_attention(spark, sf_dir):
-    """Loss per epoch of one fold trained on the labeled documents."""
+    """Loss per epoch of one fold trained on the labeled documents until it stops by itself."""
+    df = v.sequences(spark, sf_dir, labels=True)
+    _, fit = gradient.fit_attention(df, channels=4, optimizer="adam", rate=0.1, patience=2)
+    return _history(spark, fit)
+
+
+@query("fit_attention_batch_norm")
+def fit_attention_batch_norm(spark, sf_dir):
+    """The same with a hidden layer, batch norm and dropout."""
     _, fit = gradient.fit_attention(
-        v.sequences(spark, sf_dir, labels=True), channels=4, epochs=8, patience=8, rate=0.5
-    )
-    return spark.createDataFrame(fit.history, "epoch int, train_loss double, val_loss double")
+        v.sequences(spark, sf_dir, labels=True), channels=4, head="mlp", optimizer="adam", rate=0.05,
+        dropout=0.25, conv_dropout=0.25, patience=2,
+    )
+    return _history(spark, fit)
+
+
+@query("fit_attention_first_step", s.first_step_sql())
+def fit_attention_first_step(spark, sf_dir):
+    """Losses and gradient norms of given parameters, batch norm over all training positions."""
+    params = s.start_params()
+    grads, stats = gradient.first_step(v.sequences(spark, sf_dir, labels=True), params)
+    norm = lambda *parts: float(np.sqrt(sum((g * g).sum() for g in parts)))
+    values = {
+        "train_loss": stats[0] / stats[1],
+        "val_loss": stats[2] / stats[3],
+        "feature_norm": norm(*grads[:2]),
+        "attention_norm": norm(*grads[2:4]),
+        "head_norm": norm(*grads[4:8]),
+        "batch_norm_norm": norm(*grads[8:10]),
+        "temperature_norm": norm(grads[10]),
+    }
+    row = spark.createDataFrame([tuple(map(float, values.values()))], ", ".join(f"{k} double" for k in values))
+    return row.select(*[v.r6(F.col(k)).alias(k) for k in values])
 
 
 @query("fit_mlp_regression")
 def fit_mlp_regression(spark, sf_dir):
     df = _labeled_vectors(spark, sf_dir).withColumn("y", F.col("label").cast("double"))
-    _, fit = gradient.fit_mlp_regression(df, hidden=16, rate=0.05, epochs=8, patience=8)
-    return spark.createDataFrame(fit.history, "epoch int, train_loss double, val_loss double")
+    _, fit = gradient.fit_mlp_regression(df, hidden=16, rate=0.05, patience=5)
+    return _history(spark, fit)
 
 
 def _fitted(spark, sf_dir):

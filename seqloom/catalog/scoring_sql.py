@@ -168,3 +168,90 @@ REGRESSION_SQL = f"""WITH {v.REGRESSION}, rgrouped AS (
     avg((y - y_pred) * (y - y_pred)) AS mse, avg(abs(y - y_pred)) AS mae,
     CASE WHEN count(*) > 2 THEN 1 - avg((y - y_pred) * (y - y_pred)) / var_pop(y) END AS r_squared
   FROM ranks GROUP BY data_split, "group") """
+
+
+# -- loss and gradient of the first training step -------------------------------
+
+STEP_HIDDEN = 3
+_EPS = "1e-5::DOUBLE"
+
+
+def start_params() -> list:
+    """Parameters by formula: two convolutions, one hidden layer, batch norm, temperature."""
+    import numpy as np
+
+    def conv(layer: int) -> list:
+        taps = [[[v.weight(1, layer, i, j, k) for k in range(CHANNELS)] for j in range(5)] for i in range(KERNEL)]
+        return [np.array(taps), np.array([v.weight(1, layer, 5, 0, k) for k in range(CHANNELS)])]
+
+    hidden = range(STEP_HIDDEN)
+    return [
+        *conv(1),
+        *conv(2),
+        np.array([[v.weight(1, 3, 0, j, k) for k in hidden] for j in range(CHANNELS)]),
+        np.array([v.weight(1, 3, 5, 0, k) for k in hidden]),
+        np.array([[v.weight(1, 5, 0, k, 0)] for k in hidden]),
+        np.array([v.weight(1, 5, 5, 0, 0)]),
+        np.array([1.0 + v.weight(1, 4, 0, 0, k) for k in hidden]),
+        np.array([v.weight(1, 4, 5, 0, k) for k in hidden]),
+        np.array([1.1]),
+    ]
+
+
+def first_step_sql() -> str:
+    c, h = range(CHANNELS), range(STEP_HIDDEN)
+    gamma = [_n(1.0 + v.weight(1, 4, 0, 0, k)) for k in h]
+    beta = [_n(v.weight(1, 4, 5, 0, k)) for k in h]
+    w1 = [[_n(v.weight(1, 3, 0, j, k)) for k in h] for j in c]
+    w2 = [_n(v.weight(1, 5, 0, k, 0)) for k in h]
+    out = [f"({gamma[k]} * g{k} + {beta[k]})" for k in h]
+
+    def each(text: str, over=c) -> str:
+        return ", ".join(text.replace("@", str(k)) for k in over)
+
+    def z(k: int) -> str:
+        return _sum([f"{w1[j][k]} * x{j}" for j in c] + [_n(v.weight(1, 3, 5, 0, k))])
+
+    def norm(terms: list[str]) -> str:
+        return "sqrt(" + " + ".join(f"power(sum({t}), 2)" for t in terms) + ")"
+
+    taps = [f"{t}{j}" for t in _TAPS for j in range(5)]
+    feature = [f"{x} * df{j}" for j in c for x in taps] + [f"df{j}" for j in c]
+    attention = [f"{x} * da{j}" for j in c for x in taps] + [f"da{j}" for j in c]
+    head = [f"x{j} * dh{k}" for j in c for k in h] + [f"dh{k}" for k in h] + [f"dl * {o}" for o in out] + ["dl"]
+    normed = [f"o{k} * g{k}" for k in h] + [f"o{k}" for k in h]
+    r = v.sql_r6
+    return f"""WITH {CONTEXT}, used AS (
+  SELECT seqs.seq_id, labels.quality::DOUBLE AS y, data_split = 'val' AS held
+  FROM seqs JOIN labels ON labels.doc_id = seqs.seq_id
+  WHERE labels.quality IS NOT NULL AND data_split IN ('train', 'val') AND length(sequence) > 0),
+conv AS (
+  SELECT context.*, y, held, {", ".join(f"{conv_expr(1, 1, k)} AS f{k}, {conv_expr(1, 2, k)} AS a{k}" for k in c)}
+  FROM context JOIN used USING (seq_id)),
+top AS (SELECT *, {each("exp(a@ - max(a@) OVER (PARTITION BY seq_id)) AS e@")} FROM conv),
+att AS (SELECT *, {each("e@ / sum(e@) OVER (PARTITION BY seq_id) AS w@")} FROM top),
+app AS (SELECT *, {each("f@ * w@ AS x@")} FROM att),
+hid AS (SELECT *, {", ".join(f"greatest({z(k)}, 0) AS h{k}" for k in h)} FROM app),
+mom AS (SELECT count(*) AS n, {each("avg(h@) AS m@, avg(h@ * h@) - avg(h@) * avg(h@) AS v@", h)} FROM hid WHERE NOT held),
+nor AS (
+  SELECT hid.*, {each(f"CASE WHEN held THEN (h@ - 0.1::DOUBLE * m@) / sqrt(0.9::DOUBLE + 0.1::DOUBLE * v@ * n / (n - 1) + {_EPS}) ELSE (h@ - m@) / sqrt(v@ + {_EPS}) END AS g@, v@", h)}
+  FROM hid, mom),
+log AS (SELECT *, {_sum([f"{w2[k]} * {out[k]}" for k in h] + [_n(v.weight(1, 5, 5, 0, 0))])} AS l FROM nor),
+pro AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-l)) AS p, exp((l - max(l) OVER (PARTITION BY seq_id)) / 1.1::DOUBLE) AS e FROM log),
+wei AS (SELECT *, e / sum(e) OVER (PARTITION BY seq_id) AS w FROM pro),
+sco AS (SELECT *, sum(p * w) OVER (PARTITION BY seq_id) AS s FROM wei),
+cut AS (SELECT *, least(greatest(least(s, 1.0), 1e-12::DOUBLE), 1.0::DOUBLE - 1e-12::DOUBLE) AS q FROM sco),
+per AS (SELECT seq_id, any_value(held) AS held, -(any_value(y) * ln(any_value(q)) + (1 - any_value(y)) * ln(1 - any_value(q))) AS loss FROM cut GROUP BY seq_id),
+dlo AS (SELECT *, (q - y) / (q * (1 - q)) * (w * p * (1 - p) + w * (p - s) / 1.1::DOUBLE) AS dl,
+               -(q - y) / (q * (1 - q)) * w * (p - s) * l / 1.21::DOUBLE AS dt FROM cut WHERE NOT held),
+ups AS (SELECT *, {", ".join(f"dl * {w2[k]} AS o{k}" for k in h)} FROM dlo),
+pul AS (SELECT {each("avg(o@) AS u@, avg(o@ * g@) AS t@", h)} FROM ups),
+dhi AS (SELECT ups.*, {", ".join(f"CASE WHEN h{k} > 0 THEN {gamma[k]} / sqrt(v{k} + {_EPS}) * (o{k} - u{k} - g{k} * t{k}) ELSE 0 END AS dh{k}" for k in h)} FROM ups, pul),
+dac AS (SELECT *, {", ".join(_sum([f"{w1[j][k]} * dh{k}" for k in h]) + f" AS dx{j}" for j in c)} FROM dhi),
+inn AS (SELECT *, {each("sum(w@ * dx@ * f@) OVER (PARTITION BY seq_id) AS i@")} FROM dac),
+gra AS (SELECT *, {each("dx@ * w@ AS df@, w@ * (dx@ * f@ - i@) AS da@")} FROM inn)
+SELECT {r("(SELECT avg(loss) FROM per WHERE NOT held)")} AS train_loss,
+       {r("(SELECT avg(loss) FROM per WHERE held)")} AS val_loss,
+       {r(norm(feature))} AS feature_norm, {r(norm(attention))} AS attention_norm,
+       {r(norm(head))} AS head_norm, {r(norm(normed))} AS batch_norm_norm, {r("abs(sum(dt))")} AS temperature_norm
+FROM gra"""

@@ -22,8 +22,9 @@ from pyspark.storagelevel import StorageLevel
 from ..functions import attention_math as am
 from ..functions import ragged
 from ..functions.constants import ALPHABET
+from ..functions.masks import Dropout
 from ..session import cut_lineage, ship_package
-from .attention import FoldModel, row_steps, score_folds
+from .attention import FoldModel, fold_batch_norm, row_steps, score_folds
 from .metrics import optimal_cutoff
 from .residues import codebook
 
@@ -36,6 +37,7 @@ class Fit:
     params: list[np.ndarray]
     history: list[dict]
     best_epoch: int
+    state: object = None
 
 
 def pack(params: list[np.ndarray]) -> np.ndarray:
@@ -70,23 +72,23 @@ class Optimizer:
 
 
 Partial = Callable[[list[np.ndarray], pa.RecordBatch], tuple[list[np.ndarray], np.ndarray]]
+#: What one piece of a batch adds to a sum over the table, given what all tasks share.
+Give = Callable[[object, pa.RecordBatch], np.ndarray]
 
 
-def summed_gradient(
-    table: DataFrame, params: list[np.ndarray], partial: Partial
-) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of per-batch gradients and loss statistics over the whole table."""
-    width = max(p[..., 0].size for p in params)  # the widest input of any layer
+def summed(table: DataFrame, shared: object, give: Give, width: int) -> np.ndarray | None:
+    """Sum of ``give(shared, piece)`` over the whole table; None if it has no rows.
+
+    ``width`` values per position bound the size of a piece.
+    """
     ship_package(table.sparkSession)
-    shared = table.sparkSession.sparkContext.broadcast(params)
+    sent = table.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
         total = None
         for batch in batches:
             for piece in row_steps(batch, width) if batch.num_rows else ():
-                grads, stats = partial(weights, piece)
-                part = np.concatenate([pack(grads), stats])
+                part = give(sent.value, piece)
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays(
@@ -97,9 +99,25 @@ def summed_gradient(
         array_to_vector("g").alias("g"), (F.spark_partition_id() % COMBINE_SLOTS).alias("slot")
     )
     slots = parts.groupBy("slot").agg(Summarizer.sum(F.col("g")).alias("g"))
-    row = slots.agg(vector_to_array(Summarizer.sum(F.col("g"))).alias("g")).first()
-    shared.unpersist()
-    flat = np.array(row["g"])
+    rows = slots.agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col("g"))).alias("g"))
+    row = rows.where("n > 0").first()
+    sent.unpersist()
+    return None if row is None else np.array(row["g"])
+
+
+def summed_gradient(
+    table: DataFrame, params: list[np.ndarray], partial: Partial
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of per-batch gradients and loss statistics over the whole table."""
+    width = max(p[..., 0].size for p in params)  # the widest input of any layer
+
+    def give(weights: object, piece: pa.RecordBatch) -> np.ndarray:
+        grads, stats = partial(weights, piece)
+        return np.concatenate([pack(grads), stats])
+
+    flat = summed(table, params, give, width)
+    if flat is None:
+        return np.zeros(sum(p.size for p in params)), np.zeros(STATS)
     return flat[:-STATS], flat[-STATS:]
 
 
@@ -112,23 +130,31 @@ def training_table(table: DataFrame, partitions: int | None = None, key: str = "
     return cut_lineage(table.repartition(partitions, key) if partitions else table)
 
 
+#: (rows, parameters, epoch) -> summed gradient, loss statistics, and what else belongs to the parameters.
+Evaluate = Callable[[DataFrame, list[np.ndarray], int], tuple[np.ndarray, np.ndarray, object]]
+
+
 def descend(
     table: DataFrame,
     params: list[np.ndarray],
-    partial: Partial,
+    partial: Partial | None,
     optimizer: Optimizer,
     epochs: int,
     patience: int,
     n_batches: int = 1,
     key: str = "seq_id",
+    evaluate: Evaluate | None = None,
 ) -> Fit:
     """Epochs with early stopping; the parameters with the lowest validation loss win.
 
-    ``n_batches`` > 1 takes several steps per epoch on hash-chosen parts.
+    ``n_batches`` > 1 takes several steps per epoch on hash-chosen parts. ``evaluate``
+    stands in for the plain sum of ``partial`` where a step needs several passes.
     """
+    if evaluate is None:
+        evaluate = lambda rows, now, epoch: (*summed_gradient(rows, now, partial), None)
     fixed = table.persist(StorageLevel.MEMORY_AND_DISK)
     flat = pack(params).astype(float)
-    best, best_loss, best_epoch, history = flat, np.inf, -1, []
+    best, best_loss, best_epoch, history, state = flat, np.inf, -1, [], None
     for epoch in range(epochs):
         losses = np.zeros(STATS)
         for b in range(n_batches):
@@ -136,7 +162,7 @@ def descend(
             if n_batches > 1:
                 rows = fixed.where(F.pmod(F.xxhash64(key, F.lit(epoch)), F.lit(n_batches)) == b)
             before = flat
-            grad, stats = summed_gradient(rows, unpack(flat, params), partial)
+            grad, stats, now = evaluate(rows, unpack(flat, params), epoch)
             losses += stats
             if stats[1]:
                 flat = optimizer.step(flat, grad / stats[1])
@@ -145,16 +171,47 @@ def descend(
         history.append({"epoch": epoch, "train_loss": float(train), "val_loss": float(val)})
         # The losses belong to the parameters the epoch's (last) step started from.
         if val < best_loss:
-            best, best_loss, best_epoch = before, val, epoch
+            best, best_loss, best_epoch, state = before, val, epoch, now
         elif epoch - best_epoch >= patience:
             break
     fixed.unpersist()
-    return Fit(unpack(best, params), history, best_epoch)
+    return Fit(unpack(best, params), history, best_epoch, state)
 
 
 # -- attention scorer ----------------------------------------------------------
 
+# Hidden widths of each head, the layers whose outputs are dropped at random,
+# and the usual constants of batch norm.
 _HEADS = {"linear": (), "mlp": (32,), "mlp_deep": (256, 64, 32)}
+_DROPPED = {1: (), 2: (0,), 4: (0, 1)}
+EPSILON, MOMENTUM = 1e-5, 0.1
+
+
+@dataclass
+class Norm:
+    """Batch norm behind the last hidden layer.
+
+    ``mean`` and ``var`` are those of all positions of the step, or running ones. ``pull``
+    are the step's means of the upstream gradient and of its product with the normed
+    values; without it the moments count as constants.
+    """
+
+    gamma: np.ndarray
+    beta: np.ndarray
+    mean: np.ndarray
+    var: np.ndarray
+    pull: tuple[np.ndarray, np.ndarray] | None = None
+
+    def normed(self, h: np.ndarray) -> np.ndarray:
+        return (h - self.mean) / np.sqrt(self.var + EPSILON)
+
+
+@dataclass
+class Drops:
+    """Dropout of the convolved features and inside the head, of one piece."""
+
+    conv: Dropout
+    head: Dropout
 
 
 def init_attention(
@@ -177,6 +234,66 @@ def init_attention(
     return params + [np.ones(1)]
 
 
+@dataclass
+class Pass:
+    """What a forward pass leaves for the way back."""
+
+    columns: np.ndarray
+    features: np.ndarray  # behind the dropout
+    weights: np.ndarray
+    inputs: list[np.ndarray]  # of each dense layer
+    hidden: list[np.ndarray]  # behind each ReLU
+    masks: dict[int | str, np.ndarray | None]
+    logits: np.ndarray
+    outputs: int
+
+
+def attention_forward(
+    params: list[np.ndarray],
+    x: np.ndarray,
+    lengths: np.ndarray,
+    mode: str,
+    norm: Norm | None = None,
+    drops: Drops | None = None,
+    stop_at_hidden: bool = False,
+) -> Pass:
+    """Convolutions, attention and head; ``params`` end in the temperature."""
+    wf, bf, wa, ba = params[:4]
+    dense = params[4:-1]
+    columns = am.tap_columns(x, lengths, wf.shape[0])
+    features = columns @ wf.reshape(columns.shape[1], -1)
+    features += bf
+    masks: dict[int | str, np.ndarray | None] = {
+        "conv": drops.conv.mask(0, features.shape[1]) if drops else None
+    }
+    if masks["conv"] is not None:
+        features *= masks["conv"]
+    if mode.endswith("single_conv"):
+        weights = np.ones_like(features)
+    else:
+        attention = columns @ wa.reshape(columns.shape[1], -1)
+        attention += ba
+        weights = ragged.segment_softmax(attention, lengths)
+    inputs, hidden = [features * weights], []
+    layers = len(dense) // 2
+    for i in range(layers):
+        z = inputs[i] @ dense[2 * i]
+        z += dense[2 * i + 1]
+        if i == layers - 1:
+            break
+        masks[i] = drops.head.mask(i + 1, z.shape[1]) if drops and i in _DROPPED[layers] else None
+        if masks[i] is not None:
+            z *= masks[i]
+        hidden.append(np.maximum(z, 0.0))
+        if i == layers - 2 and norm is not None:
+            inputs.append(norm.normed(hidden[i]) * norm.gamma + norm.beta)
+        else:
+            inputs.append(hidden[i])
+        if stop_at_hidden and i == layers - 2:
+            break
+    return Pass(columns, features, weights, inputs, hidden, masks, z.mean(axis=1), z.shape[1])
+
+
 def attention_gradient(
     params: list[np.ndarray],
     x: np.ndarray,
@@ -185,32 +302,24 @@ def attention_gradient(
     mode: str,
     penalty: float,
     mean_length: float | None = None,
+    norm: Norm | None = None,
+    drops: Drops | None = None,
+    head_only: bool = False,
 ) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(gradients, loss per sequence, scores) of summed BCE plus the penalty.
 
     The penalty is the mean of the weighted scores over all residues of the set, not
     over each sequence first: a sequence's part is its sum over ``mean_length`` of the
-    set, which is that of the rows given unless the caller knows it.
+    set, which is that of the rows given unless the caller knows it. With ``norm`` the
+    gradients of its gamma and beta come before that of the temperature. ``head_only``
+    leaves the parts before the last layer at zero.
     """
-    wf, bf, wa, ba = params[:4]
+    wf, _, wa, ba = params[:4]
     dense = params[4:-1]
     temperature = float(params[-1][0])
     single = mode.endswith("single_conv")
-
-    columns = am.tap_columns(x, lengths, wf.shape[0])
-    features = columns @ wf.reshape(columns.shape[1], -1)
-    features += bf
-    if single:
-        weights = np.ones_like(features)
-    else:
-        attention = columns @ wa.reshape(columns.shape[1], -1)
-        attention += ba
-        weights = ragged.segment_softmax(attention, lengths)
-    activations = [features * weights]
-    for i in range(0, len(dense), 2):
-        z = activations[-1] @ dense[i] + dense[i + 1]
-        activations.append(z if i == len(dense) - 2 else np.maximum(z, 0.0))
-    logits = activations[-1].mean(axis=1)
+    done = attention_forward(params, x, lengths, mode, norm, drops)
+    logits, weights = done.logits, done.weights
     _, scores, weighted = am.pool(mode, logits, lengths, temperature)
 
     clipped = np.clip(scores, 1e-12, 1 - 1e-12)
@@ -222,25 +331,210 @@ def attention_gradient(
         upstream = upstream + penalty / per
 
     d_logits, d_temp = am.pool_gradient(mode, logits, lengths, temperature, upstream)
-    outputs = activations[-1].shape[1]
-    d = np.repeat(d_logits[:, None] / outputs, outputs, axis=1)
+    d = np.repeat(d_logits[:, None] / done.outputs, done.outputs, axis=1)
     d_dense: list[np.ndarray] = []
-    for i in range(len(dense) - 2, -1, -2):
-        a = activations[i // 2]
-        d_dense = [a.T @ d, d.sum(axis=0), *d_dense]
-        d = d @ dense[i].T
-        if i:
-            d = d * (a > 0)
+    d_norm: list[np.ndarray] = []
+    last = len(dense) // 2 - 1
+    for i in range(last, -1, -1):
+        if head_only and i < last:
+            d_dense = [np.zeros_like(p) for p in dense[: 2 * i + 2]] + d_dense
+            break
+        d_dense = [done.inputs[i].T @ d, d.sum(axis=0), *d_dense]
+        d = d @ dense[2 * i].T
+        if not i:
+            break
+        if i == last and norm is not None:
+            normed = norm.normed(done.hidden[i - 1])
+            d_norm = [(d * normed).sum(axis=0), d.sum(axis=0)]
+            if norm.pull is not None:
+                d = d - norm.pull[0] - normed * norm.pull[1]
+            d = d * (norm.gamma / np.sqrt(norm.var + EPSILON))
+        d = d * (done.hidden[i - 1] > 0)
+        if done.masks[i - 1] is not None:
+            d *= done.masks[i - 1]
+    if head_only and last:
+        before = [np.zeros_like(p) for p in params[:4]]
+        return [*before, *d_dense, *d_norm, np.array([d_temp])], loss, scores
     d_features = d * weights
-    grads = [(columns.T @ d_features).reshape(wf.shape), d_features.sum(axis=0)]
+    if done.masks["conv"] is not None:
+        d_features *= done.masks["conv"]
+    grads = [(done.columns.T @ d_features).reshape(wf.shape), d_features.sum(axis=0)]
     if single:
         grads += [np.zeros_like(wa), np.zeros_like(ba)]
     else:
-        d_weights = d * features
+        d_weights = d * done.features
         inner = ragged.segment_reduce(np.add, weights * d_weights, lengths)
         d_attention = weights * (d_weights - ragged.spread(inner, lengths))
-        grads += [(columns.T @ d_attention).reshape(wa.shape), d_attention.sum(axis=0)]
-    return [*grads, *d_dense, np.array([d_temp])], loss, scores
+        grads += [(done.columns.T @ d_attention).reshape(wa.shape), d_attention.sum(axis=0)]
+    return [*grads, *d_dense, *d_norm, np.array([d_temp])], loss, scores
+
+
+@dataclass
+class Training:
+    """How a piece of the training table is read and what its loss is."""
+
+    encoding: str
+    mode: str
+    penalty: float
+    mean_length: dict[int, float]  # of the train rows (0) and the validation rows (2)
+    conv_dropout: float = 0.0
+    dropout: float = 0.0
+    seed: int = 42
+
+    def read(self, piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        if self.encoding == "embedding":
+            return ragged.matrix_rows(piece.column("embedding"))
+        values = codebook(self.encoding)
+        codes, lengths = ragged.letter_codes(piece.column("sequence"))
+        return np.take(np.array([values[a] for a in ALPHABET]), codes, axis=0), lengths
+
+    def parts(self, piece: pa.RecordBatch, epoch: int, held_too: bool):
+        """(place of its statistics, x, lengths, y, dropout) of the train and validation rows."""
+        held = np.asarray(piece.column("held"))
+        if not held_too and held.all():
+            return
+        x, lengths = self.read(piece)
+        y, number = np.asarray(piece.column("y")), np.asarray(piece.column("number"))
+        for part, at in ((~held, 0), (held, 2)):
+            if not part.any() or (at and not held_too):
+                continue
+            rows = x if part.all() else x[np.repeat(part, lengths)]
+            drops = None
+            if at == 0 and (self.conv_dropout or self.dropout):
+                drops = Drops(
+                    *(Dropout(r, self.seed, epoch, number[part], lengths[part]) for r in (self.conv_dropout, self.dropout))
+                )
+            yield at, rows, lengths[part], y[part], drops
+
+
+def training_step(
+    sum_over: Callable[[object, Give, int], np.ndarray],
+    params: list[np.ndarray],
+    how: Training,
+    epoch: int,
+    running: tuple[np.ndarray, np.ndarray] | None,
+) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+    """Summed gradient and loss statistics of all rows, and the running moments.
+
+    ``sum_over(shared, give, size)`` adds up what each piece gives. Without batch norm
+    (``running`` is None) that is one pass. With it there are three: the hidden units'
+    moments over all training positions, then the means of the gradient that reaches
+    them, then the gradient itself, which needs both. Validation rows are scored with the
+    running moments.
+    """
+    if running is None:
+
+        def give(shared: object, piece: pa.RecordBatch) -> np.ndarray:
+            total, stats = np.zeros(sum(p.size for p in shared)), np.zeros(STATS)
+            for at, x, lengths, y, drops in how.parts(piece, epoch, True):
+                g, loss, _ = attention_gradient(
+                    shared, x, lengths, y, how.mode, how.penalty, how.mean_length[at], drops=drops
+                )
+                stats[at : at + 2] = loss.sum(), len(y)
+                if at == 0:
+                    total = pack(g)
+            return np.concatenate([total, stats])
+
+        flat = sum_over(params, give, sum(p.size for p in params) + STATS)
+        return flat[:-STATS], flat[-STATS:], None
+
+    gamma, beta = params[-3:-1]
+    plain = [*params[:-3], params[-1]]
+    units = len(gamma)
+
+    def moments(shared: object, piece: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(2 * units + 1)
+        for _, x, lengths, _, drops in how.parts(piece, epoch, False):
+            h = attention_forward(shared, x, lengths, how.mode, drops=drops, stop_at_hidden=True).hidden[-1]
+            out += np.concatenate([h.sum(axis=0), (h * h).sum(axis=0), [len(h)]])
+        return out
+
+    seen = sum_over(plain, moments, 2 * units + 1)
+    n = max(seen[-1], 1.0)
+    mean = seen[:units] / n
+    var = np.maximum(seen[units:-1] / n - mean * mean, 0.0)
+    if seen[-1]:
+        grown = n / max(n - 1, 1.0)  # running variances are unbiased
+        running = tuple((1 - MOMENTUM) * old + MOMENTUM * new for old, new in zip(running, (mean, var * grown), strict=True))
+    norm = Norm(gamma, beta, mean, var)
+
+    def pulls(shared: object, piece: pa.RecordBatch) -> np.ndarray:
+        own, step = shared
+        out = np.zeros(2 * units)
+        for at, x, lengths, y, drops in how.parts(piece, epoch, False):
+            g, _, _ = attention_gradient(
+                own, x, lengths, y, how.mode, how.penalty, how.mean_length[at], step, drops, head_only=True
+            )
+            out += np.concatenate([g[-2], g[-3]])
+        return out
+
+    pulled = sum_over((plain, norm), pulls, 2 * units) / n
+    norm = Norm(gamma, beta, mean, var, (pulled[:units], pulled[units:]))
+    stored = Norm(gamma, beta, *running)
+
+    def gradients(shared: object, piece: pa.RecordBatch) -> np.ndarray:
+        own, step, held = shared
+        total, stats = np.zeros(sum(p.size for p in own) + 2 * units), np.zeros(STATS)
+        for at, x, lengths, y, drops in how.parts(piece, epoch, True):
+            g, loss, _ = attention_gradient(
+                own, x, lengths, y, how.mode, how.penalty, how.mean_length[at], held if at else step, drops,
+                head_only=bool(at),
+            )
+            stats[at : at + 2] = loss.sum(), len(y)
+            if at == 0:
+                total = pack(g)
+        return np.concatenate([total, stats])
+
+    flat = sum_over((plain, norm, stored), gradients, sum(p.size for p in params) + STATS)
+    return flat[:-STATS], flat[-STATS:], running
+
+
+def attention_training_table(
+    df: DataFrame, encoding: str, label: str = "value_bool", split: str = "data_split"
+) -> tuple[DataFrame, dict[int, float]]:
+    """Rows to train and validate on, written once, and the mean length of either kind.
+
+    ``number`` is a 64-bit hash of the row's id, from which its dropout masks are drawn.
+    """
+    source = "embedding" if encoding == "embedding" else "sequence"
+    usable = df.where(F.col(label).isNotNull() & F.col(split).isin("train", "val"))
+    size = F.size(source) if encoding == "embedding" else F.length(source)
+    table = training_table(
+        usable.where(size > 0).select(
+            "seq_id",
+            source,
+            F.xxhash64("seq_id").alias("number"),
+            F.col(label).cast("double").alias("y"),
+            (F.col(split) == "val").alias("held"),
+        )
+    )
+    counts = table.agg(
+        F.count_if("held").alias("val"),
+        F.count_if(~F.col("held")).alias("train"),
+        F.avg(F.when(F.col("held"), size)).alias("val_length"),
+        F.avg(F.when(~F.col("held"), size)).alias("train_length"),
+    ).first()
+    if not counts["train"] or not counts["val"]:
+        raise ValueError("training needs rows in both train and val")
+    return table, {0: counts["train_length"], 2: counts["val_length"]}
+
+
+def first_step(
+    df: DataFrame,
+    params: list[np.ndarray],
+    encoding: str = "zscale",
+    mode: str = "weighted_mean_three",
+    penalty: float = 0.0,
+    batch_norm: bool = True,
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """Summed gradients and loss statistics of given parameters, dropout off."""
+    table, mean_length = attention_training_table(df, encoding)
+    width = max(p[..., 0].size for p in params)
+    running = (np.zeros_like(params[-2]), np.ones_like(params[-2])) if batch_norm else None
+    how = Training(encoding, mode, penalty, mean_length)
+    sum_over = lambda shared, give, size: summed(table, shared, give, width)
+    grad, stats, _ = training_step(sum_over, params, how, 0, running)
+    return unpack(grad, params), stats
 
 
 def fit_attention(
@@ -262,67 +556,50 @@ def fit_attention(
     patience: int = 20,
     n_batches: int = 1,
     seed: int = 42,
+    dropout: float = 0.0,
+    conv_dropout: float = 0.0,
+    batch_norm: bool = True,
 ) -> tuple[FoldModel, Fit]:
     """Train one fold on its train rows, stop on its val rows, store its best-MCC cutoff.
 
-    Dropout is off and hidden layers train without batch statistics, which a
-    padded mini-batch would distort; scoring with stored statistics is unaffected.
+    A head with hidden layers has batch norm behind the last of them, whose moments are
+    those of all training positions of a step, without padding; what the model keeps are
+    the running moments, folded into gain and offset. Dropout masks follow from the seed,
+    the epoch, the row's id and the position.
     """
-    book = None
     if encoding != "embedding":
-        values = codebook(encoding)
-        book = np.array([values[a] for a in ALPHABET])
-        width = book.shape[1]
+        width = len(codebook(encoding)[ALPHABET[0]])
     if width is None:
         raise ValueError("give the embedding width")
-    source = "embedding" if encoding == "embedding" else "sequence"
-    usable = df.where(F.col(label).isNotNull() & F.col(split).isin("train", "val"))
-    filled = F.size(source) > 0 if encoding == "embedding" else F.length(source) > 0
-    table = training_table(
-        usable.where(filled).select(
-            "seq_id",
-            source,
-            F.col(label).cast("double").alias("y"),
-            (F.col(split) == "val").alias("held"),
-        )
-    )
-    size = F.size(source) if encoding == "embedding" else F.length(source)
-    counts = table.agg(
-        F.count_if("held").alias("val"),
-        F.count_if(~F.col("held")).alias("train"),
-        F.avg(F.when(F.col("held"), size)).alias("val_length"),
-        F.avg(F.when(~F.col("held"), size)).alias("train_length"),
-    ).first()
-    if not counts["train"] or not counts["val"]:
-        raise ValueError("training needs rows in both train and val")
-    mean_length = {0: counts["train_length"], 2: counts["val_length"]}
-
-    def partial(params: list[np.ndarray], batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
-        if encoding == "embedding":
-            x, lengths = ragged.matrix_rows(batch.column("embedding"))
-        else:
-            codes, lengths = ragged.letter_codes(batch.column("sequence"))
-            x = np.take(book, codes, axis=0)
-        y = np.asarray(batch.column("y"))
-        held = np.asarray(batch.column("held"))
-        stats, grads = np.zeros(STATS), [np.zeros_like(p) for p in params]
-        for part, at in ((~held, 0), (held, 2)):
-            if not part.any():
-                continue
-            rows = x if part.all() else x[np.repeat(part, lengths)]
-            g, loss, _ = attention_gradient(
-                params, rows, lengths[part], y[part], mode, penalty, mean_length[at]
-            )
-            stats[at : at + 2] = loss.sum(), part.sum()
-            if at == 0:
-                grads = g
-        return grads, stats
-
+    table, mean_length = attention_training_table(df, encoding, label, split)
     rng = np.random.default_rng(seed)
     params = init_attention(width, channels if channels > 0 else width, kernel, head, output_dim, rng)
-    fit = descend(table, params, partial, Optimizer(optimizer, rate), epochs, patience, n_batches)
+    running = None
+    if batch_norm and _HEADS[head]:
+        units = _HEADS[head][-1]
+        params = [*params[:-1], np.ones(units), np.zeros(units), params[-1]]
+        running = (np.zeros(units), np.ones(units))
+    how = Training(encoding, mode, penalty, mean_length, conv_dropout, dropout, seed)
+    widest = max(p[..., 0].size for p in params)
+    moments = [running]
+
+    def evaluate(rows: DataFrame, now: list[np.ndarray], epoch: int):
+        def sum_over(shared: object, give: Give, size: int) -> np.ndarray:
+            total = summed(rows, shared, give, widest)
+            return np.zeros(size) if total is None else total
+
+        grad, stats, moments[0] = training_step(sum_over, now, how, epoch, moments[0])
+        return grad, stats, moments[0]
+
+    fit = descend(
+        table, params, None, Optimizer(optimizer, rate), epochs, patience, n_batches, evaluate=evaluate
+    )
     wf, bf, wa, ba, *dense = fit.params[:-1]
+    if running is not None:
+        *dense, gamma, beta = dense
     layers = [{"weight": dense[i], "bias": dense[i + 1]} for i in range(0, len(dense), 2)]
+    if running is not None:
+        layers[-2] |= fold_batch_norm(*fit.state, gamma, beta, EPSILON)
     model = FoldModel(fold, wf, bf, wa, ba, layers, float(fit.params[-1][0]))
 
     held_out = score_folds(table.where("held"), [model], mode, encoding, with_residues=False).select(

@@ -41,6 +41,96 @@ def test_attention_gradient_by_finite_differences(mode, head, outputs):
         assert got[i] == pytest.approx((loss(up) - loss(down)) / 2e-6, abs=2e-5, rel=1e-3)
 
 
+def pieces_of(rng, sizes, dropout=0.0):
+    """Training rows in pieces as tasks would see them, each with a validation row."""
+    import pyarrow as pa
+
+    out, number = [], 0
+    for n in sizes:
+        letters = ["".join(rng.choice(list("ACDEFGHIK"), rng.integers(1, 8))) for _ in range(n)]
+        ids = np.arange(number, number + n)
+        number += n
+        y = pa.array((ids % 3 == 0).astype(float))
+        held = pa.array(ids % 5 == 4)
+        out.append(pa.RecordBatch.from_arrays([pa.array(letters), pa.array(ids), y, held], ["sequence", "number", "y", "held"]))
+    return out
+
+
+def sum_of(pieces):
+    def sum_over(shared, give, size):
+        total = np.zeros(size)
+        for piece in pieces:
+            total = total + give(shared, piece)
+        return total
+
+    return sum_over
+
+
+@pytest.mark.parametrize("mode", ["max", "weighted_mean_three", "mean_single_conv"])
+@pytest.mark.parametrize("head", ["mlp", "mlp_deep"])
+@pytest.mark.parametrize("rate", [0.0, 0.3])
+def test_batch_norm_gradient_over_several_pieces_by_finite_differences(mode, head, rate):
+    """The moments join all pieces, so each row's loss depends on every other row."""
+    rng = np.random.default_rng(3)
+    pieces = pieces_of(rng, [4, 1, 6])
+    params = gradient.init_attention(5, 2, 3, head, 1, rng)
+    units = 32
+    params = [*params[:-1], rng.uniform(0.5, 1.5, units), rng.normal(size=units) / 5, np.array([0.8])]
+    how = gradient.Training("zscale", mode, 0.2, {0: 4.0, 2: 4.0}, rate, rate)
+    running = (np.zeros(units), np.ones(units))
+
+    def step(flat, at):
+        return gradient.training_step(sum_of(at), gradient.unpack(flat, params), how, 3, running)
+
+    flat = gradient.pack(params)
+    got, stats, moments = step(flat, pieces)
+    assert stats[1] + stats[3] == 11
+    picked = np.unique(np.concatenate([np.arange(0, len(flat), max(1, len(flat) // 40)), np.arange(len(flat) - 65, len(flat), 7), [len(flat) - 1]]))
+    for i in picked:
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-6
+        down[i] -= 1e-6
+        slope = (step(up, pieces)[1][0] - step(down, pieces)[1][0]) / 2e-6
+        assert got[i] == pytest.approx(slope, abs=5e-5, rel=2e-3)
+    # Any cut of the rows into pieces gives the same step, dropout included.
+    import pyarrow as pa
+
+    whole = pa.Table.from_batches(pieces).combine_chunks().to_batches()
+    again, stats_again, moments_again = step(flat, whole)
+    assert np.allclose(got, again) and np.allclose(stats, stats_again)
+    assert np.allclose(moments, moments_again)
+
+
+def test_dropout_masks_follow_from_what_they_mask():
+    from seqloom.functions.masks import Dropout
+
+    rows, lengths = np.array([7, 8, 9]), np.array([500, 3, 400])
+    whole = Dropout(0.25, 1, 2, rows, lengths).mask(1, 16)
+    part = Dropout(0.25, 1, 2, rows[1:], lengths[1:]).mask(1, 16)
+    assert (whole[500:] == part).all()
+    assert set(np.unique(whole)) == {0.0, 1 / 0.75}
+    assert abs((whole == 0).mean() - 0.25) < 0.02
+    for other in (Dropout(0.25, 1, 3, rows, lengths).mask(1, 16), Dropout(0.25, 2, 2, rows, lengths).mask(1, 16), Dropout(0.25, 1, 2, rows, lengths).mask(2, 16)):
+        assert 0.2 < (whole != other).mean() < 0.55
+    assert Dropout(0.0, 1, 2, rows, lengths).mask(1, 16) is None
+
+
+def test_batch_norm_and_dropout_learn_and_fold_into_the_scorer(spark, peptides):
+    from seqloom.operators.attention import score_folds
+
+    kwargs = dict(kernel=3, channels=3, head="mlp", optimizer="adam", rate=0.05, epochs=40, patience=5, dropout=0.1, conv_dropout=0.1)
+    model, fit = gradient.fit_attention(peptides.repartition(5), **kwargs)
+    losses = [h["val_loss"] for h in fit.history]
+    assert min(losses) < 0.75 * losses[0]
+    assert "gain" in model.head[-2] and "gain" not in model.head[-1]
+    scored = score_folds(peptides.where("data_split = 'val'"), [model], "weighted_mean_three").select("value_bool", F.col("fold_scores")["fold1"].alias("p")).toPandas()
+    p, y = scored.p.clip(1e-12, 1 - 1e-12), scored.value_bool
+    loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+    assert loss == pytest.approx(min(losses), rel=1e-6)
+    _, again = gradient.fit_attention(peptides.coalesce(1), **{**kwargs, "epochs": 3})
+    assert [h["train_loss"] for h in again.history] == pytest.approx([h["train_loss"] for h in fit.history[:3]])
+
+
 def test_mlp_gradient_by_finite_differences():
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(9, 4)), rng.normal(size=9)
