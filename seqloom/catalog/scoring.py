@@ -692,6 +692,27 @@ def logreg_grid_cv(spark, sf_dir):
     return linear.logreg_grid_cv(train).to_table(spark)
 
 
+@query(
+    "logreg_grid_optimality",
+    f"""WITH {v.VECTORS}, train AS (SELECT seq_id, (label < 5)::DOUBLE AS y FROM vectors WHERE data_split = 'train' AND label IS NOT NULL),
+    hashed AS (SELECT *, ('0x' || substr(md5('42|' || seq_id::VARCHAR), 1, 15))::BIGINT AS h FROM train),
+    folds AS (SELECT y, ((row_number() OVER (PARTITION BY y ORDER BY h, seq_id) - 1) % 5)::INT AS fold FROM hashed)
+    SELECT fold, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS positive, 10::BIGINT AS fits, 10::BIGINT AS at_optimum
+    FROM folds GROUP BY fold""",
+)
+def logreg_grid_optimality(spark, sf_dir):
+    """Rows and positives of each fold, as the fits see them, and how many fits that leave
+    it out meet their optimality conditions to 1e-6."""
+    train = _labeled_vectors(spark, sf_dir).where(F.col("data_split") == "train")
+    result = linear.logreg_grid_cv(train)
+    rows = []
+    for fold in range(linear.DEFAULT_SPLITS):
+        own = [(t, m) for t, m in result.fits if t.fold == fold]
+        everything = next(t.weight for t, _ in result.fits if t.fold is None)
+        rows.append((fold, everything - own[0][0].weight, result.positives[fold], len(own), sum(m.kkt < 1e-6 for _, m in own)))
+    return spark.createDataFrame(rows, "fold int, n double, positive double, fits long, at_optimum long")
+
+
 _COEFFICIENTS = [v.weight(1, 1, 0, j, 0) for j in range(64)]
 
 
