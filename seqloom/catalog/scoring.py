@@ -256,12 +256,12 @@ def rbf_expand(spark, sf_dir):
 def encode_categorical(spark, sf_dir):
     df = v.featured_events(spark, sf_dir)
     encoder = features.fit_categorical(df.where(F.col("data_split") == "train"), "data_type")
-    encoded = df.withColumn("vec", encoder.encode())
+    encoded = encoder.attach(df, "index").withColumn("vec", encoder.sparse(F.col("index")))
     return encoded.select(
         "event_id",
-        (F.array_position("vec", 1.0) - 1).cast("int").alias("hot"),
-        arrays.array_sum(F.col("vec")).alias("total"),
-        F.size("vec").alias("width"),
+        F.col("vec.indices")[0].cast("int").alias("hot"),
+        F.aggregate("vec.values", F.lit(0.0), lambda a, b: a + b).alias("total"),
+        F.col("vec.size").cast("int").alias("width"),
     )
 
 
@@ -825,7 +825,6 @@ def _fitted(spark, sf_dir):
         embedder="Precomputed",
         dimred="PCADimReduction",
         predictor="LogisticRegression",
-        predictor_options={"c_values": (1.0,), "penalties": ("l2",), "n_splits": 2, "max_iter": 200},
     )
     return df, compose_pipeline(df, config)
 

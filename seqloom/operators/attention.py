@@ -98,9 +98,12 @@ def _model_of(fold: str, parts: dict[tuple[str, int], np.ndarray]) -> FoldModel:
     return FoldModel(fold, *conv("feature"), *conv("attention"), head, **single)
 
 
-def models_to_rows(models: list[FoldModel], model: str) -> list[tuple]:
-    """One row per matrix or vector of each fold."""
-    rows = []
+WEIGHTS_SCHEMA = "model string, fold string, layer string, tap int, width int, values array<double>"
+
+
+def models_to_arrow(models: list[FoldModel], model: str) -> pa.Table:
+    """One row per matrix or vector of each fold; the values stay arrays."""
+    names, arrays = [], []
     for m in models:
         parts: list[tuple[str, int, np.ndarray]] = []
         for name in ("feature", "attention"):
@@ -113,15 +116,19 @@ def models_to_rows(models: list[FoldModel], model: str) -> list[tuple]:
         parts += [("temperature", 0, np.array(m.temperature)), ("cutoff", 0, np.array(m.cutoff))]
         for layer, tap, values in parts:
             values = np.atleast_2d(np.asarray(values, float))
-            rows.append((model, m.fold, layer, tap, values.shape[1], values.ravel().tolist()))
-    return rows
-
-
-WEIGHTS_SCHEMA = "model string, fold string, layer string, tap int, width int, values array<double>"
+            names.append((model, m.fold, layer, tap, values.shape[1]))
+            arrays.append(values.ravel())
+    columns = list(zip(*names, strict=True))
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+    values = ragged.list_array(np.concatenate(arrays), np.array([len(a) for a in arrays]))
+    return pa.table(
+        [*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], values],
+        names=["model", "fold", "layer", "tap", "width", "values"],
+    )
 
 
 def models_to_table(spark: SparkSession, models: list[FoldModel], model: str) -> DataFrame:
-    return spark.createDataFrame(models_to_rows(models, model), WEIGHTS_SCHEMA)
+    return spark.createDataFrame(models_to_arrow(models, model), WEIGHTS_SCHEMA)
 
 
 def _steps(lengths: np.ndarray, width: int) -> Iterator[slice]:

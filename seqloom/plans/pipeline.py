@@ -7,26 +7,28 @@ whose ``apply`` is one lazy plan; its parameters are saved as small tables.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-from pyspark.errors import AnalysisException
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import PCA_VARIANCE, RBF_KERNELS
+from ..functions.ragged import list_array
 from ..operators.attention import (
     WEIGHTS_SCHEMA,
     FoldModel,
     models_from_table,
-    models_to_rows,
+    models_to_arrow,
     score_folds,
 )
 from ..operators.checks import feature_channels, select_feature_columns, select_target
 from ..operators.dimred import Components, apply_pca, fit_pca
-from ..operators.features import CategoricalEncoder, assemble_features, fit_categorical, rbf_expand
+from ..operators.features import Categories, assemble_features, fit_categorical, rbf_expand
 from ..operators.gradient import MlpModel, fit_attention, fit_mlp_regression, mlp_regression_score
 from ..operators.linear import LinearModel, logreg_grid_cv, logreg_score
 from ..operators.residues import encoded_array, mean_pool, mean_pool_letters
@@ -49,7 +51,7 @@ class Stage:
 
     fit: Callable[[DataFrame, dict], Any]
     apply: Callable[[DataFrame, Any, dict], DataFrame]
-    to_rows: Callable[[Any], list[tuple]] | None = None
+    to_rows: Callable[[Any], pa.Table] | None = None
     from_rows: Callable[[DataFrame], Any] | None = None
 
 
@@ -104,7 +106,7 @@ class FittedPipeline:
     config: PipelineConfig
     columns: dict[str, list[str]]
     channels: dict[str, str]
-    encoders: dict[str, CategoricalEncoder]
+    encoders: dict[str, Categories]
     scaler: Scaler | None
     vector_scaler: VectorScaler | None
     target_scaler: Scaler
@@ -118,6 +120,10 @@ class FittedPipeline:
         df = _embed(df, c)
         if c.predictor_options.get("residue"):
             return df
+        columns = df.columns
+        for n in self.columns["add"]:
+            if n in self.encoders:
+                df = self.encoders[n].attach(df, f"_index_{n}")
         if self.vector_scaler is not None:
             df = df.withColumn("embedding", self.vector_scaler.forward(F.col("embedding")))
         reduced = [n for n in self.columns["add"] if n in self.columns["dimred"]]
@@ -130,11 +136,11 @@ class FittedPipeline:
             df = df.withColumn(
                 "features", assemble_features(F.col("features"), *[self._channel(n) for n in others])
             )
-        return df
+        return df.drop(*[f"_index_{n}" for n in self.encoders if f"_index_{n}" not in columns])
 
     def _channel(self, name: str) -> Column:
         if self.channels[name] == "categorical":
-            return self.encoders[name].encode()
+            return self.encoders[name].one_hot(F.col(f"`_index_{name}`"))
         x = F.col(name).cast("double")
         if self.scaler is not None:
             x = self.scaler.forward(name, x)
@@ -268,25 +274,36 @@ def _fit_mlp(df: DataFrame, options: dict) -> tuple[MlpModel, list[dict]]:
     return model, fit.history
 
 
-def _array_rows(**arrays: np.ndarray) -> list[tuple]:
-    """(name, i, j, value) rows of one- and two-dimensional arrays."""
-    return [
-        (name, int(i), int(j), float(v))
-        for name, a in arrays.items()
-        for (i, j), v in np.ndenumerate(np.atleast_2d(np.asarray(a, dtype=float)))
-    ]
+#: Values per row of a stored array.
+PIECE = 1 << 20
+_ARRAY_SCHEMA = "name string, width int, start long, values array<double>"
+
+
+def _array_table(**arrays: np.ndarray) -> pa.Table:
+    """(name, width, start, values): arrays in pieces, row after row of ``width`` values."""
+    names, widths, starts, pieces = [], [], [], []
+    for name, a in arrays.items():
+        a = np.atleast_2d(np.asarray(a, dtype=float))
+        flat = a.ravel()
+        for at in range(0, max(len(flat), 1), PIECE):
+            names.append(name)
+            widths.append(a.shape[1])
+            starts.append(at)
+            pieces.append(flat[at : at + PIECE])
+    values = list_array(np.concatenate(pieces), np.array([len(p) for p in pieces]))
+    return pa.table(
+        [pa.array(names), pa.array(widths, pa.int32()), pa.array(starts, pa.int64()), values],
+        names=["name", "width", "start", "values"],
+    )
 
 
 def _arrays(table: DataFrame) -> dict[str, np.ndarray]:
-    out = {}
-    for name, part in table.toPandas().groupby("name"):
-        a = np.zeros((part["i"].max() + 1, part["j"].max() + 1))
-        a[part["i"], part["j"]] = part["value"]
-        out[name] = a
-    return out
-
-
-_ARRAY_SCHEMA = "name string, i int, j int, value double"
+    rows = table.toArrow().sort_by([("name", "ascending"), ("start", "ascending")])
+    values, pieces, widths = rows.column("values"), {}, {}
+    for n, (name, width) in enumerate(zip(*[rows.column(c).to_pylist() for c in ("name", "width")], strict=True)):
+        pieces.setdefault(name, []).append(values[n].values.to_numpy(zero_copy_only=False))
+        widths[name] = width
+    return {name: np.concatenate(own).reshape(-1, widths[name]) for name, own in pieces.items()}
 
 
 def _pca_from(table: DataFrame) -> Components:
@@ -318,7 +335,7 @@ register_stage(
             df, "features", options.get("fraction_variance_explained", PCA_VARIANCE)
         ),
         lambda df, state, options: apply_pca(df, "features", state, "features"),
-        lambda s: _array_rows(weights=s.weights, explained=s.explained),
+        lambda s: _array_table(weights=s.weights, explained=s.explained),
         _pca_from,
     ),
 )
@@ -328,7 +345,7 @@ register_stage(
     Stage(
         _fit_logreg,
         lambda df, state, options: logreg_score(df, state),
-        lambda s: _array_rows(coefficients=s.coefficients, intercept=[s.intercept]),
+        lambda s: _array_table(coefficients=s.coefficients, intercept=[s.intercept]),
         _linear_from,
     ),
 )
@@ -338,7 +355,7 @@ register_stage(
     Stage(
         _fit_mlp,
         lambda df, state, options: mlp_regression_score(df, state),
-        lambda s: _array_rows(
+        lambda s: _array_table(
             weight=s.weight, bias=s.bias, out_weight=s.out_weight, out_bias=[s.out_bias]
         ),
         _mlp_from,
@@ -350,7 +367,7 @@ register_stage(
     Stage(
         _fit_attention_stage,
         _apply_attention_stage,
-        lambda s: models_to_rows([s], "model"),
+        lambda s: models_to_arrow([s], "model"),
         lambda table: models_from_table(table, "model")[0],
     ),
 )
@@ -359,50 +376,97 @@ register_stage(
 # -- persistence ---------------------------------------------------------------
 
 
+MANIFEST = "_manifest"
+
+
+def _filesystem(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _contents(spark: SparkSession, path: str) -> dict[str, list]:
+    """Length and SHA-256 of each file below ``path``, by its name from there."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "part-*")
+        .load(path)
+        .select("path", "length", F.sha2("content", 256).alias("sha"))
+        .collect()  # one short row per file of a model
+    )
+    base = path.rstrip("/").rsplit("/", 1)[-1]
+    return {
+        name: [r["length"], r["sha"]]
+        for r in files
+        if not (name := r["path"].split(f"/{base}/", 1)[-1]).startswith(f"{MANIFEST}/")
+    }
+
+
 def save_pipeline(spark: SparkSession, fitted: FittedPipeline, path: str) -> None:
-    """Write config, encoders, scalers, reduction, predictor and report below ``path``.
+    """Write config, dictionaries, scalers, reduction, predictor and report below ``path``.
 
+    All is written under a temporary name, then a manifest of every file's length and
+    digest, and only then gets its name; a run that breaks off leaves nothing under it.
     An existing target is never overwritten.
     """
+    path = path.rstrip("/")
+    fs, target = _filesystem(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(f"{path} exists")
+    held = f"{path}.writing-{uuid.uuid4().hex}"
     head = {
         "config": fitted.config.__dict__,
         "columns": fitted.columns,
         "channels": fitted.channels,
-        "encoders": {n: e.categories for n, e in fitted.encoders.items()},
+        "encoders": {n: [e.size, e.frequent] for n, e in fitted.encoders.items()},
         "scaler": fitted.scaler.__dict__ if fitted.scaler else None,
         "vector_scaler": fitted.vector_scaler.__dict__ if fitted.vector_scaler else None,
         "target_scaler": fitted.target_scaler.__dict__,
         "report": fitted.report,
     }
-    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode(
-        "errorifexists"
-    ).text(f"{path}/config")
+    _text(spark, json.dumps(head), f"{held}/config")
+    for n, encoder in enumerate(fitted.encoders.values()):
+        encoder.rows.write.parquet(f"{held}/encoders/{n}")
     for kind, state in (("dimred", fitted.dimred_state), ("predictor", fitted.predictor_state)):
         to_rows = stage(kind, getattr(fitted.config, kind)).to_rows
         if to_rows is not None and state is not None:
             rows = to_rows(state)
-            schema = WEIGHTS_SCHEMA if len(rows[0]) == 6 else _ARRAY_SCHEMA
-            spark.createDataFrame(rows, schema).write.mode("errorifexists").parquet(f"{path}/{kind}")
+            schema = _ARRAY_SCHEMA if "start" in rows.schema.names else WEIGHTS_SCHEMA
+            spark.createDataFrame(rows, schema).write.parquet(f"{held}/{kind}")
+    _text(spark, json.dumps(_contents(spark, held)), f"{held}/{MANIFEST}")
+    if not fs.rename(_filesystem(spark, held)[1], target):
+        raise FileExistsError(f"{path} could not be taken")
+
+
+def _text(spark: SparkSession, value: str, path: str) -> None:
+    spark.createDataFrame([(value,)], "value string").coalesce(1).write.text(path)
 
 
 def load_pipeline(spark: SparkSession, path: str) -> FittedPipeline:
+    """Read a saved model; refused unless every file is there as the manifest has it."""
+    path = path.rstrip("/")
+    fs, place = _filesystem(spark, f"{path}/{MANIFEST}/_SUCCESS")
+    if not fs.exists(place):
+        raise FileNotFoundError(f"{path} holds no complete model")
+    wanted = json.loads(spark.read.text(f"{path}/{MANIFEST}").first()[0])
+    if (found := _contents(spark, path)) != wanted:
+        wrong = sorted(n for n in {*wanted, *found} if wanted.get(n) != found.get(n))
+        raise ValueError(f"{path} differs from its manifest in {wrong}")
     head = json.loads(spark.read.text(f"{path}/config").first()[0])
     config = PipelineConfig(**head["config"])
     states = {}
     for kind in ("dimred", "predictor"):
         from_rows = stage(kind, getattr(config, kind)).from_rows
-        states[kind] = None
-        if from_rows is not None:
-            try:
-                states[kind] = from_rows(spark.read.parquet(f"{path}/{kind}"))
-            except AnalysisException as err:
-                if err.getCondition() != "PATH_NOT_FOUND":
-                    raise
+        there = any(n.startswith(f"{kind}/") for n in wanted)
+        states[kind] = from_rows(spark.read.parquet(f"{path}/{kind}")) if from_rows is not None and there else None
     return FittedPipeline(
         config,
         head["columns"],
         head["channels"],
-        {n: CategoricalEncoder(n, c) for n, c in head["encoders"].items()},
+        {
+            n: Categories(n, spark.read.parquet(f"{path}/encoders/{k}"), *facts)
+            for k, (n, facts) in enumerate(head["encoders"].items())
+        },
         Scaler(**head["scaler"]) if head["scaler"] else None,
         VectorScaler(**head["vector_scaler"]) if head["vector_scaler"] else None,
         Scaler(**head["target_scaler"]),

@@ -242,11 +242,31 @@ def test_pca(spark):
 def test_categories(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",)], "c string")
     encoder = features.fit_categorical(df, "c")
-    assert [r[0] for r in df.select(encoder.encode()).collect()] == [[0, 1], [1, 0], [0, 1]]
-    with pytest.raises(Exception, match="unknown category"):
-        spark.createDataFrame([("z",)], "c string").select(encoder.encode()).collect()
-    with pytest.raises(ValueError):
-        features.fit_categorical(df, "c", max_categories=1)
+    dense = encoder.attach(df, "i").select("c", encoder.one_hot(F.col("i")).alias("v"), encoder.sparse(F.col("i")).alias("s"))
+    assert {r["c"]: (r["v"], tuple(r["s"])) for r in dense.collect()} == {
+        "b": ([0, 1], (2, [1], [1.0])),
+        "a": ([1, 0], (2, [0], [1.0])),
+    }
+    for unknown in ("z", None):
+        with pytest.raises(Exception, match="unknown category"):
+            encoder.attach(spark.createDataFrame([(unknown,)], "c string"), "i").collect()
+    none = features.fit_categorical(df.where("c = 'q'"), "c")
+    assert none.size == 0 and none.rows.count() == 0
+
+
+def test_many_categories_and_a_frequent_one(spark):
+    """A table of categories has no cap; rows of a frequent one are spread."""
+    df = spark.range(120_000).select(
+        "id", F.when(F.col("id") % 3 == 0, "often").otherwise(F.format_string("c%06d", F.col("id") % 50_000)).alias("a.b")
+    )
+    encoder = features.fit_categorical(df, "a.b")
+    names = sorted(r[0] for r in df.select("`a.b`").distinct().collect())
+    assert encoder.size == len(names) > 49_000 and encoder.frequent == ["often"]
+    got = {r["category"]: r["index"] for r in encoder.rows.collect()}
+    assert got == {c: i for i, c in enumerate(names)}
+    attached = encoder.attach(df, "index")
+    assert attached.columns == ["id", "a.b", "index"] and attached.count() == 120_000
+    assert attached.where(F.col("`a.b`") == "often").select("index").distinct().collect()[0][0] == got["often"]
 
 
 def test_layers_and_missing_embeddings(spark):
@@ -282,10 +302,44 @@ def test_pipeline_with_features_is_saved_and_loaded(spark, table, tmp_path):
     again = load_pipeline(spark, path).apply(table)
     a = {r["seq_id"]: r["y_pred_prob"] for r in out.collect()}
     assert {r["seq_id"]: r["y_pred_prob"] for r in again.collect()} == pytest.approx(a)
-    with pytest.raises(Exception):
+    with pytest.raises(FileExistsError):
         save_pipeline(spark, fitted, path)
 
 
+def test_a_half_written_model_is_never_loaded(spark, tmp_path, monkeypatch):
+    from seqloom.plans import pipeline
+
+    nothing = {"add": [], "standard": [], "dimred": []}
+    none = pipeline.Scaler("none", {}, {})
+    config = PipelineConfig(embedder="Precomputed", dimred="PCADimReduction", predictor="LogisticRegression")
+    weights = np.random.default_rng(1).normal(size=(2000, 600))  # over one piece
+    reduced = pipeline.Components(weights, [0.5, 0.25])
+    fitted = pipeline.FittedPipeline(config, nothing, {}, {}, None, None, none, reduced, linear.LinearModel([1.0, 2.0], 0.5))
+    path = tmp_path / "model"
+    write, left = pipeline._text, [1]
+
+    def breaks_off(spark, value, to):
+        if not left[0]:
+            raise RuntimeError("lost")
+        left[0] -= 1
+        write(spark, value, to)
+
+    monkeypatch.setattr(pipeline, "_text", breaks_off)
+    with pytest.raises(RuntimeError, match="lost"):
+        save_pipeline(spark, fitted, str(path))
+    with pytest.raises(FileNotFoundError):
+        load_pipeline(spark, str(path))
+    monkeypatch.setattr(pipeline, "_text", write)
+    save_pipeline(spark, fitted, str(path))
+    again = load_pipeline(spark, str(path))
+    assert (again.dimred_state.weights == weights).all() and again.predictor_state.coefficients == [1.0, 2.0]
+    part = next((path / "dimred").glob("part-*"))
+    part.write_bytes(part.read_bytes()[:-1])
+    part.with_name(f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="manifest"):
+        load_pipeline(spark, str(path))
+
+
 def test_regression_pipeline_restores_the_target(table):
     config = PipelineConfig(
         embedder="Precomputed",
