@@ -10,17 +10,16 @@ finds the similar pairs of a large table through shared k-mers instead.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil, floor, log
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import HISTOGRAM_BINS
-from ..functions.kmers import kmer_tokens
+from ..functions.kmers import kmer_codes
 from ..functions.lcs import (
     indel_ratio,
     lcs_at_least,
@@ -144,104 +143,90 @@ def sequence_identity_pairs(
 # -- near-identical join -------------------------------------------------------
 
 
-def shared_kmers_needed(length: int, threshold: float, k: int) -> int:
-    """Fewest k-mers a sequence shares with any partner at the threshold.
+#: Longest segment tried.
+WIDEST = 32
 
-    With ratio >= t the alignment leaves ``da`` letters of this sequence and
-    ``db`` of the partner unmatched, da + db <= (1 - t)(la + lb). A deleted
-    letter breaks at most k of its k-mers, an inserted one at most k - 1.
-    """
-    worst = 0
-    for da in range(length + 1):
-        # lb = la - da + db, so db * t <= 2 * la * (1 - t) - da * (2 - t)
-        room = 2 * length * (1 - threshold) - da * (2 - threshold)
-        if room < -1e-9:
-            break
-        worst = max(worst, k * da + (k - 1) * floor(room / threshold + 1e-9))
-    return length - k + 1 - worst
 
+def edit_budget(length: np.ndarray, threshold: float) -> np.ndarray:
+    """Most letters left unmatched, on both sides, by a sequence and a partner that is not shorter.
 
-def kmers_lost_per_letter(threshold: float, k: int) -> float:
-    """The same loss as a share of the length, a bound for every length."""
-    gap = 2 * (1 - threshold)
-    return max(k * gap / (2 - threshold), (k - 1) * gap / threshold)
+    la + lb - 2 * LCS <= (1 - t)(la + lb), and la + lb <= 2 * la / t.
+    """
+    return np.floor(2 * length * (1 - threshold) / threshold + 1e-9).astype(np.int64)
 
 
-def kmer_bands(threshold: float, shared: int) -> list[tuple[int, int]]:
-    """(k, shortest length) of each length band, shortest band first.
+def segment_widths(length: np.ndarray, threshold: float) -> np.ndarray:
+    """Letters per segment, so that more segments than the edit budget fit; 0 if none do.
 
-    Long k-mers are rarer but promise shared ones to long sequences only.
+    The widest that leave one segment in 200 letters more than the least: a longer segment
+    is rarer, and several have to match.
     """
-    shortest = 1  # the shortest sequence that can have a distinct partner
-    while 2.0 * shortest / (2 * shortest + 1) < threshold - 1e-12:
-        shortest += 1
-
-    def holds(k: int) -> bool:
-        share = kmers_lost_per_letter(threshold, k)
-        # Beyond ``far`` the linear bound alone promises a shared k-mer.
-        far = ceil((k + 1) / (1 - share)) if share < 1 else None
-        return far is not None and all(
-            shared_kmers_needed(n, threshold, k) >= 1 for n in range(shortest, far + 1)
-        )
-
-    small = max((k for k in range(1, 9) if holds(k)), default=0)
-    if not small:
-        raise ValueError(f"no k-mer length can promise a match at {threshold}")
-    large = floor(0.8 / (2 * (1 - threshold) / (2 - threshold)))
-    bands = [(small, shortest)]
-    if large > small:
-        share = kmers_lost_per_letter(threshold, large)
-        bands.append((large, ceil((shared + large) / (1 - share))))
-    return bands
+    spare = edit_budget(length, threshold) + 1 + length // 200
+    out = np.zeros(len(length), np.int64)
+    for k in range(1, WIDEST + 1):
+        out[length // k >= spare] = k
+    return out
 
 
 def near_identical_join(
-    df: DataFrame, threshold: float = 0.95, key: str = "seq_id", shared: int = 16
+    df: DataFrame, threshold: float = 0.95, key: str = "seq_id"
 ) -> DataFrame:
     """(id_a, id_b, ratio) of distinct sequences at least ``threshold`` alike.
 
-    Exact: two such sequences must share a counted number of k-mers, so they
-    share ``shared`` of them (fewer for short ones) among the rarest of each
-    (prefix filter). Rare k-mers keep the candidate groups small; candidates
-    within the length band are verified by the exact ratio. Copies are folded
-    first, each distinct sequence is represented by its smallest id.
+    Exact, by the pigeonhole principle: an unmatched letter spoils at most one of a
+    sequence's disjoint segments, so with more segments than unmatched letters some stand
+    whole in the partner, and none is shifted by more letters than are unmatched. The
+    shorter sequence of a pair is cut into segments, the longer one offers all its k-mers
+    with their positions, and the two meet by equal letters in buckets of like lengths. A
+    pair goes on if as many segments are met as must be; the exact ratio decides. Copies are
+    folded first, each distinct sequence is represented by its smallest id.
     """
     if not 0.5 < threshold < 1.0:
         raise ValueError("threshold must be in (0.5, 1); copies are found by a plain distinct")
+    far = np.arange(1, 20_000)
+    if (segment_widths(far, threshold)[edit_budget(far, threshold) > 0] == 0).any():
+        raise ValueError(f"no segment length can promise a match at {threshold}")
     ship_package(df.sparkSession)
-    bands = kmer_bands(threshold, shared)
     kind = df.schema[key].dataType.simpleString()
-    # Spread by key for the tokenizing and verifying tasks; every later join is left
-    # to adaptive execution, which splits an id with many candidates.
+    # Spread by key for the tokenizing and verifying tasks.
     width = shuffle_width(df.sparkSession)
     distinct = cut_lineage(
         df.groupBy("sequence").agg(F.min(key).alias("id")).repartition(width, "id"), "distinct"
     )
-    prefixes = cut_lineage(_rare_prefixes(distinct, threshold, bands, shared, kind), "prefixes")
+    reach = threshold / (2 - threshold)  # a partner is at least so many times as long
+    tokens = distinct.select("id", "sequence").mapInArrow(
+        _tokenizer(threshold, reach),
+        f"id {kind}, own boolean, len int, need int, positions array<int>, tokens array<long>",
+    )
     # Lengths of a pair differ by less than this factor, so they lie in the same or in
     # neighbouring buckets. The bucket is part of the join key: it prunes, and it splits
     # a token that many sequences share.
-    growth = log((2 - threshold) / threshold * 1.0001)
+    growth = log(1.0001 / reach)
     bucket = F.floor(F.log(F.col("len").cast("double")) / F.lit(growth)).cast("int")
-    shorter = prefixes.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
-    longer = prefixes.select(
-        F.col("id").alias("id_b"),
-        F.col("len").alias("len_b"),
-        F.col("need").alias("need_b"),
-        "band",
-        "token",
-        bucket.alias("bucket"),
+    pairs = F.explode(F.arrays_zip("positions", "tokens")).alias("t")
+    rows = tokens.select("id", "own", "len", "need", bucket.alias("bucket"), pairs)
+    rows = rows.select("id", "own", "len", "need", "bucket", "t.positions", "t.tokens")
+    segments = rows.where("own").select(
+        F.col("id").alias("a"), F.col("len").alias("la"), "need", F.col("positions").alias("pa"), "tokens",
+        F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"),
+    )
+    offered = rows.where("not own").select(
+        F.col("id").alias("b"), F.col("len").alias("lb"), F.col("positions").alias("pb"), "tokens", "bucket"
     )
-    lo, hi = F.col("len"), F.col("len_b")
-    in_order = (lo < hi) | ((lo == hi) & (F.col("id") < F.col("id_b")))
+    total = F.col("la") + F.col("lb")
+    edits = F.lit(1 - threshold) * total + F.lit(1e-9)
     candidates = (
-        shorter.join(longer, ["band", "token", "bucket"])
-        .where(in_order & (2.0 * lo >= F.lit(threshold - 1e-12) * (lo + hi)))
-        .groupBy("id", "id_b", "band")
-        .agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("need", "need_b")).alias("need"))
-        .where(F.col("hits") >= F.col("need"))
-        .select(F.least("id", "id_b").alias("id_a"), F.greatest("id", "id_b").alias("id_b"))
-        .distinct()
+        segments.join(offered, ["tokens", "bucket"])
+        .where(
+            ((F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b"))))
+            & (F.abs(F.col("pa") - F.col("pb")) <= edits)
+            & (2.0 * F.col("la") >= F.lit(threshold - 1e-12) * total)
+        )
+        # A segment met twice counts twice, which only lets more pairs through.
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need"))
+        .where("hits >= need")
+        .select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
     )
     texts = distinct.select("id", "sequence")
     sided = candidates.join(
@@ -266,65 +251,46 @@ def near_identical_join(
     )
 
 
-def _rare_prefixes(
-    distinct: DataFrame, threshold: float, bands: list[tuple[int, int]], shared: int, kind: str
-) -> DataFrame:
-    """(id, band, len, need, token): the rarest k-mer tokens, enough to meet any partner.
-
-    With at least ``o`` common tokens of ``n``, the first n - o + m tokens in any
-    common order hold at least m of them; ``need`` is that m. A band reaches as
-    far as the longest partner of its sequences, so every pair has a band in common.
-    """
-    reach = (2 - threshold) / threshold
-    limits = [
-        (k, start, bands[i + 1][1] * reach if i + 1 < len(bands) else np.inf)
-        for i, (k, start) in enumerate(bands)
-    ]
-
-    names = ["id", "band", "len", "need", "prefix", "tokens"]
+def _tokenizer(threshold: float, reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per sequence a row of its own segments, and one of its k-mers for each width its partners use."""
+    names = ["id", "own", "len", "need", "positions", "tokens"]
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.asarray(pc.utf8_length(batch.column("sequence")))
-            for band, (k, start, end) in enumerate(limits):
-                picked = np.flatnonzero((lengths >= max(start, k)) & (lengths <= end))
-                if not len(picked):
+            sequences = batch.column("sequence").to_pylist()
+            longest = max((len(s) for s in sequences), default=0)
+            lengths = np.arange(longest + 1)
+            widths, budget = segment_widths(lengths, threshold), edit_budget(lengths, threshold)
+            # In few rows at a time: a row has a token for every letter.
+            for at, s in enumerate(sequences):
+                n = len(s)
+                if not n:
+                    continue
+                rows = []
+                k = int(widths[n])
+                if k and budget[n]:
+                    found = kmer_codes(s, k)[::k]
+                    rows.append((True, n // k - budget[n], np.arange(len(found)) * k, found))
+                for k in np.unique(widths[ceil(n * reach - 1e-9) : n + 1]):
+                    if k:
+                        found = kmer_codes(s, int(k))
+                        rows.append((False, 0, np.arange(len(found)), found))
+                if not rows:
                     continue
-                part = batch.take(pa.array(picked))
-                n = lengths[picked] - k + 1
-                share = kmers_lost_per_letter(threshold, k)
-                lost = np.floor(lengths[picked] * share + 1e-6).astype(np.int64)
-                need = (n - lost).clip(1, shared)
-                tokens = [kmer_tokens(s, k) for s in part.column("sequence").to_pylist()]
-                small = [np.full(len(picked), band), lengths[picked], need, np.minimum(n, lost + need)]
+                sizes = np.array([len(r[3]) for r in rows])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("id"),
-                        *[pa.array(a, type=pa.int32()) for a in small],
-                        list_array(np.concatenate(tokens), n),
+                        batch.column("id").take(pa.array([at] * len(rows))),
+                        pa.array([r[0] for r in rows]),
+                        pa.array([n] * len(rows), pa.int32()),
+                        pa.array([int(r[1]) for r in rows], pa.int32()),
+                        list_array(np.concatenate([r[2] for r in rows]).astype(np.int32), sizes),
+                        list_array(np.concatenate([r[3] for r in rows]), sizes),
                     ],
                     names,
                 )
 
-    # Written once: the tokens are counted first and ranked by the counts then.
-    lists = cut_lineage(
-        distinct.select("id", "sequence").mapInArrow(
-            tokenize, f"id {kind}, band int, len int, need int, prefix int, tokens array<long>"
-        ),
-        "tokens",
-    )
-    tokens = lists.select("id", "band", "len", "need", "prefix", F.explode("tokens").alias("token"))
-    frequency = (
-        tokens.groupBy("band", "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    )
-    rarest_first = Window.partitionBy("id", "band").orderBy("df", "token")
-    return (
-        tokens.join(frequency, ["band", "token"], "left")
-        .withColumn("rank", F.row_number().over(rarest_first))
-        # A token only one sequence has sorts first, fills the prefix and matches nothing.
-        .where((F.col("rank") <= F.col("prefix")) & F.col("df").isNotNull())
-        .select("id", "band", "len", "need", "token")
-    )
+    return tokenize
 
 
 # -- cosine similarity ---------------------------------------------------------

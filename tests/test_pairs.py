@@ -91,15 +91,31 @@ def test_near_identical_equals_brute_force(family, threshold):
     assert len(want) > 20 and got == pytest.approx(want)
 
 
-def test_promised_kmers_are_shared():
-    for t in (0.8, 0.9, 0.95, 0.98):
-        for k, start in pairs.kmer_bands(t, 16):
-            for n in range(start, start + 400):
-                assert pairs.shared_kmers_needed(n, t, k) >= 1
-                assert n - k + 1 - pairs.shared_kmers_needed(n, t, k) <= math.floor(
-                    n * pairs.kmers_lost_per_letter(t, k) + 1e-6
-                )
-
+@pytest.mark.parametrize("threshold", [0.8, 0.9, 0.95, 0.99])
+def test_promised_segments_stand_whole_in_the_partner(threshold):
+    """However the letters are dropped and put in, enough segments stay, near their place."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(5, 700))
+        a = "".join(rng.choice(list("ACDE"), n))
+        k = int(pairs.segment_widths(np.array([n]), threshold)[0])
+        budget = int(pairs.edit_budget(np.array([n]), threshold)[0])
+        b = list(a)
+        for _ in range(rng.integers(0, budget + 1)):
+            at = int(rng.integers(0, len(b)))
+            if rng.random() < 0.4:
+                del b[at]
+            else:
+                b.insert(at, "Y")
+        b = "".join(b)
+        if len(b) < n or ratio(a, b) < threshold or not budget:
+            continue
+        assert k
+        edits = (1 - threshold) * (n + len(b)) + 1e-9
+        met = 0
+        for p in range(0, n - k + 1, k):
+            met += any(b[q : q + k] == a[p : p + k] for q in range(max(0, int(p - edits)), min(len(b), int(p + edits)) + 1))
+        assert met >= n // k - budget >= 1
 
 def brute_sets(rows):
     sides = {s: sorted({t for _, t, d in rows if d == s}) for s in ("train", "test")}
