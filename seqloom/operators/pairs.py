@@ -194,23 +194,24 @@ def near_identical_join(
         df.groupBy("sequence").agg(F.min(key).alias("id")).repartition(width, "id"), "distinct"
     )
     reach = threshold / (2 - threshold)  # a partner is at least so many times as long
-    tokens = distinct.select("id", "sequence").mapInArrow(
-        _tokenizer(threshold, reach),
-        f"id {kind}, own boolean, len int, need int, positions array<int>, tokens array<long>",
-    )
     # Lengths of a pair differ by less than this factor, so they lie in the same or in
     # neighbouring buckets. The bucket is part of the join key: it prunes, and it splits
     # a token that many sequences share.
     growth = log(1.0001 / reach)
     bucket = F.floor(F.log(F.col("len").cast("double")) / F.lit(growth)).cast("int")
-    pairs = F.explode(F.arrays_zip("positions", "tokens")).alias("t")
-    rows = tokens.select("id", "own", "len", "need", bucket.alias("bucket"), pairs)
-    rows = rows.select("id", "own", "len", "need", "bucket", "t.positions", "t.tokens")
-    segments = rows.where("own").select(
+
+    def tokens(own: bool) -> DataFrame:
+        schema = f"id {kind}, len int, need int, positions array<int>, tokens array<long>"
+        lists = distinct.select("id", "sequence").mapInArrow(_tokenizer(threshold, reach, own), schema)
+        each = F.explode(F.arrays_zip("positions", "tokens")).alias("t")
+        rows = lists.select("id", "len", "need", bucket.alias("bucket"), each)
+        return rows.select("id", "len", "need", "bucket", "t.positions", "t.tokens")
+
+    segments = tokens(own=True).select(
         F.col("id").alias("a"), F.col("len").alias("la"), "need", F.col("positions").alias("pa"), "tokens",
         F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"),
     )
-    offered = rows.where("not own").select(
+    offered = tokens(own=False).select(
         F.col("id").alias("b"), F.col("len").alias("lb"), F.col("positions").alias("pb"), "tokens", "bucket"
     )
     total = F.col("la") + F.col("lb")
@@ -251,9 +252,11 @@ def near_identical_join(
     )
 
 
-def _tokenizer(threshold: float, reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per sequence a row of its own segments, and one of its k-mers for each width its partners use."""
-    names = ["id", "own", "len", "need", "positions", "tokens"]
+def _tokenizer(
+    threshold: float, reach: float, own: bool
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row of each sequence's own segments, or one of its k-mers for each width its partners use."""
+    names = ["id", "len", "need", "positions", "tokens"]
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,31 +264,27 @@ def _tokenizer(threshold: float, reach: float) -> Callable[[Iterator[pa.RecordBa
             longest = max((len(s) for s in sequences), default=0)
             lengths = np.arange(longest + 1)
             widths, budget = segment_widths(lengths, threshold), edit_budget(lengths, threshold)
-            # In few rows at a time: a row has a token for every letter.
+            # A few rows at a time: a row has a token for every letter.
             for at, s in enumerate(sequences):
                 n = len(s)
-                if not n:
-                    continue
-                rows = []
-                k = int(widths[n])
-                if k and budget[n]:
-                    found = kmer_codes(s, k)[::k]
-                    rows.append((True, n // k - budget[n], np.arange(len(found)) * k, found))
-                for k in np.unique(widths[ceil(n * reach - 1e-9) : n + 1]):
-                    if k:
-                        found = kmer_codes(s, int(k))
-                        rows.append((False, 0, np.arange(len(found)), found))
-                if not rows:
+                if own:
+                    used = [int(widths[n])] if budget[n] else []
+                else:
+                    used = np.unique(widths[ceil(n * reach - 1e-9) : n + 1]).tolist()
+                used = [k for k in used if k]
+                if not used:
                     continue
-                sizes = np.array([len(r[3]) for r in rows])
+                step = used[0] if own else 1
+                found = [kmer_codes(s, k)[::step] for k in used]
+                places = [np.arange(len(f), dtype=np.int32) * np.int32(step) for f in found]
+                sizes = np.array([len(f) for f in found])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").take(pa.array([at] * len(rows))),
-                        pa.array([r[0] for r in rows]),
-                        pa.array([n] * len(rows), pa.int32()),
-                        pa.array([int(r[1]) for r in rows], pa.int32()),
-                        list_array(np.concatenate([r[2] for r in rows]).astype(np.int32), sizes),
-                        list_array(np.concatenate([r[3] for r in rows]), sizes),
+                        batch.column("id").take(pa.array([at] * len(used))),
+                        pa.array([n] * len(used), pa.int32()),
+                        pa.array([int(n // k - budget[n]) for k in used], pa.int32()),
+                        list_array(np.concatenate(places), sizes),
+                        list_array(np.concatenate(found), sizes),
                     ],
                     names,
                 )
