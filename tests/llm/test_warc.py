@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import pathlib
 import uuid
 
 import pytest
@@ -85,15 +86,61 @@ def test_no_pages(spark, tmp_path):
     assert archived(spark, tmp_path, [])[1].count() == 0
 
 
-def test_bounds_hold_about_a_shard_each(spark):
-    rows = [(i, 10) for i in range(1000)] + [(1 << 62, 10), (-5, 900)]
-    facts = spark.createDataFrame(rows, "place long, bytes long")
-    bounds = warc.shard_bounds(facts, 500)
-    assert all(a < b for a, b in bounds)
-    assert all(x[1] <= y[0] for x, y in zip(bounds, bounds[1:], strict=False))
-    for low, high in bounds:
-        held = [b for p, b in rows if low <= p < high]
-        assert sum(held) <= 500 or len(held) == 1
+def folder_files(path):
+    folder = path.removeprefix("file://")
+    return {p.name: gzip.decompress(p.read_bytes()) for p in sorted(pathlib.Path(folder).glob("*.warc.gz"))}
+
+
+def shards_of(files):
+    return {name.split("-")[1] for name in files}
+
+
+@pytest.mark.parametrize("page_id", [None, 7])
+def test_one_id_fills_several_shards(spark, tmp_path, page_id):
+    rows = [(page_id, f"u{i}", f"<p>{i % 90}</p>") for i in range(300)] + [(i, "u", "<p>5</p>") for i in range(9)]
+    path, got = archived(spark, tmp_path, rows, shard_bytes=10_000)
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got.collect()), key=str) == expected(rows)
+    files = folder_files(path)
+    assert len(shards_of(files)) > 10 and max(len(x) for x in files.values()) < 30_000
+
+
+@pytest.mark.parametrize("least", [0, 30])
+def test_equal_rows_fill_several_shards(spark, tmp_path, least):
+    rows = [(7, "u", "<p>same</p>")] * 400 + [(None, "n", "<p>none</p>")] * 300 + [(3, "u", "<p>same</p>"), (9, "v", None)]
+    seen = []
+    for spread in (1, 5):
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(spread)
+        path = f"file://{tmp_path}/{uuid.uuid4().hex}"
+        warc.write_archive(frame, path, least=least, shard_bytes=20_000, file_bytes=2_000)
+        got = warc.read_archive(spark, path)
+        assert sorted((tuple(r[c] for c in COLUMNS) for r in got.collect()), key=str) == expected(rows, least)
+        files = folder_files(path)
+        assert len(shards_of(files)) > 10
+        seen.append(files)
+        text = b"".join(files.values())
+        ids = [x.split(b"\r\n")[0] for x in text.split(b"WARC-Record-ID: ")[1:]]
+        assert len(set(ids)) == len(ids) == len(rows)
+        assert {x.split(b"\r\n")[0] for x in text.split(b"WARC-Refers-To: ")[1:]} <= set(ids)
+    assert seen[0] == seen[1]
+
+
+def test_files_roll_inside_a_shard(spark, tmp_path):
+    rows = [(i, "u", uuid.uuid5(uuid.NAMESPACE_URL, str(i)).hex * 40) for i in range(200)]
+    path, got = archived(spark, tmp_path, rows, shard_bytes=1 << 20, file_bytes=8_000)
+    files = folder_files(path)
+    assert len(shards_of(files)) == 1 and len(files) > 4 and got.count() == 200
+
+
+def test_groups_of_equal_rows_are_cut_where_shards_end(spark):
+    rows = [(0, i, f"{i:040x}", "u", 100) for i in range(50)] + [(0, 1 << 62, "f" * 40, "u", 900)] * 40
+    facts = spark.createDataFrame(rows, "absent int, place long, digest string, url string, bytes long")
+    facts = facts.selectExpr("*", "cast(conv(substring(digest, 1, 15), 16, 10) as long) d", "xxhash64(url) u")
+    groups = warc.shard_groups(facts, 0, 5000)
+    pieces = sorted((r["shard"], r["low"], r["high"]) for r in warc.hot_pieces(groups, 5000).collect())
+    assert pieces[0][1] == 0 and pieces[-1][2] == 40 and len(pieces) > 2
+    assert all(a[2] == b[1] for a, b in zip(pieces, pieces[1:], strict=False))
+    bounds = [r["key"] for r in warc.shard_bounds(groups, 5000).orderBy("shard").collect()]
+    assert bounds == sorted(bounds) and len(set(bounds)) == len(bounds)
 
 
 def test_query_covers_all_pages(spark):
