@@ -114,9 +114,21 @@ def weight(f: int, layer: int, i: int, j: int, k: int) -> float:
     return (((f * 13 + layer * 11 + i * 31 + j * 17 + k * 7) % 19) - 9) / 20.0
 
 
-def fold_models(kernel: int = 3, channels: int = 2, hidden: int = 4, folds: int = 5) -> list[FoldModel]:
-    """z-scale convolution, attention, one hidden layer with a folded batch norm."""
-    width = len(ZSCALE["A"])
+def dense_scale(inputs: int) -> float:
+    """Keeps the sums of wide layers in the range of narrow ones."""
+    return min(1.0, 4.0 / inputs)
+
+
+def fold_models(
+    kernel: int = 3,
+    channels: int = 2,
+    hidden: int | tuple[int, ...] = 4,
+    folds: int = 5,
+    width: int = len(ZSCALE["A"]),
+    outputs: int = 1,
+) -> list[FoldModel]:
+    """Convolution over ``width`` inputs, attention, hidden layers, a batch norm behind the last."""
+    sizes = (channels, *((hidden,) if isinstance(hidden, int) else hidden), outputs)
     models = []
     for f in range(1, folds + 1):
 
@@ -127,18 +139,17 @@ def fold_models(kernel: int = 3, channels: int = 2, hidden: int = 4, folds: int
             ]
             return np.array(w), np.array([weight(f, layer, 5, 0, k) for k in range(channels)])
 
-        head = [
-            {
-                "weight": np.array([[weight(f, 3, 0, j, k) for k in range(hidden)] for j in range(channels)]),
-                "bias": np.array([weight(f, 3, 5, 0, k) for k in range(hidden)]),
-                "gain": np.array([1.0 + weight(f, 4, 0, 0, k) for k in range(hidden)]),
-                "offset": np.array([weight(f, 4, 5, 0, k) for k in range(hidden)]),
-            },
-            {
-                "weight": np.array([[weight(f, 5, 0, j, 0)] for j in range(hidden)]),
-                "bias": np.array([weight(f, 5, 5, 0, 0)]),
-            },
-        ]
+        head = []
+        for n, (a, b) in enumerate(zip(sizes, sizes[1:])):
+            own = [[weight(f, 3 + 2 * n, 0, j, k) for k in range(b)] for j in range(a)]
+            layer = {
+                "weight": np.array(own) * dense_scale(a),
+                "bias": np.array([weight(f, 3 + 2 * n, 5, 0, k) for k in range(b)]),
+            }
+            if n == len(sizes) - 3:
+                layer["gain"] = np.array([1.0 + weight(f, 4 + 2 * n, 0, 0, k) for k in range(b)])
+                layer["offset"] = np.array([weight(f, 4 + 2 * n, 5, 0, k) for k in range(b)])
+            head.append(layer)
         fold = f"fold{f}"
         models.append(FoldModel(fold, *conv(1), *conv(2), head, 1.0 + f * 0.1, CUTOFFS[fold]))
     return models
