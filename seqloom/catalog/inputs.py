@@ -137,7 +137,7 @@ def scan_model_registry(spark, sf_dir):
 @query("write_sequence_scores", FOLD_SCORES + folds_wide_sql())
 def write_sequence_scores(spark, sf_dir):
     path = scratch_path(spark, "scores")
-    written = run_inference(v.sequences(spark, sf_dir), v.fold_models(), "model", path)
+    written = run_inference(v.sequences(spark, sf_dir), v.fold_models(), "model", path, sinks=("sequences",))
     columns = [f"model_{f}_seq_score" for f in v.FOLDS] + ["model_ensemble_seq_score"]
     df = spark.read.option("header", True).csv(written["sequences"])
     return df.select("name", *[v.r6(F.col(c).cast("double")).alias(c) for c in columns])
@@ -146,14 +146,14 @@ def write_sequence_scores(spark, sf_dir):
 @query(
     "write_residue_scores",
     FOLD_SCORES
-    + f"""SELECT name, max(pos) + 1 AS length, {v.sql_r6('sum(p1)')} AS fold1_sum,
+    + f"""SELECT name, max(pos) + 1 AS length, {", ".join(f"{v.sql_r6(f'sum(p{f})')} AS fold{f}_sum" for f in range(1, 6))},
       {v.sql_r6('sum((p1+p2+p3+p4+p5)/5.0)')} AS ensemble_sum, {v.sql_r6('avg((p1+p2+p3+p4+p5)/5.0)')} AS mean,
       sum(((p1+p2+p3+p4+p5)/5.0 > 0.5)::INT)::BIGINT AS n_high_risk
     FROM probs GROUP BY seq_id, name""",
 )
 def write_residue_scores(spark, sf_dir):
     path = scratch_path(spark, "residues")
-    written = run_inference(v.sequences(spark, sf_dir), v.fold_models(), "model", path)
+    written = run_inference(v.sequences(spark, sf_dir), v.fold_models(), "model", path, sinks=("residues",))
     maps = ", ".join(f"{f} array<double>" for f in v.FOLDS)
     df = spark.read.schema(
         f"name string, length long, fold_scores struct<{maps}>, ensemble array<double>, "
@@ -166,7 +166,7 @@ def write_residue_scores(spark, sf_dir):
     return df.select(
         "name",
         "length",
-        total("fold_scores.fold1").alias("fold1_sum"),
+        *[total(f"fold_scores.{f}").alias(f"{f}_sum") for f in v.FOLDS],
         total("ensemble").alias("ensemble_sum"),
         v.r6(F.col("summary.mean")).alias("mean"),
         F.size("summary.high_risk_positions").cast("long").alias("n_high_risk"),

@@ -107,6 +107,24 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def featured_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with two facts about their document, a class and a number to learn."""
+    facts = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq_id"),
+        F.col("lang").alias("data_lang"),
+        F.col("n_chars").cast("double").alias("data_chars"),
+    )
+    return vectors(spark, sf_dir).join(facts, "seq_id").select(
+        "seq_id",
+        F.col("embedding").cast("array<double>").alias("embedding"),
+        "data_split",
+        "data_lang",
+        "data_chars",
+        (F.col("label") < 5).cast("double").alias("value_bool"),
+        F.col("label").cast("double").alias("value_real"),
+    )
+
+
 # -- weights by formula --------------------------------------------------------
 
 
@@ -221,6 +239,11 @@ VECTORS = f"""vectors AS (
   FROM embeddings)"""
 
 
+FEATURED = VECTORS + """, featured AS (
+  SELECT seq_id, v.embedding, v.data_split, d.lang, d.n_chars::DOUBLE AS chars
+  FROM vectors v JOIN documents d ON v.seq_id = d.doc_id)"""
+
+
 def sql_codebook(name: str, values: dict[str, list[float]]) -> str:
     rows = ", ".join(
         "('%s', %s)" % (a, ", ".join(f"{float(x)!r}::DOUBLE" for x in v)) for a, v in values.items()

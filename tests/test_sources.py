@@ -100,3 +100,16 @@ def test_inference_files(spark, tmp_path):
     assert one["summary"]["mean"] == pytest.approx(one["ensemble"][0])
     with pytest.raises(Exception):
         run_inference(df, models, "m", str(tmp_path / "out"))
+
+
+def test_a_single_sink_writes_what_both_write(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "ACD"), (2, "b", "KKWY")], "seq_id long, name string, sequence string")
+    models = v.fold_models(folds=2)
+    both = run_inference(df, models, "m", str(tmp_path / "both"))
+    for sink, read in (("sequences", spark.read.option("header", True).csv), ("residues", spark.read.json)):
+        only = run_inference(df, models, "m", str(tmp_path / sink), sinks=(sink,))
+        assert set(only) == {sink}
+        assert sorted(read(only[sink]).collect()) == sorted(read(both[sink]).collect())
+    for wrong in ((), ("sequences", "figures")):
+        with pytest.raises(ValueError, match="sinks"):
+            run_inference(df, models, "m", str(tmp_path / "wrong"), sinks=wrong)
