@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -666,6 +667,47 @@ def pca_total_variance(spark, sf_dir):
     )
 
 
+@query(
+    "pca_residuals",
+    f"""WITH {v.VECTORS} SELECT unnest(range(64))::INT AS component, 1 AS is_eigenvector, 1 AS in_order,
+      (SELECT count(*) FROM vectors WHERE data_split = 'train') AS n_rows""",
+)
+def pca_residuals(spark, sf_dir):
+    """Covariance times each component is that component times its variance."""
+    train = _train_vectors(spark, sf_dir)
+    found = fit_pca(train, "embedding", fraction=2.0)
+    spread = apply_pca(train, "embedding", found).select("components", F.posexplode("embedding").alias("i", "x"))
+    pairs = spread.select("i", "x", F.posexplode("components").alias("component", "z"))
+    weights = spark.createDataFrame(list(enumerate(found.weights.tolist())), "i int, weights array<double>")
+    cells = (
+        pairs.groupBy("i", "component")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.covar_samp("x", "z").alias("cov"))
+        .join(weights, "i")
+        .select("n_rows", "component", "cov", F.col("weights")[F.col("component")].alias("weights"))
+    )
+    variance = cells.groupBy("component").agg(F.sum(F.col("cov") * F.col("weights")).alias("variance"))
+    before = Window.orderBy("component")
+    variance = variance.withColumn("previous", F.lag("variance").over(before))
+    gap = F.max(F.abs(F.col("cov") - F.col("variance") * F.col("weights")))
+    return cells.join(variance, "component").groupBy("component").agg(
+        (gap < 1e-9).cast("int").alias("is_eigenvector"),
+        F.max((F.coalesce("previous", "variance") >= F.col("variance") - 1e-12).cast("int")).alias("in_order"),
+        F.max("n_rows").alias("n_rows"),
+    )
+
+
+@query(
+    "apply_pca_norms",
+    f"""WITH {v.VECTORS} SELECT seq_id, data_split, {v.sql_r6("list_dot_product(embedding, embedding)")} AS squares FROM vectors""",
+)
+def apply_pca_norms(spark, sf_dir):
+    """All components together only turn a vector: its length stays, whatever their signs."""
+    found = fit_pca(_train_vectors(spark, sf_dir), "embedding", fraction=2.0)
+    projected = apply_pca(v.vectors(spark, sf_dir), "embedding", found)
+    squares = F.aggregate("components", F.lit(0.0), lambda acc, x: acc + x * x)
+    return projected.select("seq_id", "data_split", v.r6(squares).alias("squares"))
+
+
 @query("apply_pca")
 def apply_pca_rows(spark, sf_dir):
     found = fit_pca(_train_vectors(spark, sf_dir), "embedding")
