@@ -74,6 +74,16 @@ def test_residue_labels_must_fit(spark):
         residues.residue_explode(df.withColumn("labels", F.lit("01")), "labels").collect()
 
 
+def test_missing_sequence_has_no_residues(spark):
+    rows = [(0, "AC", "01"), (1, None, None), (2, "", "")]
+    df = spark.createDataFrame(rows, "seq_id long, sequence string, labels string")
+    assert [r["seq_id"] for r in residues.residue_explode(df, "labels").collect()] == [0, 0]
+    for sequence, labels in (("AC", None), (None, "01")):
+        unfit = spark.createDataFrame([(3, sequence, labels)], df.schema)
+        with pytest.raises(PySparkException, match="labels do not fit"):
+            residues.residue_explode(unfit, "labels").collect()
+
+
 def test_pooled_letters_equal_pooled_array(spark):
     df = spark.createDataFrame([("ACDWY",), ("K",)], "sequence string")
     for kind, width in (("onehot", 20), ("zscale", 5)):
