@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,37 @@ def test_summary_positions(spark):
     row = df.select(attention.summary_column(F.col("a")).alias("s"), attention.summary_column(F.col("a"), base=1).alias("t")).first()
     assert row["s"]["high_risk_positions"] == [0, 2] and row["t"]["high_risk_positions"] == [1, 3]
     assert row["s"]["max"] == 0.9 and row["s"]["min"] == 0.5
+
+
+LONG_SEQS = ["ACDEFGHIKLMNPQRSTVWY" * 30, "WYVTSRQPNMLKIHGFEDCA" * 11 + "K"]
+
+
+@pytest.mark.parametrize("kernel", [1, 3, 5])
+@pytest.mark.parametrize("scale", [1.0, 400.0])
+def test_long_sequences_and_wide_logits(spark, kernel, scale):
+    """Attended one by one; attention logits that no product of exponentials could hold."""
+    models = v.fold_models(kernel=kernel, channels=3, hidden=(6, 4), folds=2, outputs=2)
+    for m in models:
+        m.attention_weight = m.attention_weight * scale
+    df = spark.createDataFrame(list(enumerate(LONG_SEQS)), "seq_id long, sequence string")
+    for mode in ("weighted_mean_three", "weighted_mean_single_conv"):
+        for row in attention.score_folds(df.coalesce(1), models, mode).collect():
+            for m in models:
+                want, score = plain_scores(row["sequence"], m, mode)
+                assert np.allclose(row["fold_residues"][m.fold], want, atol=1e-10)
+                assert abs(row["fold_scores"][m.fold] - score) < 1e-10
+
+
+def test_heads_without_attention_run_once_per_window(spark, monkeypatch):
+    """What a task looks up is worked out ahead: its rows meet no head."""
+    models = v.fold_models(channels=4, hidden=(8, 4), width=20, folds=2)
+    prepared = attention._prepare(models, "onehot", "mean_single_conv")
+    assert [len(p["windows"]) for p in prepared] == [21**3] * 2 and "feature" not in prepared[0]
+    monkeypatch.setattr(attention, "WINDOWS", 100)
+    plain = attention._prepare(models, "onehot", "mean_single_conv")
+    batch = pa.RecordBatch.from_pydict({"sequence": LONG_SEQS + SEQS})
+    for a, b in zip(prepared, plain, strict=True):
+        looked_up = attention._read_input(batch, "onehot", a).logits(a, "mean_single_conv")
+        assert np.allclose(looked_up, attention._read_input(batch, "onehot", b).logits(b, "mean_single_conv"), atol=1e-12)
+    with pytest.raises(KeyError):
+        plain[0]["windows"]
