@@ -1,9 +1,11 @@
+import collections
 import math
 import random
 from functools import cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.functions.lcs import indel_ratio, lcs_at_least, lcs_length, letter_masks
 from seqloom.operators import pairs
@@ -172,3 +174,42 @@ def test_cosine_blocks_equal_one_matrix(spark):
     rows = pairs.cosine_similarity_pairs(df, "seq_id", 0.6, block_rows=20).collect()
     assert {tuple(sorted((r["id_a"], r["id_b"]))) for r in rows} == listed and len(rows) == len(listed)
     assert all(side[r["id_a"]] == "train" for r in rows if r["pair_set"] == "train_test")
+
+
+def test_cosine_vectors_are_written_once(spark):
+    """The shuffle grows with the rows, not with their pairs; blocks are read for each pair."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist(), "train" if i % 3 else "test") for i in range(300)]
+    rows += [(None, rows[0][1], "test"), (400, None, "train"), (401, [float("nan")] * 8, "test"), (5, rows[5][1], "test")]
+    df = spark.createDataFrame(rows, "seq_id long, embedding array<double>, data_split string")
+    blocks = pairs._packed_blocks(df, "seq_id", "embedding", "data_split", 10)
+    assert blocks.count() > 20 and blocks.agg(F.sum(F.size("ids"))).first()[0] == 303
+    want = collections.Counter()
+    m = np.array([r[1] for r in rows[:300]] + [rows[0][1], rows[5][1]])
+    train = np.array([r[2] == "train" for r in rows[:300]] + [False, False])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 12)
+    for name, s in (("train_train", sims[train][:, train]), ("test_test", sims[~train][:, ~train]), ("train_test", sims[train][:, ~train])):
+        inside = s[(s >= 0) & (s <= 1)]
+        for i, n in zip(*np.unique(np.minimum((inside * 20).astype(int), 19), return_counts=True), strict=True):
+            want[name, i] += n
+    for size in (10, 64, None):
+        got = pairs.cosine_similarity_histogram(df, "seq_id", block_rows=size).collect()
+        assert {(r["pair_set"], r["bin"]): r["n"] for r in got} == dict(want)
+    found = pairs.cosine_similarity_pairs(df, "seq_id", 0.9, block_rows=10).collect()
+    order = np.arange(len(m))
+    assert len(found) == ((unit @ unit.T >= 0.9 - 1e-12) & (order[:, None] <= order[None, :])).sum()
+    with pytest.raises(Exception, match="differ in length"):
+        pairs.cosine_similarity_pairs(
+            spark.createDataFrame([(0, [1.0], "train"), (1, [1.0, 2.0], "train")], df.schema), "seq_id", 0.9
+        ).collect()
+
+
+def test_bin_bounds_are_those_of_rounded_numbers():
+    for bins in (1, 7, 20):
+        bounds = np.array(pairs._bin_bounds(bins))
+        near = np.concatenate([bounds, np.nextafter(bounds, -1), np.nextafter(bounds, 2), np.arange(bins + 1) / bins])
+        rounded = np.round(near, 12)
+        want = np.where((rounded >= 0) & (rounded <= 1), np.minimum((rounded * bins).astype(int), bins - 1), -1)
+        at = np.searchsorted(bounds, near, side="right") - 1
+        assert (np.where(at == bins, -1, at) == want).all()
