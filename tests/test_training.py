@@ -376,3 +376,19 @@ def test_stage_registry():
         stage("dimred", "Nothing")
     with pytest.raises(ValueError):
         register_stage("sink", "x", stage("embedder", "Custom"))
+
+
+def test_validation_rows_cost_no_gradient(monkeypatch):
+    """Held rows are only scored; a norm in front of the last layer is never written out."""
+    rng = np.random.default_rng(4)
+    pieces = pieces_of(rng, [6, 5])
+    params = gradient.init_attention(5, 2, 3, "mlp", 1, rng)
+    params = [*params[:-1], np.ones(32), np.zeros(32), params[-1]]
+    how = gradient.Training("zscale", "weighted_mean_three", 0.0, {0: 4.0, 2: 4.0})
+    plain, backward = gradient.am.pool_gradient, []
+    monkeypatch.setattr(gradient.am, "pool_gradient", lambda *a: backward.append(len(a[2])) or plain(*a))
+    _, stats, _ = gradient.training_step(sum_of(pieces), params, how, 0, (np.zeros(32), np.ones(32)))
+    assert stats[3] > 0 and sum(backward) == 2 * stats[1]
+    backward.clear()
+    _, stats, _ = gradient.training_step(sum_of(pieces), [*params[:-3], params[-1]], how, 0, None)
+    assert stats[3] > 0 and sum(backward) == stats[1]
