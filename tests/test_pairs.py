@@ -119,6 +119,41 @@ def test_promised_segments_stand_whole_in_the_partner(threshold):
             met += any(b[q : q + k] == a[p : p + k] for q in range(max(0, int(p - edits)), min(len(b), int(p + edits)) + 1))
         assert met >= n // k - budget >= 1
 
+
+def test_near_identical_writes_sequences_not_tokens(spark, family, monkeypatch):
+    """Nothing is shuffled per k-mer, and many small blocks find the pairs of a few large ones."""
+    df, rows = family
+    odd = spark.createDataFrame([(500, "", "train"), (501, rows[3][1], "train")], df.schema)
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    want = {tuple(r) for r in pairs.near_identical_join(df).collect()}
+    monkeypatch.setattr(pairs, "BLOCK_LETTERS", 3000)
+    try:
+        blocks = pairs._sequence_blocks(df.unionByName(odd), 0.95, "seq_id")
+        sizes = [r[0] for r in blocks.select(F.size("ids")).collect()]
+        assert len(sizes) > 15 and sum(sizes) == len({t for _, t, _ in rows})
+        found = pairs.near_identical_join(df.unionByName(odd))
+        plan = found._jdf.queryExecution().toString()
+        assert "Exchange hashpartitioning" not in plan and "Generate" not in plan
+        got = [tuple(r) for r in found.collect()]
+    finally:
+        spark.conf.set(conf, before)
+    assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_segments_are_met_slice_by_slice(family, monkeypatch):
+    _, rows = family
+    items = sorted({t: i for i, t, _ in reversed(rows)}.items(), key=lambda x: x[1])
+    texts, ids = zip(*items)
+    want = {(i, j) for x, (a, i) in enumerate(items) for b, j in items[x + 1 :] if ratio(a, b) >= 0.9}
+    for letters, matches in ((1 << 20, 1 << 20), (300, 50)):
+        monkeypatch.setattr(pairs, "SLICE_LETTERS", letters)
+        monkeypatch.setattr(pairs, "MATCHES", matches)
+        index = pairs._SegmentIndex(list(ids), list(texts), 0.9)
+        found = [(i, j) for i, j, _ in index.partners(list(ids), list(texts))]
+        assert set(found) == want and len(found) == len(want)
+
+
 def brute_sets(rows):
     sides = {s: sorted({t for _, t, d in rows if d == s}) for s in ("train", "test")}
     for s in sides:
