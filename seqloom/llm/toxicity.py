@@ -39,9 +39,12 @@ PREFIXES = (4, 5, 6, 7)
 #: At most so many labelled rows of each class, none longer than so many characters, are fitted on.
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 20_000
+#: Bytes of the sample worked on at a time: it is fitted beside the driver's JVM.
+SAMPLE_BYTES = 1 << 18
 #: A word form marks toxic text if toxic documents have it so many times as often.
 ODDS = 5.0
 THRESHOLD = 0.5
+TEXTS = 256  # texts whose features are counted at a time
 #: Jaccard of the three-word shingles from which on a text is a near copy.
 COPY = 0.8
 
@@ -158,26 +161,45 @@ def doc_features(p: np.ndarray, of: np.ndarray) -> np.ndarray:
     )
 
 
-def _first_copies(found: Words, hashes: np.ndarray) -> np.ndarray:
-    """False for near copies of an earlier text that is kept.
+@dataclass
+class Sets:
+    """Distinct three-word shingles of each text, sorted, and the smallest of them under three salts."""
 
-    Texts that share a smallest three-word shingle are compared by all of them.
-    """
-    keep = np.ones(len(found.of) - 1, bool)
-    shingle, text = shingles(hashes, found.of, 3)
+    shingle: np.ndarray
+    size: np.ndarray  # one for each text
+    least: np.ndarray  # [salt, text]
+
+
+def shingle_sets(hashes: np.ndarray, of: np.ndarray) -> Sets:
+    shingle, text = shingles(hashes, of, 3)
     order = np.lexsort((shingle, text))
     shingle, text = shingle[order], text[order]
     new = np.ones(len(text), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (text[1:] != text[:-1])
     shingle, text = shingle[new], text[new]
-    at = np.searchsorted(text, np.arange(len(keep) + 1))
-    size = np.diff(at)
-    least = []
-    for salt in (0x9E37, 0x85EB, 0xC2B2):
+    n = len(of) - 1
+    least = np.full((3, n), np.iinfo(np.uint64).max, np.uint64)
+    for k, salt in enumerate((0x9E37, 0x85EB, 0xC2B2)):
         salted = (shingle ^ np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93 + 2 * salt)
-        smallest = np.full(len(keep), np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(smallest, text, salted)
-        least.append(smallest.tolist())
+        np.minimum.at(least[k], text, salted)
+    return Sets(shingle, np.bincount(text, minlength=n), least)
+
+
+def _first_copies(found: Words, hashes: np.ndarray) -> np.ndarray:
+    """False for near copies of an earlier text that is kept."""
+    return first_sets([shingle_sets(hashes, found.of)])
+
+
+def first_sets(sets: list[Sets]) -> np.ndarray:
+    """False for texts whose shingles are nearly those of an earlier text that is kept.
+
+    Texts that share a smallest three-word shingle are compared by all of them.
+    """
+    shingle = np.concatenate([s.shingle for s in sets])
+    size = np.concatenate([s.size for s in sets])
+    least = np.concatenate([s.least for s in sets], 1).tolist()
+    keep = np.ones(len(size), bool)
+    at = np.concatenate([[0], np.cumsum(size)])
     holders: dict[tuple[int, int], list[int]] = {}
     for i in np.flatnonzero(size).tolist():
         keys = [(k, smallest[i]) for k, smallest in enumerate(least)]
@@ -195,16 +217,20 @@ def _first_copies(found: Words, hashes: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _marks(feats: np.ndarray, keep: np.ndarray, text: np.ndarray, label: np.ndarray) -> np.ndarray:
+def _marks(feats: np.ndarray, keep: np.ndarray, of: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Which features toxic documents have much more often than clean ones, of those kept."""
-    used = keep[text]
     size, n_docs = 1 << HASH_BITS, len(label)
     toxic, clean = np.zeros(size), np.zeros(size)
-    for row in feats:
-        both = np.unique(row[used].astype(np.int64) * n_docs + text[used])
-        bad = label[both % n_docs] == 1
-        toxic += np.bincount(both[bad] // n_docs, minlength=size)
-        clean += np.bincount(both[~bad] // n_docs, minlength=size)
+    for low in range(0, n_docs, TEXTS):
+        high = min(low + TEXTS, n_docs)
+        own = slice(of[low], of[high])
+        text = np.repeat(np.arange(low, high), np.diff(of[low : high + 1]))
+        used = keep[text]
+        for row in feats:
+            both = np.unique(row[own][used].astype(np.int64) * n_docs + text[used])
+            bad = label[both % n_docs] == 1
+            toxic += np.bincount(both[bad] // n_docs, minlength=size)
+            clean += np.bincount(both[~bad] // n_docs, minlength=size)
     nt, nc = max((label[keep] == 1).sum(), 1), max((label[keep] == 0).sum(), 1)
     odds = ((toxic + 0.5) / (nt + 1)) / ((clean + 0.5) / (nc + 1))
     marks = (odds >= ODDS) & (toxic >= max(3, 0.01 * nt))
@@ -228,16 +254,21 @@ def fit_field(
     )
     if (label == 1).sum() == 0 or (label == 0).sum() == 0:
         return model
-    pieces = [(*features(part), part) for part in parts]
-    feats = np.concatenate([f for _, f, _ in pieces], 1)
-    own = np.concatenate([Hasher(LOWER[t.data])(w.start, w.end) for w, _, t in pieces])
-    of = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(w.of) for w, _, _ in pieces]))])
+    # Part by part, so that what is held beside the feature numbers stays small.
+    of = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(words(p, WORD_BYTE).of) for p in parts]))])
+    feats = np.empty((1 + len(PREFIXES), int(of[-1])), np.int32)
+    sets, low = [], 0
+    for part in parts:
+        own, numbers = features(part)
+        feats[:, low : low + numbers.shape[1]] = numbers
+        low += numbers.shape[1]
+        sets.append(shingle_sets(Hasher(LOWER[part.data])(own.start, own.end), own.of))
     found = Words(of[:0], of[:0], of)  # where the words stand is not needed any more
-    del pieces
-    keep = _first_copies(found, own)
-    text = found.text()
-    marks = _marks(feats, keep, text, label)
-    toxic_word = marks[feats].any(0) & (label[text] == 1)
+    keep = first_sets(sets)
+    del sets
+    marks = _marks(feats, keep, of, label)
+    toxic_word = np.repeat(label == 1, np.diff(of))
+    toxic_word &= np.logical_or.reduce([marks[row] for row in feats])
 
     first, length = chains(found.of)
     chain_text = np.searchsorted(found.of, first, "right") - 1
@@ -299,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit on a bounded sample; ``labels`` holds only rows that may be learned from."""
     rows = labelled_sample(docs, labels, "toxic", SAMPLE_ROWS, SAMPLE_CHARS)
     label = rows.column("_label").to_numpy().astype(int)
-    return fit_field(list(slices(rows.column("text"))), label)
+    return fit_field(list(slices(rows.column("text"), SAMPLE_BYTES)), label)
 
 
 def score(texts: Texts, model: Field) -> tuple[np.ndarray, Words, np.ndarray]:

@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -95,3 +96,19 @@ def test_a_shared_passage_is_no_copy():
     found, feats = toxicity.features(one(texts))
     own = toxicity.Hasher(toxicity.LOWER[one(texts).data])(found.start, found.end)
     assert np.flatnonzero(~toxicity._first_copies(found, own)).tolist() == [30]
+
+
+def test_fit_holds_little_beside_its_features():
+    """The field is fitted in the driver: memory beside the JVM counts. Parts do not matter."""
+    rng = np.random.default_rng(8)
+    vocabulary = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(5000)])
+    label = np.arange(1500) % 2
+    texts = pa.array([" ".join(rng.choice(vocabulary, 400)) + (" vile scum rot" if y else "") for y in label])
+    toxicity.fit_field(list(slices(texts.slice(0, 40))), label[:40])  # caches
+    tracemalloc.start()
+    small = toxicity.fit_field(list(slices(texts, toxicity.SAMPLE_BYTES)), label, least_steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 13 * texts.nbytes
+    whole = toxicity.fit_field(list(slices(texts, 1 << 30)), label, least_steps=1)
+    assert (small.weights == whole.weights).all() and (small.doc == whole.doc).all()
