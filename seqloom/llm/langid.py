@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, first_by_hash, map_texts, one_text_per_id, texts_of
+from .common import arrow, first_by_hash, fitted, map_texts, one_text_per_id, picked_texts
 from .textops import LOWER, Texts, blocks, slices
 
 HASH_BITS = 12
@@ -131,10 +131,13 @@ def train(docs: DataFrame) -> Codes:
     picked = first_by_hash(known, "lang", max(SAMPLE_ROWS // n_languages, 1))
     # More than SAMPLE_ROWS only if there are more languages than that, or counted too low.
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    rows = texts_of(docs, picked.withColumnRenamed("lang", "_lang"), SAMPLE_CHARS)
-    parts = [ngrams(s) for s in slices(rows.column("text"))]
-    x = np.concatenate(parts) if parts else np.empty((0, 1 << HASH_BITS), np.float32)
-    return fit_codes(x, rows.column("_lang").to_pylist())
+
+    def fit(rows: pa.Table) -> Codes:
+        parts = [ngrams(s) for s in slices(rows.column("text"))]
+        x = np.concatenate(parts) if parts else np.empty((0, 1 << HASH_BITS), np.float32)
+        return fit_codes(x, rows.column("_lang").to_pylist())
+
+    return fitted(picked_texts(docs, picked.withColumnRenamed("lang", "_lang"), SAMPLE_CHARS), fit)
 
 
 def decode(x: np.ndarray, model: Codes) -> tuple[np.ndarray, np.ndarray]:

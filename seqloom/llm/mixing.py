@@ -33,7 +33,6 @@ from .common import prepare, written
 WEIGHTS = (5, 2, 1)
 #: No target, and no document's taken words, go beyond so many times the size.
 MOST = 3
-TOLERANCE = 1e-9
 BUCKET_BITS = 10
 #: Rounding plans of at most so many classes are broadcast; larger ones are joined by key.
 BROADCAST_CLASSES = 100_000
@@ -101,29 +100,24 @@ def balanced_rates(classes: DataFrame, targets: DataFrame, steps: int = 40) -> D
     """Add ``rate`` per source by Newton steps on the dual.
 
     The dual per source is sum(size * n * exp(lambda)) - lambda * target, summed
-    over all its documents. A step down is at most 1, so exp cannot overshoot.
+    over all its documents. A step down is at most 1, so exp cannot overshoot. The rate
+    is one for all documents of a source, so exp(lambda) leaves the sum: the documents
+    are summed once, and all steps are taken on one row per source, in one query.
     """
-    state = targets.withColumn("lam", F.lit(0.0))
-    for _ in range(steps):
-        held = classes.join(state, "source_key").groupBy("source_key").agg(
-            F.sum(F.col("size") * F.col("n") * F.exp("lam")).alias("held")
-        )
+    held = classes.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("_held"))
+
+    def newton(lam: Column, _: Column) -> Column:
+        now = F.col("_held") * F.exp(lam)
         step = F.when(
-            (F.col("held") > 0) & (F.col("target") > 0),
-            F.greatest(F.least((F.col("target") - F.col("held")) / F.col("held"), F.lit(2.0)), F.lit(-1.0)),
+            (now > 0) & (F.col("target") > 0),
+            F.greatest(F.least((F.col("target") - now) / now, F.lit(2.0)), F.lit(-1.0)),
         ).otherwise(0.0)
-        state = written(
-            state.join(held, "source_key").select(
-                *targets.columns, (F.col("lam") + step).alias("lam"), step.alias("step")
-            ),
-            "rates",
-        )
-        worst = state.agg(F.max(F.abs("step"))).first()[0]
-        state = state.drop("step")
-        if worst is None or worst < TOLERANCE:
-            break
-    rate = F.when(F.col("target") > 0, F.least(F.exp("lam"), F.lit(float(MOST)))).otherwise(0.0)
-    return state.select(*targets.columns, rate.alias("rate"))
+        return lam + step
+
+    lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), newton)
+    rate = F.when(F.col("target") > 0, F.least(F.exp(lam), F.lit(float(MOST)))).otherwise(0.0)
+    rates = targets.join(held, "source_key").select(*targets.columns, rate.alias("rate"))
+    return written(rates, "rates")
 
 
 def _rounded(groups: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:

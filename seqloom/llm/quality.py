@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow, labelled_sample, map_texts, sigmoid
+from .common import arrow, fitted, labelled_rows, map_texts, sigmoid
 from .textops import NOT_SPACE, TEXT_BITS, WORD_BYTE, Hasher, Texts, Words, _table, shingles, slices, words
 
 BINS = 64
@@ -194,10 +194,13 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Forest:
 
 def train(docs: DataFrame, labels: DataFrame) -> Forest:
     """Fit on a bounded sample; ``labels`` holds only rows that may be learned from."""
-    rows = labelled_sample(docs, labels, "quality", SAMPLE_ROWS, SAMPLE_CHARS)
-    parts = [statistics(s) for s in slices(rows.column("text"))]
-    x = np.concatenate(parts) if parts else np.empty((0, len(STATISTICS)))
-    return fit_forest(x, rows.column("_label").to_numpy().astype(float))
+
+    def fit(rows: pa.Table) -> Forest:
+        parts = [statistics(s) for s in slices(rows.column("text"))]
+        x = np.concatenate(parts) if parts else np.empty((0, len(STATISTICS)))
+        return fit_forest(x, rows.column("_label").to_numpy().astype(float))
+
+    return fitted(labelled_rows(docs, labels, "quality", SAMPLE_ROWS, SAMPLE_CHARS), fit)
 
 
 SCHEMA = f"doc_id long, score double, {', '.join(f'{s} double' for s in STATISTICS)}"

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow, labelled_sample, map_texts, sigmoid
+from .common import arrow, fitted, labelled_rows, map_texts, sigmoid
 from .textops import LOWER, WORD_BYTE, Hasher, Texts, Words, char_offsets, shingles, slices, words
 
 CHAIN = 64
@@ -39,7 +39,7 @@ PREFIXES = (4, 5, 6, 7)
 #: At most so many labelled rows of each class, none longer than so many characters, are fitted on.
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 20_000
-#: Bytes of the sample worked on at a time: it is fitted beside the driver's JVM.
+#: Bytes of the sample worked on at a time: it is fitted in one task.
 SAMPLE_BYTES = 1 << 18
 #: A word form marks toxic text if toxic documents have it so many times as often.
 ODDS = 5.0
@@ -328,9 +328,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30)
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit on a bounded sample; ``labels`` holds only rows that may be learned from."""
-    rows = labelled_sample(docs, labels, "toxic", SAMPLE_ROWS, SAMPLE_CHARS)
-    label = rows.column("_label").to_numpy().astype(int)
-    return fit_field(list(slices(rows.column("text"), SAMPLE_BYTES)), label)
+
+    def fit(rows: pa.Table) -> Field:
+        label = rows.column("_label").to_numpy().astype(int)
+        return fit_field(list(slices(rows.column("text"), SAMPLE_BYTES)), label)
+
+    return fitted(labelled_rows(docs, labels, "toxic", SAMPLE_ROWS, SAMPLE_CHARS), fit)
 
 
 def score(texts: Texts, model: Field) -> tuple[np.ndarray, Words, np.ndarray]:

@@ -1,11 +1,13 @@
+import os
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from llm_rows import LABELS, SCHEMA, prose, row
 from pyspark.sql import functions as F
 
-from seqloom.llm import common, langid
+from seqloom.llm import common, langid, quality, toxicity
 from seqloom.llm.textops import slices
 
 
@@ -59,3 +61,41 @@ def test_many_short_texts_need_little_memory(spark):
     tracemalloc.stop()
     assert sum(len(p[0]) for p in parts) == 10_000
     assert peak < 200e6
+
+
+def test_fitted_in_a_task_by_id(spark):
+    docs = spark.range(300).select("id", F.concat(F.lit("text "), "id").alias("text")).withColumnRenamed("id", "doc_id")
+    ids, texts, pid = common.fitted(
+        docs.repartition(7), lambda rows: (rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), os.getpid())
+    )
+    assert ids == list(range(300)) and texts == [f"text {i}" for i in ids]
+    assert pid != os.getpid()
+    empty = docs.where("doc_id < 0")
+    assert common.fitted(empty, lambda rows: (len(rows), rows.column_names)) == (0, ["doc_id", "text"])
+
+
+@pytest.mark.parametrize("what", ["toxic", "quality", "lang"])
+def test_samples_are_not_fitted_in_the_driver(spark, what):
+    """The driver's Python stands beside its JVM: it gets the model, no texts and no features."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.substring(F.md5((F.col("id") * 7 + k).cast("string")), 1, 6))
+    docs = spark.range(1200).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", words, F.when(F.col("id") % 2 == 0, F.lit("vile scum rot"))).alias("text"),
+        F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"),
+    )
+    marks = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (1 - F.col("doc_id") % 2).cast("int").alias("toxic"))
+    train = {
+        "toxic": lambda: toxicity.train(docs, marks),
+        "quality": lambda: quality.train(docs, marks),
+        "lang": lambda: langid.train(docs),
+    }[what]
+    tracemalloc.start()
+    model = train()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6
+    if what == "toxic":
+        rows = common.labelled_sample(docs, marks, "toxic", toxicity.SAMPLE_ROWS, toxicity.SAMPLE_CHARS)
+        label = rows.column("_label").to_numpy().astype(int)
+        here = toxicity.fit_field(list(slices(rows.column("text"), toxicity.SAMPLE_BYTES)), label)
+        assert (model.weights == here.weights).all() and (model.doc == here.doc).all()

@@ -125,3 +125,19 @@ print("ROWS", mixing.mix(docs).count() == docs.count())
         [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240
     )
     assert "ROWS True" in done.stdout, done.stderr[-2000:]
+
+
+def test_newton_steps_start_no_jobs_of_their_own(spark):
+    """Each job leaves plans, broadcasts and threads in the driver for a while."""
+    classes = spark.createDataFrame([("a", 5, 10), ("a", 7, 3), ("b", 2, 4), ("c", 0, 9)], "source_key string, size long, n long")
+    targets = spark.createDataFrame(
+        [("a", 71, 213.0), ("b", 8, 1e-9), ("c", 0, 0.0)], "source_key string, source_size long, target double"
+    )
+    context = spark.sparkContext
+    context.setJobGroup("newton", "")
+    rates = mixing.balanced_rates(classes, targets)
+    jobs = context.statusTracker().getJobIdsForGroup("newton")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 5
+    rate = {r["source_key"]: r["rate"] for r in rates.collect()}
+    assert rate["a"] == pytest.approx(3.0, rel=1e-14) and rate["b"] * 8 == pytest.approx(1e-9, rel=1e-12) and rate["c"] == 0
