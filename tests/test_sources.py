@@ -1,5 +1,7 @@
 import json
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from seqloom.plans.inference import run_inference
@@ -113,3 +115,14 @@ def test_a_single_sink_writes_what_both_write(spark, tmp_path):
     for wrong in ((), ("sequences", "figures")):
         with pytest.raises(ValueError, match="sinks"):
             run_inference(df, models, "m", str(tmp_path / "wrong"), sinks=wrong)
+
+
+def test_residue_file_is_compressed(spark, tmp_path):
+    letters = np.random.default_rng(1).choice(list("ACDEFGHIKL"), 4000)
+    df = spark.createDataFrame([(1, "a", "".join(letters)), (2, "b", "K")], "seq_id long, name string, sequence string")
+    path = run_inference(df, v.fold_models(folds=2), "m", str(tmp_path / "out"), sinks=("residues",))["residues"]
+    lines = [r[0] for r in spark.read.text(path).collect()]
+    assert sorted(json.loads(x)["length"] for x in lines) == [1, 4000]
+    assert all(len(s) == x["length"] for x in map(json.loads, lines) for s in (x["ensemble"], *x["fold_scores"].values()))
+    written = sum(p.stat().st_size for p in Path(path).glob("part-*"))
+    assert written < sum(map(len, lines)) / 3
