@@ -84,6 +84,20 @@ def test_missing_sequence_has_no_residues(spark):
             residues.residue_explode(unfit, "labels").collect()
 
 
+@pytest.mark.parametrize("labels", [None, "labels"])
+def test_every_letter_has_a_row(spark, monkeypatch, labels):
+    rows = [(0, "ACD", "010"), (1, None, None), (2, "", ""), (2, "K", "1")]
+    df = spark.createDataFrame(rows, "seq_id long, sequence string, labels string")
+    found = residues.residue_explode(df, labels).collect()
+    assert sorted((r["seq_id"], r["pos"], r["aa"], r["length"]) for r in found) == [
+        (0, 0, "A", 3), (0, 1, "C", 3), (0, 2, "D", 3), (2, 0, "K", 1)
+    ]
+    all_letters = residues.letters
+    monkeypatch.setattr(residues, "letters", lambda s: F.slice(all_letters(s), 1, 2))
+    with pytest.raises(PySparkException, match="rows do not fit sequence 0"):
+        residues.residue_explode(df, labels).collect()
+
+
 def test_pooled_letters_equal_pooled_array(spark):
     df = spark.createDataFrame([("ACDWY",), ("K",)], "sequence string")
     for kind, width in (("onehot", 20), ("zscale", 5)):
