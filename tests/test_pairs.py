@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.functions import lcs
 from seqloom.functions.lcs import indel_ratio, lcs_at_least, lcs_length, letter_masks
 from seqloom.operators import pairs
 
@@ -141,6 +142,69 @@ def test_near_identical_writes_sequences_not_tokens(spark, family, monkeypatch):
     assert set(got) == want and len(got) == len(want) > 20
 
 
+def test_banded_lcs_is_exact(monkeypatch):
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        monkeypatch.setattr(lcs, "STRETCH", int(rng.choice([1, 7, 30, 256])))
+        letters = list("ACDEF")[: int(rng.integers(1, 6))]
+        a = "".join(rng.choice(letters, int(rng.integers(0, 120))))
+        b = list(a if rng.random() < 0.8 else rng.choice(letters, int(rng.integers(0, 120))))
+        for _ in range(int(rng.integers(0, 30))):
+            if rng.random() < 0.5 and b:
+                del b[int(rng.integers(0, len(b)))]
+            else:
+                b.insert(int(rng.integers(0, len(b) + 1)), str(rng.choice(letters)))
+        b = "".join(b)
+        want = lcs_length(letter_masks(a), len(a), b)
+        for need in (-3, 0, want - 5, want, want + 1, int(rng.integers(0, 130))):
+            got = lcs_at_least(letter_masks(a), len(a), b, need)
+            assert got == (want if want >= need else -1)
+
+
+def test_pairs_without_common_letters_are_not_compared(monkeypatch):
+    """Texts that share segments alone are told apart in bulk, by letters or by neighbours."""
+    rng = np.random.default_rng(5)
+    shared, kinds = "".join(rng.choice(list("ACDE"), 400)), ["FGHI", "KLMN", "PQRS"]
+    texts = [shared + "".join(rng.choice(list(kinds[i % 3]), 500)) for i in range(30)]
+    ordered = [shared + "FGHIKLMNPQRS" * 40, shared + "FHKMPRGILNQS" * 40]
+    near = ordered[0][:-9] + "A"
+    compared = []
+    exact = pairs._ratio_at_least
+    monkeypatch.setattr(pairs, "_ratio_at_least", lambda a, b, t: compared.append((a, b)) or exact(a, b, t))
+    items = sorted([*texts, *ordered, near], key=len)
+    ids = list(range(len(items)))
+    found = list(pairs._SegmentIndex(ids, items, 0.95).partners(ids, items))
+    assert {frozenset((items[a], items[b])) for a, b, _ in found} == {frozenset((ordered[0], near))}
+    shown = {frozenset(x) for x in compared}
+    of = lambda x: next((k for k in kinds if set(x[400:]) <= set(k)), x)
+    assert frozenset(ordered) not in shown
+    assert all(of(x) == of(y) for x, y in map(tuple, shown - {frozenset((ordered[0], near))}))
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.9, 0.95, 0.99])
+def test_no_near_pair_is_told_apart_in_bulk(threshold):
+    rng = np.random.default_rng(6)
+    letters = list("ACDEFGHIKLMNPQRSTVWY\u00e9\u4e2d\U0001f600")
+    a, b = [], []
+    for _ in range(120):
+        one = list(rng.choice(letters, int(rng.integers(12, 500))))
+        other = list(one)
+        for _ in range(rng.integers(1, int((1 - threshold) * 2 * len(one)) + 3)):
+            if rng.random() < 0.5 and len(other) > 1:
+                del other[int(rng.integers(0, len(other)))]
+            else:
+                other.insert(int(rng.integers(0, len(other) + 1)), str(rng.choice(letters)))
+        a.append("".join(one))
+        b.append("".join(other))
+    index = pairs._SegmentIndex(list(range(len(a))), a, threshold)
+    every = np.arange(len(a))
+    kept, _ = index._with_common_classes(every, every, b, np.array([len(s) for s in b]))
+    near = {i for i, (x, y) in enumerate(zip(a, b)) if ratio(x, y) >= threshold}
+    assert len(near) > 10 and near <= set(kept.tolist())
+    for i, (x, y) in enumerate(zip(a, b)):
+        assert pairs._ratio_at_least(x, y, threshold) == (pytest.approx(ratio(x, y)) if i in near else None)
+
+
 def test_segments_are_met_slice_by_slice(family, monkeypatch):
     _, rows = family
     items = sorted({t: i for i, t, _ in reversed(rows)}.items(), key=lambda x: x[1])
